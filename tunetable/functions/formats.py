@@ -9,11 +9,11 @@ from tunetable.functions.text import as_column
 
 
 def percent(c: Column | str, decimals: int = 1) -> Column:
-    return F.format_string(f"%.{decimals}f%%", as_column(c) * 100)
+    return F.format_string(f"%.{decimals}f%%", F.round(as_column(c) * 100, decimals))
 
 
 def fixed(c: Column | str, decimals: int = 4) -> Column:
-    return F.format_string(f"%.{decimals}f", as_column(c))
+    return F.format_string(f"%.{decimals}f", F.round(as_column(c), decimals))
 
 
 def exponent(c: Column | str, decimals: int = 2) -> Column:

@@ -28,8 +28,8 @@ def hash_order(key: Column | str, seed: int = DEFAULT_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), as_column(key).cast("string")))
 
 
-def hash_prefix(digest: Column, digits: int = BUCKET_DIGITS, start: int = 1) -> Column:
-    return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
+def hash_prefix(digest: Column, digits: int = BUCKET_DIGITS) -> Column:
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
 
 
 @dataclass(frozen=True)
@@ -116,9 +116,9 @@ def split_stable(
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
     """Adds ``split`` from the row's own hash: sizes are approximate, membership never changes."""
-    share = hash_prefix(hash_order(key, seed), 8)
-    limit = int(eval_fraction * 2**32)
-    return df.withColumn("split", F.when(share < limit, "eval").otherwise("train"))
+    limit = f"{int(eval_fraction * 2**32):08x}"  # digests compare like their first hex digits
+    is_eval = hash_order(key, seed) < limit
+    return df.withColumn("split", F.when(is_eval, "eval").otherwise("train"))
 
 
 def head(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
@@ -172,7 +172,8 @@ def row_index_ordered(df: DataFrame, key: str, name: str = "row_index") -> DataF
     bounds = df.agg(F.percentile_approx(key, probabilities, parts * 10).alias("b")).first()["b"]
     if bounds is None:
         return df.withColumn(name, F.lit(None).cast("long"))
-    bound = F.array(*[F.lit(b) for b in bounds])
+    kind = df.schema[key].dataType.simpleString()
+    bound = F.split(F.lit(",".join(map(str, bounds))), ",").cast(f"array<{kind}>")
     # Number of bounds <= key, by halving steps over the sorted literal array.
     bucket = F.aggregate(
         F.array(*[F.lit(1 << b) for b in reversed(range(RANGE_BITS))]),

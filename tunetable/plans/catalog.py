@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunetable.functions import prompts, quality
-from tunetable.functions.formats import exponent, fixed
+from tunetable.functions.formats import fixed
 from tunetable.functions.quality import QualityRules
 from tunetable.functions.text import alnum_tokens, extract_code, or_empty, strip, word_count
 from tunetable.operators import (
@@ -130,7 +130,7 @@ def q_alpaca_parse(spark, sf):
 
 @query
 def q_strip_defaults(spark, sf):
-    padded = F.concat(F.lit("\t "), "text", F.lit("   \n"))
+    padded = F.concat(F.lit("\t "), "text", F.lit("\xa0\u3000 \n"))
     given = F.when(F.col("doc_id") % 7 != 0, padded)
     return table(spark, sf, "documents").select(
         "doc_id",
@@ -400,7 +400,6 @@ def q_loss_points(spark, sf):
         "run_id",
         "step",
         fixed("loss").alias("loss_text"),
-        exponent("loss").alias("loss_exponent"),
         fixed("epoch", 1).alias("epoch_text"),
     )
 
