@@ -76,12 +76,10 @@ def ngrams(tokens: Column, n: int) -> Column:
     """All n-grams of a token array as space-joined strings; empty array when it is too short."""
     if n == 1:
         return tokens
-    last = F.size(tokens) - n
-    grams = F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: F.array_join(F.slice(tokens, i + 1, n), " "),
+    starts = F.slice(tokens, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
+    return F.transform(
+        starts, lambda t, i: F.concat_ws(" ", t, *[F.get(tokens, i + k) for k in range(1, n)])
     )
-    return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
 
 
 def truncate(tokens: Column, max_tokens: int | None) -> Column:

@@ -7,23 +7,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunetable.functions.text import mt13a_tokens
-from tunetable.operators.rouge import KEYS, gram_matches, tokenized
+from tunetable.functions.text import mt13a_tokens, or_empty
+from tunetable.operators.rouge import KEYS, Grams, gram_matches, placed
 
 ORDERS = (1, 2, 3, 4)
 
 
+SCHEME = Grams("mt", "mt_pred", "mt_ref", ORDERS)
+
+
+def mt_columns() -> list[Column]:
+    return [
+        mt13a_tokens(or_empty("prediction")).alias("mt_pred"),
+        mt13a_tokens(or_empty("reference")).alias("mt_ref"),
+    ]
+
+
+def corpus_sums() -> list[Column]:
+    """Aggregates over per-pair counts: what corpus BLEU needs."""
+    per_order = [F.sum(f"mt_{c}_{n}").alias(f"{c}_{n}") for n in ORDERS for c in ("match", "pred")]
+    return [*per_order, F.sum("mt_ref_1").alias("ref_1")]
+
+
 def bleu_counts(
     pairs: DataFrame,
     keys: tuple[str, ...] = KEYS,
     by: tuple[str, ...] = ("model",),
-    tokens=mt13a_tokens,
     colocated: bool = False,
 ) -> DataFrame:
     """Corpus sums per group: ``match_n``/``pred_n`` for each order and both lengths."""
-    per_pair = gram_matches(tokenized(pairs, keys, tokens, colocated), keys, ORDERS)
-    sums = [F.sum(f"{c}_{n}").alias(f"{c}_{n}") for n in ORDERS for c in ("match", "pred")]
-    return per_pair.groupBy(*by).agg(*sums, F.sum("ref_1").alias("ref_1"))
+    tokens = (pairs if colocated else placed(pairs, keys)).select(*keys, *mt_columns())
+    return gram_matches(tokens, keys, (SCHEME,)).groupBy(*by).agg(*corpus_sums())
 
 
 def _precision(n: int) -> Column:
@@ -36,13 +50,16 @@ def _precision(n: int) -> Column:
     )
 
 
-def corpus_bleu(counts: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
+def bleu_score() -> Column:
     """BLEU (0..100) from corpus sums; 0 without any match or without any 4-gram."""
     sys, ref = F.col("pred_1"), F.col("ref_1")
     penalty = F.when(sys < ref, F.exp(1 - ref / sys)).otherwise(F.lit(1.0))
     logs = reduce(lambda a, b: a + b, [F.log(_precision(n)) for n in ORDERS])
     any_match = F.greatest(*[F.col(f"match_{n}") for n in ORDERS]) > 0
-    scored = F.when(
-        any_match & (F.col(f"pred_{ORDERS[-1]}") > 0), penalty * F.exp(logs / len(ORDERS))
-    ).otherwise(F.lit(0.0))
-    return counts.select(*by, sys.alias("sys_len"), ref.alias("ref_len"), scored.alias("bleu"))
+    enough = any_match & (F.col(f"pred_{ORDERS[-1]}") > 0)
+    return F.when(enough, penalty * F.exp(logs / len(ORDERS))).otherwise(F.lit(0.0))
+
+
+def corpus_bleu(counts: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    lengths = [F.col("pred_1").alias("sys_len"), F.col("ref_1").alias("ref_len")]
+    return counts.select(*by, *lengths, bleu_score().alias("bleu"))

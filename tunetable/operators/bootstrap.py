@@ -40,40 +40,43 @@ def poisson_weight(uniform: Column) -> Column:
 
 def bootstrap(
     scores: DataFrame,
-    value: str,
+    names: tuple[str, ...],
     key: str,
     by: tuple[str, ...] = ("model",),
     replicates: int = REPLICATES,
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
-    """Per group ``low``, ``mid`` and ``high``: 2.5 %, 50 % and 97.5 % of the resampled means."""
+    """Per group and ``metric``: ``low``, ``mid``, ``high``, the 2.5 %, 50 % and 97.5 % points of
+    the resampled means. All named scores share the weights of their row."""
     blocks = math.ceil(replicates / PER_DIGEST)
-    digests = scores.select(
-        *by,
-        F.col(value).alias("v"),
-        F.col(key).cast("string").alias("k"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    ).withColumn("digest", F.md5(F.concat_ws(":", F.lit(str(seed)), "k", F.col("block").cast("string"))))
-    drawn = digests.select(
-        *by, "v", "block", "digest", F.explode(F.sequence(F.lit(0), F.lit(PER_DIGEST - 1))).alias("i")
-    ).select(
-        *by,
-        "v",
-        (F.col("block") * PER_DIGEST + F.col("i")).alias("replicate"),
-        poisson_weight(
-            F.conv(F.substr("digest", F.col("i") * 4 + 1, F.lit(4)), 16, 10).cast("int")
-        ).alias("weight"),
+    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    seeded = F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("block").cast("string"))
+    part = F.explode(F.sequence(F.lit(0), F.lit(PER_DIGEST - 1))).alias("i")
+    uniform = F.conv(F.substr("digest", F.col("i") * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    drawn = (
+        scores.select(*by, *names, key, block)
+        .select(*by, *names, "block", F.md5(seeded).alias("digest"))
+        .select(*by, *names, "digest", "block", part)
+        .select(
+            *by,
+            *names,
+            (F.col("block") * PER_DIGEST + F.col("i")).alias("replicate"),
+            uniform.alias("u"),
+        )
+        .filter(F.col("replicate") < replicates)
+        .withColumn("w", poisson_weight(F.col("u")))
     )
-    means = (
-        drawn.filter(F.col("replicate") < replicates)
-        .groupBy(*by, "replicate")
-        .agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("mean"))
+    means = drawn.groupBy(*by, "replicate").agg(
+        *[(F.sum(F.col("w") * F.col(n)) / F.sum("w")).alias(n) for n in names]
     )
     quantiles = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return (
-        means.groupBy(*by)
+        means.unpivot([*by, "replicate"], list(names), "metric", "mean")
+        .groupBy(*by, "metric")
         .agg(quantiles.alias("q"))
         .select(
-            *by, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "mid", "high"))]
+            *by,
+            "metric",
+            *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "mid", "high"))],
         )
     )

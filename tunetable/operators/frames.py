@@ -45,15 +45,19 @@ def encode_frames(texts: DataFrame, stream: tuple[str, ...], text: str = "text")
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Adds ``token`` and ``done``; other lines, malformed JSON and empty tokens are dropped."""
-    body = F.substr(F.col(line), F.lit(len(DATA_PREFIX) + 1))
+    """Adds ``token`` and ``done``; other lines, malformed JSON and empty tokens are dropped.
+
+    ``inline`` makes the parsed fields plain columns, so a line is parsed once however often they
+    are used further on.
+    """
+    body = F.regexp_extract(line, f"(?s)^{DATA_PREFIX}(.*)", 1)
+    others = [c for c in lines.columns if c != line]
+    parsed = lines.select(*others, F.inline(F.array(F.from_json(body, FRAME_SCHEMA))))
+    finished = F.coalesce("done", F.lit(False))
     return (
-        lines.filter(F.col(line).startswith(DATA_PREFIX))
-        .withColumn("_f", F.from_json(body, FRAME_SCHEMA))
-        .withColumn("done", F.coalesce(F.col("_f.done"), F.lit(False)))
-        .withColumn("token", F.when(~F.col("done"), F.col("_f.token")))
+        parsed.withColumn("done", finished)
+        .withColumn("token", F.when(~F.col("done"), F.col("token")))
         .filter(F.col("done") | (F.col("token") != ""))
-        .drop("_f", line)
     )
 
 
@@ -81,7 +85,7 @@ def fold_streams(
     frame = F.struct("seq", "token", "done", *carried)
     blocks = (
         frames.groupBy(*stream, F.floor(F.col("seq") / BLOCK).alias("block"))
-        .agg(F.array_sort(F.collect_list(frame)).alias("f"))
+        .agg(F.sort_array(F.collect_list(frame)).alias("f"))
         .withColumn("n_before", F.array_position(F.col("f.done"), F.lit(True)) - 1)
         .withColumn("done", F.col("n_before") >= 0)
         .withColumn(
@@ -101,7 +105,7 @@ def fold_streams(
             ).alias("b"),
         )
     )
-    grouped = blocks.groupBy(*stream).agg(F.array_sort(F.collect_list("b")).alias("b"))
+    grouped = blocks.groupBy(*stream).agg(F.sort_array(F.collect_list("b")).alias("b"))
     first_done = F.array_position(F.col("b.done"), F.lit(True))
     kept = grouped.withColumn("done", first_done > 0).withColumn(
         "b", F.when(first_done > 0, F.slice("b", F.lit(1), first_done)).otherwise(F.col("b"))
@@ -139,54 +143,43 @@ def still_running(streams: DataFrame, by: tuple[str, ...]) -> DataFrame:
     )
 
 
-def running_total(
-    df: DataFrame, key: tuple[str, ...], seq: str, value: Column, name: str, block: int = BLOCK
-) -> DataFrame:
-    """Adds the sum of ``value`` over all earlier rows of the key, in ``seq`` order.
-
-    Sums per block of ``seq`` first, then within each block: a long key is spread over tasks.
-    """
-    blocked = df.withColumn("_block", F.floor(F.col(seq) / block)).withColumn("_v", value)
-    across = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    within = (
-        Window.partitionBy(*key, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        blocked.groupBy(*key, "_block")
-        .agg(F.sum("_v").alias("_s"))
-        .withColumn("_offset", F.coalesce(F.sum("_s").over(across), F.lit(0)))
-        .drop("_s")
-    )
-    return (
-        blocked.join(offsets, [*key, "_block"])
-        .withColumn(name, F.col("_offset") + F.coalesce(F.sum("_v").over(within), F.lit(0)))
-        .drop("_block", "_v", "_offset")
-    )
-
-
 def chunks_to_lines(
     chunks: DataFrame, stream: tuple[str, ...], seq: str = "chunk_seq", data: str = "data"
 ) -> DataFrame:
     """Complete lines (``seq``, ``line``) of streams that were cut into arbitrary chunks.
 
-    A piece's line number is the number of newlines before it, so only the pieces of one line meet
-    in one group; a last line without its newline is not complete and is left out.
+    Blocks of chunks are joined to one text each. A line inside a block is complete; pieces at the
+    edges of blocks are joined by line number, the number of newlines before them. A last line
+    without its newline is not complete and is left out.
     """
-    newlines = F.length(data) - F.length(F.replace(F.col(data), F.lit("\n"), F.lit("")))
-    placed = running_total(chunks, stream, seq, newlines, "_line")
-    pieces = placed.select(
-        *stream,
-        F.col(seq).alias("_chunk"),
-        "_line",
-        newlines.alias("_n"),
-        F.posexplode(F.split(data, "\n", -1)).alias("_i", "_piece"),
-    ).withColumn("seq", (F.col("_line") + F.col("_i")).cast("long"))
-    return (
-        pieces.groupBy(*stream, "seq")
+    piece = F.struct(F.col(seq).alias("o"), F.col(data).alias("data"))
+    blocks = (
+        chunks.groupBy(*stream, F.floor(F.col(seq) / BLOCK).alias("block"))
+        .agg(F.sort_array(F.collect_list(piece)).alias("p"))
+        .select(*stream, "block", F.split(F.array_join("p.data", ""), "\n", -1).alias("pieces"))
+        .withColumn("n", F.size("pieces") - 1)
+    )
+    earlier = (
+        Window.partitionBy(*stream).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = blocks.select(
+        *stream, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    placed = (
+        blocks.join(offsets, [*stream, "block"])
+        .select(*stream, "block", "before", "n", F.posexplode("pieces").alias("i", "piece"))
+        .withColumn("seq", F.col("before") + F.col("i"))
+    )
+    inside = (F.col("i") > 0) & (F.col("i") < F.col("n"))
+    edges = (
+        placed.filter(~inside)
+        .groupBy(*stream, "seq")
         .agg(
-            F.array_sort(F.collect_list(F.struct("_chunk", "_piece"))).alias("p"),
-            F.bool_or(F.col("_i") < F.col("_n")).alias("_complete"),
+            F.sort_array(F.collect_list(F.struct("block", "piece"))).alias("p"),
+            F.bool_or(F.col("i") < F.col("n")).alias("complete"),
         )
-        .filter("_complete")
-        .select(*stream, "seq", F.array_join(F.col("p._piece"), "").alias("line"))
+        .filter("complete")
+        .select(*stream, "seq", F.array_join("p.piece", "").alias("line"))
     )
+    whole = placed.filter(inside).select(*stream, "seq", F.col("piece").alias("line"))
+    return whole.unionByName(edges)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunetable.functions.text import truncate, word_count, words
@@ -13,17 +13,23 @@ TRAIN_MAX_TOKENS = 1024
 
 
 def truncation_stats(
-    df: DataFrame, text: str, max_tokens: int, by: tuple[str | Column, ...] = ()
+    df: DataFrame,
+    text: str,
+    limits: tuple[int, ...] = (EVAL_MAX_TOKENS, TRAIN_MAX_TOKENS),
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """What a token limit removes: truncated texts and kept/total tokens per group."""
-    counted = df.withColumn("_n", word_count(text))
-    kept = F.least(F.col("_n"), F.lit(max_tokens))
-    return counted.groupBy(*by).agg(
+    """What token limits remove: truncated texts and kept/total tokens per group and ``limit``.
+
+    Every text is read and counted once, for all limits.
+    """
+    limit = F.explode(F.array(*[F.lit(n) for n in limits])).alias("limit")
+    counted = df.select(*by, word_count(text).alias("n"), limit)
+    return counted.groupBy(*by, "limit").agg(
         F.count("*").alias("n_texts"),
-        F.count_if(F.col("_n") > max_tokens).alias("n_truncated"),
-        F.sum("_n").alias("total_tokens"),
-        F.sum(kept).alias("kept_tokens"),
-        F.max("_n").alias("max_tokens"),
+        F.count_if(F.col("n") > F.col("limit")).alias("n_truncated"),
+        F.sum("n").alias("total_tokens"),
+        F.sum(F.least("n", "limit")).alias("kept_tokens"),
+        F.max("n").alias("max_tokens"),
     )
 
 

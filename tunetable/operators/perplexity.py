@@ -35,7 +35,7 @@ def unigram_perplexity(
     """
     tokens = docs.select(
         (F.col(split) == "train").alias("is_train"), truncate(words(text), max_tokens).alias("t")
-    ).filter(F.size("t") > 0)
+    )
     weights = (
         tokens.select(
             "is_train", (F.lit(1.0) / F.size("t")).alias("share"), F.explode("t").alias("word")

@@ -86,8 +86,9 @@ def prepare(
         )
         predicate = passes(rules)
     kept = format_rows(rows, (key,), renderer).filter(predicate)
-    split = split_exact if exact_split else split_stable
-    return split(kept, key, seed=seed)
+    if exact_split:
+        return split_exact(kept, key, seed=seed, write_keys=True)
+    return split_stable(kept, key, seed=seed)
 
 
 def funnel(
@@ -124,7 +125,7 @@ def render_conversations(
     message = F.struct("turn", "role", F.col("text").alias("content"))
     blocks = (
         conversations.groupBy("conv_id", F.floor(F.col("turn") / block).alias("block"))
-        .agg(F.array_sort(F.collect_list(message)).alias("msgs"))
+        .agg(F.sort_array(F.collect_list(message)).alias("msgs"))
         .select(
             "conv_id",
             "block",
@@ -145,7 +146,7 @@ def render_conversations(
 
         return F.concat(F.lit(template.start), F.array_join(F.transform(parts, piece), ""))
 
-    parts = F.array_sort(
+    parts = F.sort_array(
         F.collect_list(F.struct("block", "piece", "first_role", "last_role", "n_turns"))
     )
     return (

@@ -9,10 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunetable.functions.formats import percent
-from tunetable.operators.bleu import bleu_counts, corpus_bleu
+from tunetable.functions.text import word_count
+from tunetable.operators.bleu import SCHEME as BLEU_SCHEME
+from tunetable.operators.bleu import bleu_score, corpus_sums, mt_columns
 from tunetable.operators.bootstrap import bootstrap
-from tunetable.operators.lengths import mean_length
-from tunetable.operators.rouge import mean_scores, rouge_l, rouge_n
+from tunetable.operators.rouge import (
+    KEYS,
+    alnum_pairs,
+    f_measure,
+    gram_matches,
+    placed,
+    rouge_n,
+    rouge_n_score,
+    rouge_scheme,
+    with_lcs,
+)
 from tunetable.operators.sampling import row_index_ordered
 
 Metric = Callable[[DataFrame], DataFrame]
@@ -30,76 +41,81 @@ def long_form(df: DataFrame, names: tuple[str, ...], by: tuple[str, ...] = ("mod
     )
 
 
-def _rouge(pairs: DataFrame, use_stemmer: bool = True) -> DataFrame:
-    names = ("rouge1", "rouge2")
-    return long_form(mean_scores(rouge_n(pairs, use_stemmer=use_stemmer), names), names)
-
-
-def _rouge_l(pairs: DataFrame, use_stemmer: bool = True) -> DataFrame:
-    names = ("rougeL",)
-    return long_form(mean_scores(rouge_l(pairs, use_stemmer=use_stemmer), names), names)
-
+def text_scores(pairs: DataFrame, use_stemmer: bool = True, decimals: int = 4) -> DataFrame:
+    """ROUGE-1/2/L, BLEU, mean length and sample count of every model in one plan.
 
-def _bleu(pairs: DataFrame) -> DataFrame:
-    scored = corpus_bleu(bleu_counts(pairs)).withColumn("bleu", F.round("bleu", 4))
-    return long_form(scored, ("bleu",))
+    The pairs cross the network once. Both tokenisations, the subsequence length and the word count
+    are made where a pair is; all grams are matched in one pass, and one aggregation per model
+    finishes every metric.
+    """
+    here = placed(pairs).select(
+        *KEYS,
+        "prediction",
+        "reference",
+        word_count(F.coalesce("prediction", F.lit(""))).alias("n_words"),
+        *mt_columns(),
+    )
+    tokens = with_lcs(alnum_pairs(here, (*KEYS, "n_words", "mt_pred", "mt_ref"), use_stemmer))
+    pair = gram_matches(tokens, KEYS, (rouge_scheme(), BLEU_SCHEME), carry=("n_words", "lcs"))
+    lcs_score = f_measure(F.col("lcs"), F.col("rouge_pred_1"), F.col("rouge_ref_1"))
+    sums = pair.groupBy("model").agg(
+        F.avg(rouge_n_score(1)).alias("rouge1"),
+        F.avg(rouge_n_score(2)).alias("rouge2"),
+        F.avg(lcs_score).alias("rougeL"),
+        F.avg("n_words").alias("avg_response_length"),
+        F.count("*").alias("num_samples"),
+        *corpus_sums(),
+    )
+    return sums.select(
+        "model",
+        *[F.round(c, decimals).alias(c) for c in ("rouge1", "rouge2", "rougeL")],
+        F.round(bleu_score(), decimals).alias("bleu"),
+        F.round("avg_response_length", 1).alias("avg_response_length"),
+        "num_samples",
+    )
 
 
-def _length(pairs: DataFrame) -> DataFrame:
-    rounded = mean_length(pairs).withColumn(
-        "avg_response_length", F.round("avg_response_length", 1)
-    )
-    return long_form(rounded, ("avg_response_length",))
+def _text_metrics(use_stemmer: bool) -> Metric:
+    names = ("rouge1", "rouge2", "rougeL", "bleu", "avg_response_length", "num_samples")
+    return lambda pairs: long_form(text_scores(pairs, use_stemmer), names)
 
 
 def _rouge_bootstrap(pairs: DataFrame) -> DataFrame:
     """Median of the resampled ROUGE-1/2 means instead of the plain mean, unstemmed."""
-    scores = rouge_n(pairs)
-    parts = [
-        bootstrap(scores, name, "sample_id").select(
-            "model", F.lit(name).alias("metric"), F.col("mid").alias("value")
-        )
-        for name in ("rouge1", "rouge2")
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    names = ("rouge1", "rouge2")
+    medians = bootstrap(rouge_n(pairs), names, "sample_id").withColumnRenamed("mid", "value")
+    return medians.select("model", F.concat("metric", F.lit("_bootstrap")).alias("metric"), "value")
 
 
+# Registered metrics: prediction pairs -> (model, metric, value) rows.
 METRICS: dict[str, Metric] = {
-    "rouge": _rouge,
-    "rougeL": _rouge_l,
-    "bleu": _bleu,
-    "avg_response_length": _length,
-}
-OPTIONAL_METRICS: dict[str, Metric] = {
-    "rouge_plain": lambda pairs: _rouge(pairs, use_stemmer=False),
-    "rougeL_plain": lambda pairs: _rouge_l(pairs, use_stemmer=False),
+    "text": _text_metrics(use_stemmer=True),
+    "text_unstemmed": _text_metrics(use_stemmer=False),
     "rouge_bootstrap": _rouge_bootstrap,
 }
 
 
 def register_metric(name: str, metric: Metric) -> None:
-    """Adds a user metric: a function from prediction pairs to (model, metric, value) rows."""
-    OPTIONAL_METRICS[name] = metric
+    """Makes a user metric available to ``evaluate`` by name."""
+    METRICS[name] = metric
 
 
 def evaluate(
     pairs: DataFrame,
-    metrics: tuple[str, ...] = tuple(METRICS),
+    metrics: tuple[str, ...] = ("text",),
     extra: DataFrame | None = None,
-    columns: tuple[str, ...] = REPORT_METRICS,
+    columns: tuple[str, ...] = (*REPORT_METRICS, "num_samples"),
 ) -> DataFrame:
-    """One row per model from any set of registered metrics.
+    """One row per model with one column per metric.
 
     ``extra`` holds further (model, metric, value) rows, such as perplexities measured elsewhere.
     The parts are united in long form and turned once, so no join depends on the number of metrics.
     """
-    known = {**METRICS, **OPTIONAL_METRICS}
-    counts = pairs.groupBy("model").agg(F.count("*").cast("double").alias("num_samples"))
-    parts = [known[m](pairs) for m in metrics] + [long_form(counts, ("num_samples",))]
+    parts = [METRICS[m](pairs) for m in metrics]
     if extra is not None:
         parts.append(extra.select("model", "metric", F.col("value").cast("double").alias("value")))
     rows = reduce(DataFrame.unionByName, parts)
-    wide = rows.groupBy("model").pivot("metric", [*columns, "num_samples"]).agg(F.first("value"))
+    wide = rows.groupBy("model").pivot("metric", list(columns)).agg(F.first("value"))
     return wide.withColumn("num_samples", F.col("num_samples").cast("long"))
 
 

@@ -6,7 +6,7 @@ aggregations (per gram, per pair) reuse that partitioning, so single grams never
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,58 +19,65 @@ from tunetable.functions.text import alnum_tokens, ngrams, or_empty
 KEYS = ("model", "sample_id")
 
 
-def tokenized(
-    pairs: DataFrame,
-    keys: tuple[str, ...] = KEYS,
-    tokens: Callable[[Column], Column] = alnum_tokens,
-    colocated: bool = False,
-) -> DataFrame:
-    """Keys with ``pred`` and ``ref`` token arrays, one key's row in one partition.
+@dataclass(frozen=True)
+class Grams:
+    """Token columns of a pair whose n-grams are matched; ``name`` prefixes the result columns."""
 
-    Pass ``colocated`` if the input is already partitioned by (part of) the keys.
+    name: str
+    pred: str
+    ref: str
+    orders: tuple[int, ...]
+
+
+def placed(pairs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """One key's row in one partition.
+
+    The partition count is the session's, and fixed: the texts are small compared with the grams
+    made of them, so sizing the tasks by the text bytes would leave too few.
     """
-    placed = pairs if colocated else pairs.repartition(*keys)
-    return placed.select(
-        *keys,
-        tokens(or_empty("prediction")).alias("pred"),
-        tokens(or_empty("reference")).alias("ref"),
-    )
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n, *keys)
 
 
-def gram_matches(tokens: DataFrame, keys: tuple[str, ...], orders: tuple[int, ...]) -> DataFrame:
-    """Keys, then per order ``match_n``, ``pred_n`` and ``ref_n`` (clipped multiset match)."""
+def gram_matches(
+    tokens: DataFrame, keys: tuple[str, ...], schemes: tuple[Grams, ...], carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Keys and, per scheme and order, ``<name>_match_n``, ``<name>_pred_n``, ``<name>_ref_n``.
+
+    Matches are clipped multiset matches. All schemes and orders come out of one pass; ``carry``
+    names further columns of the pair to keep.
+    """
+    labels = [(g.name, n) for g in schemes for n in g.orders]
     sides = F.array(
         *[
             F.struct(
-                F.lit(n).alias("n"),
-                F.lit(side == "pred").alias("is_pred"),
-                ngrams(F.col(side), n).alias("grams"),
+                F.lit(labels.index((g.name, n))).alias("label"),
+                F.lit(is_pred).alias("is_pred"),
+                ngrams(F.col(g.pred if is_pred else g.ref), n).alias("grams"),
             )
-            for n in orders
-            for side in ("pred", "ref")
+            for g in schemes
+            for n in g.orders
+            for is_pred in (True, False)
         ]
     )
+    group = [*keys, *carry]
     present = F.col("gram").isNotNull()
     counted = (
-        tokens.select(*keys, F.inline(sides))
-        .select(*keys, "n", "is_pred", F.explode_outer("grams").alias("gram"))
-        .groupBy(*keys, "n", "gram")
+        tokens.select(*group, F.inline(sides))
+        .select(*group, "label", "is_pred", F.explode_outer("grams").alias("gram"))
+        .groupBy(*group, "label", "gram")
         .agg(
             F.count_if(present & F.col("is_pred")).alias("in_pred"),
             F.count_if(present & ~F.col("is_pred")).alias("in_ref"),
         )
     )
-
-    def total(n: int, c: Column) -> Column:
-        return F.sum(F.when(F.col("n") == n, c).otherwise(F.lit(0)))
-
-    both = F.least("in_pred", "in_ref")
+    counts = {"match": F.least("in_pred", "in_ref"), "pred": F.col("in_pred"), "ref": F.col("in_ref")}
     sums = [
-        total(n, c).alias(f"{name}_{n}")
-        for n in orders
-        for name, c in (("match", both), ("pred", F.col("in_pred")), ("ref", F.col("in_ref")))
+        F.sum(F.when(F.col("label") == i, c).otherwise(F.lit(0))).alias(f"{name}_{kind}_{n}")
+        for i, (name, n) in enumerate(labels)
+        for kind, c in counts.items()
     ]
-    return counted.groupBy(*keys).agg(*sums)
+    return counted.groupBy(*group).agg(*sums)
 
 
 def f_measure(match: Column, n_pred: Column, n_ref: Column) -> Column:
@@ -103,6 +110,31 @@ def _lcs(pred: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(p.split(), r.split()) for p, r in zip(pred, ref)], dtype="int32")
 
 
+def alnum_pairs(pairs: DataFrame, keep: tuple[str, ...], use_stemmer: bool) -> DataFrame:
+    """``keep`` with the ``pred`` and ``ref`` tokens of the overlap scores."""
+    tokens = pairs.select(
+        *keep,
+        alnum_tokens(or_empty("prediction")).alias("pred"),
+        alnum_tokens(or_empty("reference")).alias("ref"),
+    )
+    if not use_stemmer:
+        return tokens
+    return tokens.withColumns({c: stem_tokens(F.col(c)) for c in ("pred", "ref")})
+
+
+def with_lcs(tokens: DataFrame) -> DataFrame:
+    lcs = _lcs(F.array_join("pred", " "), F.array_join("ref", " "))
+    return tokens.withColumn("lcs", lcs)
+
+
+def rouge_scheme(orders: tuple[int, ...] = (1, 2)) -> Grams:
+    return Grams("rouge", "pred", "ref", orders)
+
+
+def rouge_n_score(n: int) -> Column:
+    return f_measure(F.col(f"rouge_match_{n}"), F.col(f"rouge_pred_{n}"), F.col(f"rouge_ref_{n}"))
+
+
 def rouge_n(
     pairs: DataFrame,
     keys: tuple[str, ...] = KEYS,
@@ -110,39 +142,25 @@ def rouge_n(
     use_stemmer: bool = False,
     colocated: bool = False,
 ) -> DataFrame:
-    """Keys with ``rouge<n>`` for each order."""
-    tokens = _tokens(pairs, keys, use_stemmer, colocated)
-    return gram_matches(tokens, keys, orders).select(
-        *keys,
-        *[
-            f_measure(F.col(f"match_{n}"), F.col(f"pred_{n}"), F.col(f"ref_{n}")).alias(f"rouge{n}")
-            for n in orders
-        ],
+    """Keys with ``rouge<n>`` for each order.
+
+    Pass ``colocated`` if the input is already partitioned by (part of) the keys.
+    """
+    tokens = alnum_pairs(pairs if colocated else placed(pairs, keys), keys, use_stemmer)
+    return gram_matches(tokens, keys, (rouge_scheme(orders),)).select(
+        *keys, *[rouge_n_score(n).alias(f"rouge{n}") for n in orders]
     )
 
 
 def rouge_l(pairs: DataFrame, keys: tuple[str, ...] = KEYS, use_stemmer: bool = False) -> DataFrame:
     """Keys with ``lcs`` and ``rougeL``; computed row by row, without any shuffle."""
-    tokens = _tokens(pairs, keys, use_stemmer, colocated=True)
-    lcs = _lcs(F.array_join("pred", " "), F.array_join("ref", " "))
-    return tokens.withColumn("lcs", lcs).select(
+    return with_lcs(alnum_pairs(pairs, keys, use_stemmer)).select(
         *keys,
         "lcs",
         f_measure(F.col("lcs"), F.size("pred"), F.size("ref")).alias("rougeL"),
     )
 
 
-def _tokens(
-    pairs: DataFrame, keys: tuple[str, ...], use_stemmer: bool, colocated: bool
-) -> DataFrame:
-    tokens = tokenized(pairs, keys, colocated=colocated)
-    if not use_stemmer:
-        return tokens
-    return tokens.select(
-        *keys, stem_tokens(F.col("pred")).alias("pred"), stem_tokens(F.col("ref")).alias("ref")
-    )
-
-
 def mean_scores(
     scores: DataFrame, names: tuple[str, ...], by: tuple[str, ...] = ("model",), decimals: int = 4
 ) -> DataFrame:

@@ -10,15 +10,18 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunetable.functions.text import as_column
+from tunetable.session import written
 
 # The seed and evaluation share of the reference job.
 DEFAULT_SEED = 42
 DEFAULT_EVAL_FRACTION = 0.05
 
+DIGEST_DIGITS = 32
 BUCKET_DIGITS = 4  # hex digits per counting pass: at most 65,536 counters reach the driver
 RANKED_ROWS = 50_000  # a bucket of at most this many (hash, key) rows is ranked directly
 TOP_N_ROWS = 10_000  # up to this size a sample is a plain top-n
@@ -43,31 +46,40 @@ class CutOff:
         return (digest < self.digest) | ((digest == self.digest) & (key <= F.lit(self.key)))
 
 
-def cut_off(df: DataFrame, n: int, key: str, seed: int = DEFAULT_SEED) -> CutOff:
-    """Cut-off of the first ``n`` rows in hash order; needs ``1 <= n <= rows``.
+def keyed_digests(df: DataFrame, key: str, seed: int = DEFAULT_SEED) -> DataFrame:
+    return df.select(F.col(key).alias("key"), hash_order(key, seed).alias("digest"))
 
-    Each pass counts the rows per hash prefix inside the prefix that holds row ``n``, until few
-    enough rows are left to rank.
+
+def prefix_counts(keyed: DataFrame, prefix: str = "") -> list[tuple[str, int]]:
+    """Rows per next four hex digits of the digests that start with ``prefix``, in order."""
+    counts = (
+        keyed.filter(F.col("digest").startswith(prefix))
+        .groupBy(F.substring("digest", len(prefix) + 1, BUCKET_DIGITS).alias("part"))
+        .count()
+        .collect()
+    )
+    return sorted((r["part"], r["count"]) for r in counts)
+
+
+def cut_off(keyed: DataFrame, n: int, counts: list[tuple[str, int]] | None = None) -> CutOff:
+    """Cut-off of the first ``n`` of some (key, digest) rows; needs ``1 <= n <= rows``.
+
+    Counts the rows per hash prefix inside the prefix that holds row ``n``, until few enough rows
+    are left to rank. Two rounds are enough for 10**14 rows.
     """
-    keyed = df.select(F.col(key).alias("key"), hash_order(key, seed).alias("digest"))
+    counts = prefix_counts(keyed) if counts is None else counts
     prefix, rank = "", n
-    while len(prefix) < 32:
-        position = len(prefix) + 1
-        counts = (
-            keyed.filter(F.col("digest").startswith(prefix))
-            .groupBy(F.substring("digest", position, BUCKET_DIGITS).alias("part"))
-            .count()
-            .collect()
-        )
-        for part, count in sorted((r["part"], r["count"]) for r in counts):
-            if rank <= count:
-                prefix, bucket_rows = prefix + part, count
+    while True:
+        for part, rows in counts:
+            if rank <= rows:
                 break
-            rank -= count
+            rank -= rows
         else:
             raise ValueError(f"asked for row {n} of a smaller table")
-        if bucket_rows <= RANKED_ROWS:
+        prefix += part
+        if rows <= RANKED_ROWS or len(prefix) == DIGEST_DIGITS:
             break
+        counts = prefix_counts(keyed, prefix)
     last = (
         keyed.filter(F.col("digest").startswith(prefix))
         .orderBy("digest", "key")
@@ -79,16 +91,22 @@ def cut_off(df: DataFrame, n: int, key: str, seed: int = DEFAULT_SEED) -> CutOff
 
 
 def sample_exact(
-    df: DataFrame, n: int | None, key: str, seed: int = DEFAULT_SEED, rows: int | None = None
+    df: DataFrame,
+    n: int | None,
+    key: str,
+    seed: int = DEFAULT_SEED,
+    top_n_rows: int = TOP_N_ROWS,
 ) -> DataFrame:
     """Exactly ``n`` rows without replacement; unchanged if ``n`` is falsy or not below the size."""
     if not n:
         return df
-    if n <= TOP_N_ROWS:
+    if n <= top_n_rows:
         return df.orderBy(hash_order(key, seed), key).limit(n)
-    if n >= (df.count() if rows is None else rows):
+    keyed = keyed_digests(df, key, seed)
+    counts = prefix_counts(keyed)
+    if n >= sum(rows for _, rows in counts):
         return df
-    cut = cut_off(df, n, key, seed)
+    cut = cut_off(keyed, n, counts)
     return df.filter(cut.includes(hash_order(key, seed), F.col(key)))
 
 
@@ -97,15 +115,21 @@ def split_exact(
     key: str,
     eval_fraction: float = DEFAULT_EVAL_FRACTION,
     seed: int = DEFAULT_SEED,
-    rows: int | None = None,
+    write_keys: bool = False,
 ) -> DataFrame:
-    """Adds ``split``: exactly ``ceil(fraction * rows)`` rows are ``eval``, the others ``train``."""
-    total = df.count() if rows is None else rows
-    n_eval = math.ceil(eval_fraction * total)
+    """Adds ``split``: exactly ``ceil(fraction * rows)`` rows are ``eval``, the others ``train``.
+
+    ``write_keys`` stores the keys and hashes in the shared folder before they are counted; use it
+    when ``df`` is expensive to compute.
+    """
+    keyed = keyed_digests(df, key, seed)
+    if write_keys:
+        keyed = written(keyed, "split-keys")
+    counts = prefix_counts(keyed)
+    n_eval = math.ceil(eval_fraction * sum(rows for _, rows in counts))
     if n_eval == 0:
         return df.withColumn("split", F.lit("train"))
-    cut = cut_off(df, n_eval, key, seed)
-    is_eval = cut.includes(hash_order(key, seed), F.col(key))
+    is_eval = cut_off(keyed, n_eval, counts).includes(hash_order(key, seed), F.col(key))
     return df.withColumn("split", F.when(is_eval, "eval").otherwise("train"))
 
 
@@ -141,7 +165,11 @@ def _number(df: DataFrame, bucket: Column, order: list[Column], name: str) -> Da
     for b, count in counts:
         offsets.append((b, before))
         before += count
-    offsets = df.sparkSession.createDataFrame(offsets, "_bucket long, _before long")
+    table = pa.table(
+        {"_bucket": pa.array([b for b, _ in offsets], pa.int64()),
+         "_before": pa.array([n for _, n in offsets], pa.int64())}
+    )
+    offsets = df.sparkSession.createDataFrame(table)
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return (
         bucketed.join(F.broadcast(offsets), "_bucket")

@@ -184,9 +184,8 @@ def q_sample_exact(spark, sf):
 def q_sample_cutoff(spark, sf):
     """The same contract through the cut-off hash, for samples too large for a top-n."""
     docs = table(spark, sf, "documents")
-    cut = sampling.cut_off(docs, 150, "doc_id")
-    inside = cut.includes(sampling.hash_order("doc_id"), F.col("doc_id"))
-    return docs.filter(inside).select("doc_id", "lang", "n_chars")
+    sampled = sampling.sample_exact(docs, 150, "doc_id", top_n_rows=0)
+    return sampled.select("doc_id", "lang", "n_chars")
 
 
 @query
@@ -219,12 +218,7 @@ def q_batches(spark, sf):
 
 @query
 def q_truncate_stats(spark, sf):
-    docs = table(spark, sf, "documents")
-    parts = [
-        lengths.truncation_stats(docs, "text", n, ("lang",)).withColumn("limit", F.lit(n))
-        for n in (lengths.EVAL_MAX_TOKENS, lengths.TRAIN_MAX_TOKENS)
-    ]
-    return parts[0].unionByName(parts[1])
+    return lengths.truncation_stats(table(spark, sf, "documents"), "text", by=("lang",))
 
 
 @query
@@ -289,9 +283,9 @@ def q_rouge_l_stemmed(spark, sf):
 
 @query
 def q_rouge_bootstrap(spark, sf):
-    scores = rouge.rouge_n(inputs.predictions(spark, sf), orders=(1,))
-    out = bootstrap.bootstrap(scores, "rouge1", "sample_id")
-    return out.select("model", *[F.round(c, 6).alias(c) for c in ("low", "mid", "high")])
+    scores = rouge.rouge_n(inputs.predictions(spark, sf))
+    out = bootstrap.bootstrap(scores, ("rouge1", "rouge2"), "sample_id")
+    return out.select("model", "metric", *[F.round(c, 6).alias(c) for c in ("low", "mid", "high")])
 
 
 @query
@@ -336,7 +330,7 @@ def _report(spark, sf):
     )
     return report.evaluate(
         inputs.predictions(spark, sf),
-        ("rouge_plain", "rougeL_plain", "bleu", "avg_response_length"),
+        ("text_unstemmed",),
         extra=measured,
     )
 

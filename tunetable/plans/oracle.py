@@ -210,19 +210,21 @@ rouge{n} as (
   select model, sample_id, {f_measure("m", "np", "nr")} as rouge{n} from match{n})"""
 
 
-ROUGE_L = f"""codes as (
+# Row by row over the prediction: ends[k + 1] is the first reference position at which a common
+# subsequence of length k can end; its finite entries count the longest one.
+NEVER = 1000000000
+ROUGE_L = f"""matches as (
   select model, sample_id, len(p) as np, len(r) as nr,
-    list_transform(p, lambda w: [coalesce(list_position(r, w), 0)::int]) as ai,
-    list_transform(r, lambda w: list_position(r, w)::int) as bi,
-    list_transform(range(1, len(r) + 1), lambda j: [j::int]) as js,
-    list_transform(range(0, len(r) + 1), lambda x: 0::int) as z
+    list_transform(p, lambda w: list_filter(range(1, len(r) + 1), lambda j: r[j] = w)) as hits,
+    list_prepend(0, list_transform(range(least(len(p), len(r))), lambda x: {NEVER})) as ends
   from toks),
 lcs as (
   select model, sample_id, np, nr,
-    list_reduce(ai, lambda prev, xs: list_reduce(js, lambda cur, j:
-      list_append(cur, case when bi[j[1]] = xs[1] then prev[j[1]] + 1
-        else greatest(prev[j[1] + 1], cur[j[1]]) end), [0::int]), z)[-1] as lcs
-  from codes),
+    len(list_filter(list_reduce(hits, lambda e, h: case when len(h) = 0 then e else
+      list_transform(range(1, len(e) + 1), lambda k: case when k = 1 then 0 else
+        least(e[k], coalesce(list_filter(h, lambda j: j > e[k - 1])[1], {NEVER})) end) end,
+      ends), lambda v: v < {NEVER})) - 1 as lcs
+  from matches),
 rougeL as (
   select model, sample_id, lcs, {f_measure("lcs", "np", "nr")} as "rougeL" from lcs)"""
 
@@ -285,15 +287,18 @@ report as (
 
 BLOCKS = -(-REPLICATES // PER_DIGEST)
 DRAWN = f"""drawn as (
-  select model, v, block * {PER_DIGEST} + i as replicate,
+  select model, metric, v, block * {PER_DIGEST} + i as replicate,
     cast(concat('0x', substr(digest, i * 4 + 1, 4)) as int) as u
-  from (select model, rouge1 as v, block, md5(concat('42:', sample_id, ':', block)) as digest
-        from rouge1, range({BLOCKS}) b(block)) d, range({PER_DIGEST}) c(i)),
+  from (select model, metric, v, block, md5(concat('42:', sample_id, ':', block)) as digest
+        from (select model, sample_id, 'rouge1' as metric, rouge1 as v from rouge1
+              union all select model, sample_id, 'rouge2', rouge2 from rouge2) s,
+             range({BLOCKS}) b(block)) d, range({PER_DIGEST}) c(i)),
 weighted as (
-  select model, replicate, v, {" + ".join(f"(u >= {t})::int" for t in poisson_thresholds())} as w
+  select model, metric, replicate, v, {" + ".join(f"(u >= {t})::int" for t in poisson_thresholds())} as w
   from drawn where replicate < {REPLICATES}),
 means as (
-  select model, replicate, sum(w * v) / sum(w) as mean from weighted group by model, replicate)"""
+  select model, metric, sum(w * v) / sum(w) as mean from weighted
+  group by model, metric, replicate)"""
 
 SPLIT_REPORT = """select split, count(*) as n_rows, sum(length(text)) as text_chars,
   sum(length(output)) as output_chars, count(*) filter (input <> '') as n_with_input,
@@ -405,10 +410,10 @@ where u.role = 'user'""",
 select model, round(avg(rouge1), 4) as rouge1, round(avg(rouge2), 4) as rouge2
 from rouge1 join rouge2 using (model, sample_id) group by model""",
     "q_rouge_l": f"with {PREDICTIONS}, {ALNUM_TOKENS}, {ROUGE_L} select * from rougeL",
-    "q_rouge_bootstrap": f"""with {PREDICTIONS}, {ALNUM_TOKENS}, {rouge_n(1)}, {DRAWN}
-select model, round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.5), 6) as mid,
+    "q_rouge_bootstrap": f"""with {PREDICTIONS}, {ALNUM_TOKENS}, {rouge_n(1)}, {rouge_n(2)}, {DRAWN}
+select model, metric, round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.5), 6) as mid,
   round(quantile_cont(mean, 0.975), 6) as high
-from means group by model""",
+from means group by model, metric""",
     "q_bleu": f"""with {PREDICTIONS}, {MT_TOKENS}, {BLEU}
 select model, sys_len, ref_len, round(bleu, 6) as bleu from bleu""",
     "q_mean_length": f"""with {PREDICTIONS}
