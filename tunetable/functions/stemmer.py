@@ -10,7 +10,6 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,11 +153,6 @@ def stem_word(word: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def _stem_joined(texts: pd.Series) -> pd.Series:
+def stem_text(texts: pd.Series) -> pd.Series:
+    """Lower-case texts of space-separated words -> the stemmed words, in the same order."""
     return texts.map(lambda t: " ".join(map(stem_word, t.split(" "))), na_action="ignore")
-
-
-def stem_tokens(tokens: Column) -> Column:
-    """Stemmed form of an array of space-free lower-case tokens, in the same order."""
-    stemmed = F.split(_stem_joined(F.array_join(tokens, " ")), " ")
-    return F.when(F.size(tokens) > 0, stemmed).otherwise(tokens)

@@ -61,6 +61,11 @@ def alnum_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(as_column(c)), F.lit(ALNUM_RUN), F.lit(0))
 
 
+def joined_tokens(c: Column) -> Column:
+    """Token array of a text whose tokens are separated by single spaces."""
+    return F.when(c != "", F.split(c, " ")).otherwise(F.array().cast("array<string>"))
+
+
 def mt13a_tokens(c: Column | str) -> Column:
     """Tokens of the 13a machine-translation scheme (case is kept)."""
     out = as_column(c)

@@ -9,20 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunetable.functions.formats import percent
-from tunetable.functions.text import word_count
+from tunetable.functions.text import or_empty, word_count
 from tunetable.operators.bleu import SCHEME as BLEU_SCHEME
 from tunetable.operators.bleu import bleu_score, corpus_sums, mt_columns
 from tunetable.operators.bootstrap import bootstrap
 from tunetable.operators.rouge import (
     KEYS,
-    alnum_pairs,
     f_measure,
     gram_matches,
+    normalized,
     placed,
     rouge_n,
     rouge_n_score,
     rouge_scheme,
     with_lcs,
+    with_tokens,
 )
 from tunetable.operators.sampling import row_index_ordered
 
@@ -44,18 +45,14 @@ def long_form(df: DataFrame, names: tuple[str, ...], by: tuple[str, ...] = ("mod
 def text_scores(pairs: DataFrame, use_stemmer: bool = True, decimals: int = 4) -> DataFrame:
     """ROUGE-1/2/L, BLEU, mean length and sample count of every model in one plan.
 
-    The pairs cross the network once. Both tokenisations, the subsequence length and the word count
-    are made where a pair is; all grams are matched in one pass, and one aggregation per model
-    finishes every metric.
+    The pairs cross the network once, after the Python steps (stems, subsequence length). Both
+    tokenisations are matched in one pass where a pair is, and one aggregation per model finishes
+    every metric.
     """
-    here = placed(pairs).select(
-        *KEYS,
-        "prediction",
-        "reference",
-        word_count(F.coalesce("prediction", F.lit(""))).alias("n_words"),
-        *mt_columns(),
+    texts = with_lcs(normalized(pairs, (*KEYS, "prediction", "reference"), use_stemmer))
+    tokens = with_tokens(placed(texts)).select(
+        *KEYS, "pred", "ref", "lcs", word_count(or_empty("prediction")).alias("n_words"), *mt_columns()
     )
-    tokens = with_lcs(alnum_pairs(here, (*KEYS, "n_words", "mt_pred", "mt_ref"), use_stemmer))
     pair = gram_matches(tokens, KEYS, (rouge_scheme(), BLEU_SCHEME), carry=("n_words", "lcs"))
     lcs_score = f_measure(F.col("lcs"), F.col("rouge_pred_1"), F.col("rouge_ref_1"))
     sums = pair.groupBy("model").agg(

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tunetable.functions.stemmer import stem_tokens
-from tunetable.functions.text import alnum_tokens, ngrams, or_empty
+from tunetable.functions.stemmer import stem_text
+from tunetable.functions.text import alnum_tokens, joined_tokens, ngrams, or_empty
 
 KEYS = ("model", "sample_id")
 
@@ -32,8 +32,10 @@ class Grams:
 def placed(pairs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One key's row in one partition.
 
-    The partition count is the session's, and fixed: the texts are small compared with the grams
-    made of them, so sizing the tasks by the text bytes would leave too few.
+    Both gram aggregations then need no shuffle. Python functions hide the partitioning of their
+    input from the planner, so they have to run before. The partition count is the session's, and
+    fixed: the texts are small compared with the grams made of them, so sizing the tasks by the
+    text bytes would leave too few.
     """
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return pairs.repartition(n, *keys)
@@ -110,21 +112,22 @@ def _lcs(pred: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(p.split(), r.split()) for p, r in zip(pred, ref)], dtype="int32")
 
 
-def alnum_pairs(pairs: DataFrame, keep: tuple[str, ...], use_stemmer: bool) -> DataFrame:
-    """``keep`` with the ``pred`` and ``ref`` tokens of the overlap scores."""
-    tokens = pairs.select(
+def normalized(pairs: DataFrame, keep: tuple[str, ...], use_stemmer: bool) -> DataFrame:
+    """``keep`` with ``pred`` and ``ref``: the tokens of the overlap scores, joined by spaces."""
+    texts = pairs.select(
         *keep,
-        alnum_tokens(or_empty("prediction")).alias("pred"),
-        alnum_tokens(or_empty("reference")).alias("ref"),
+        F.array_join(alnum_tokens(or_empty("prediction")), " ").alias("pred"),
+        F.array_join(alnum_tokens(or_empty("reference")), " ").alias("ref"),
     )
-    if not use_stemmer:
-        return tokens
-    return tokens.withColumns({c: stem_tokens(F.col(c)) for c in ("pred", "ref")})
+    return texts.withColumns({c: stem_text(c) for c in ("pred", "ref")}) if use_stemmer else texts
 
 
-def with_lcs(tokens: DataFrame) -> DataFrame:
-    lcs = _lcs(F.array_join("pred", " "), F.array_join("ref", " "))
-    return tokens.withColumn("lcs", lcs)
+def with_lcs(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("lcs", _lcs("pred", "ref"))
+
+
+def with_tokens(texts: DataFrame) -> DataFrame:
+    return texts.withColumns({c: joined_tokens(F.col(c)) for c in ("pred", "ref")})
 
 
 def rouge_scheme(orders: tuple[int, ...] = (1, 2)) -> Grams:
@@ -146,7 +149,8 @@ def rouge_n(
 
     Pass ``colocated`` if the input is already partitioned by (part of) the keys.
     """
-    tokens = alnum_pairs(pairs if colocated else placed(pairs, keys), keys, use_stemmer)
+    texts = normalized(pairs, keys, use_stemmer)
+    tokens = with_tokens(texts if colocated else placed(texts, keys))
     return gram_matches(tokens, keys, (rouge_scheme(orders),)).select(
         *keys, *[rouge_n_score(n).alias(f"rouge{n}") for n in orders]
     )
@@ -154,11 +158,9 @@ def rouge_n(
 
 def rouge_l(pairs: DataFrame, keys: tuple[str, ...] = KEYS, use_stemmer: bool = False) -> DataFrame:
     """Keys with ``lcs`` and ``rougeL``; computed row by row, without any shuffle."""
-    return with_lcs(alnum_pairs(pairs, keys, use_stemmer)).select(
-        *keys,
-        "lcs",
-        f_measure(F.col("lcs"), F.size("pred"), F.size("ref")).alias("rougeL"),
-    )
+    scored = with_lcs(normalized(pairs, keys, use_stemmer))
+    sizes = [F.size(joined_tokens(F.col(c))) for c in ("pred", "ref")]
+    return scored.select(*keys, "lcs", f_measure(F.col("lcs"), *sizes).alias("rougeL"))
 
 
 def mean_scores(

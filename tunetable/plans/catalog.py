@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from tunetable.operators import (
 )
 from tunetable.plans import inputs
 from tunetable.plans.inputs import STREAM, table
-from tunetable.session import scratch_path
+from tunetable.session import scratch_path, ship_package
 from tunetable.sources import inline, readers, writers
 from tunetable.sources.schemas import INSTRUCTIONS
 from tunetable.streaming import limits as live_limits
@@ -45,8 +46,13 @@ DAY = "1 day"
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ship_package(spark)
+        return f(spark, sf)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 # --- preparation ---------------------------------------------------------------------------------
