@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from tunetable import session
 from tunetable.operators import frames, report, telemetry
+from tunetable.operators.syntax import parse_result
 from tunetable.sources import inline, readers, writers
 from tunetable.streaming import limits, loss, tokens
 from tunetable.streaming.runs import append_to_files, file_stream
@@ -81,8 +82,8 @@ def test_missing_inputs_are_reported(spark, rows, tmp_path):
 
 
 def test_review_file(spark, tmp_path):
-    df = inline.review_prompts(spark).withColumns(
-        {"k": F.monotonically_increasing_id(), "generated_code": F.lit("pass")})
+    df = inline.review_problems(spark).withColumn("k", F.length("prompt"))
+    assert all(parse_result(r["generated_code"])[0] for r in df.collect())
     path = writers.write_review(report.review_report(df, "k"), str(tmp_path / "review"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "review").glob("part-*")))
     assert text.startswith("# Human Evaluation Benchmark") and text.count("## Problem") == 3

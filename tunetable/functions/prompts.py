@@ -46,19 +46,23 @@ def user_content(instruction: Column | str, input_: Column | str) -> Column:
     )
 
 
-def message(role: str, content: Column) -> Column:
-    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+Turns = list[tuple[str, Column]]
 
 
-def messages(
+def turns(
     user: Column, answer: Column | None = None, system: str | None = SYSTEM_PROMPT
-) -> Column:
-    """Message array: [system,] user [, assistant]."""
-    parts = [] if system is None else [message("system", F.lit(system))]
-    parts.append(message("user", user))
+) -> Turns:
+    """(role, content) of a single exchange: [system,] user [, assistant]."""
+    out = [] if system is None else [("system", F.lit(system))]
+    out.append(("user", user))
     if answer is not None:
-        parts.append(message("assistant", answer))
-    return F.array(*parts)
+        out.append(("assistant", answer))
+    return out
+
+
+def messages(exchange: Turns) -> Column:
+    """The exchange as an array of (role, content) structs."""
+    return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in exchange])
 
 
 def render_turn(
@@ -77,22 +81,31 @@ def render_turn(
     )
 
 
-def render_turns(msgs: Column, template: ChatTemplate = DEFAULT_TEMPLATE) -> Column:
-    """Turns of an ordered message array, without the text start marker."""
+def render_exchange(exchange: Turns, template: ChatTemplate = DEFAULT_TEMPLATE) -> Column:
+    """Training text of an exchange whose roles are known; ending with the user turn it is the
+    generation prompt. A plain concatenation, so it stays in generated code."""
+    pieces, previous = [F.lit(template.start)], None
+    for role, text in exchange:
+        opening = "" if previous == "system" else template.open_instruction
+        before, after = {
+            "system": (opening, template.after_system),
+            "user": (opening, template.close_instruction),
+            "assistant": (template.before_answer, template.after_answer),
+        }[role]
+        pieces += [F.lit(before), text, F.lit(after)]
+        previous = role
+    return F.concat(*pieces)
+
+
+def render_turns(msgs: str, template: ChatTemplate = DEFAULT_TEMPLATE) -> Column:
+    """Turns of an ordered message array column of any length, without the text start marker."""
     pieces = F.transform(
         msgs,
-        lambda m, i: render_turn(
-            m["role"], m["content"], F.get(msgs, i - 1)["role"], template
-        ),
+        lambda m, i: render_turn(m["role"], m["content"], F.get(msgs, i - 1)["role"], template),
     )
     return F.array_join(pieces, "")
 
 
-def render_chat(msgs: Column, template: ChatTemplate = DEFAULT_TEMPLATE) -> Column:
-    """Training text; ending with a user message it is the generation prompt."""
-    return F.concat(F.lit(template.start), render_turns(msgs, template))
-
-
 def render_alpaca(instruction: Column | str, response: Column | str | None = None) -> Column:
     parts = [F.lit(ALPACA_INSTRUCTION), as_column(instruction), F.lit("\n\n" + ALPACA_RESPONSE)]
     if response is not None:
@@ -124,5 +137,5 @@ def format_columns(
     instr = strip(or_empty(instruction))
     given = or_empty(input_)
     answer = strip(or_empty(output))
-    text = render_chat(messages(user_content(instr, given), answer, system), template)
+    text = render_exchange(turns(user_content(instr, given), answer, system), template)
     return {"instruction": instr, "input": given, "output": answer, "text": text}

@@ -130,7 +130,7 @@ def render_conversations(
             "conv_id",
             "block",
             F.size("msgs").alias("n_turns"),
-            render_turns(F.col("msgs"), template).alias("piece"),
+            render_turns("msgs", template).alias("piece"),
             F.get("msgs", F.lit(0))["role"].alias("first_role"),
             F.element_at("msgs", -1)["role"].alias("last_role"),
         )

@@ -73,13 +73,17 @@ def gram_matches(
             F.count_if(present & ~F.col("is_pred")).alias("in_ref"),
         )
     )
-    counts = {"match": F.least("in_pred", "in_ref"), "pred": F.col("in_pred"), "ref": F.col("in_ref")}
+    per_label = counted.groupBy(*group, "label").agg(
+        F.sum(F.least("in_pred", "in_ref")).alias("match"),
+        F.sum("in_pred").alias("pred"),
+        F.sum("in_ref").alias("ref"),
+    )
     sums = [
-        F.sum(F.when(F.col("label") == i, c).otherwise(F.lit(0))).alias(f"{name}_{kind}_{n}")
+        F.sum(F.when(F.col("label") == i, F.col(kind)).otherwise(F.lit(0))).alias(f"{name}_{kind}_{n}")
         for i, (name, n) in enumerate(labels)
-        for kind, c in counts.items()
+        for kind in ("match", "pred", "ref")
     ]
-    return counted.groupBy(*group).agg(*sums)
+    return per_label.groupBy(*group).agg(*sums)
 
 
 def f_measure(match: Column, n_pred: Column, n_ref: Column) -> Column:

@@ -100,15 +100,15 @@ def q_user_content(spark, sf):
 @query
 def q_messages_render(spark, sf):
     user = prompts.user_content("instruction", "input")
-    training = prompts.messages(user, F.col("output"))
-    asking = prompts.messages(user)
-    plain = prompts.messages(F.col("instruction"), system=None)
+    training = prompts.turns(user, F.col("output"))
+    plain = prompts.turns(F.col("instruction"), system=None)
+    roles = F.transform(prompts.messages(training), lambda m: m["role"])
     return inputs.pairs(spark, sf).select(
         "sample_id",
-        F.array_join(F.transform(training, lambda m: m["role"]), ",").alias("roles"),
-        prompts.render_chat(training).alias("text"),
-        prompts.render_chat(asking).alias("generation_prompt"),
-        prompts.render_chat(plain).alias("plain_prompt"),
+        F.array_join(roles, ",").alias("roles"),
+        prompts.render_exchange(training).alias("text"),
+        prompts.render_exchange(prompts.turns(user)).alias("generation_prompt"),
+        prompts.render_exchange(plain).alias("plain_prompt"),
     )
 
 
@@ -630,6 +630,22 @@ def q_jsonl_roundtrip(spark, sf):
     return readers.read_splits(spark, files, INSTRUCTIONS)
 
 
+@query
+def q_union_available(spark, sf):
+    """Prediction files of two models out of three expected ones, united."""
+    schema = "sample_id long, prediction string, reference string"
+    preds = inputs.predictions(spark, sf)
+    path = scratch_path(spark, "predictions")
+    preds.write.partitionBy("model").json(path)
+    expected = {m: f"{path}/model={m}" for m in ("base", "finetuned", "distilled")}
+    found, missing = readers.union_available(spark, expected, schema)
+    return found.groupBy("model").agg(
+        F.count("*").alias("n_rows"),
+        F.sum(F.length("prediction")).alias("prediction_chars"),
+        F.lit(",".join(missing)).alias("missing"),
+    )
+
+
 @query
 def q_split_publish(spark, sf):
     docs = sampling.split_stable(table(spark, sf, "documents"), "doc_id")

@@ -572,6 +572,9 @@ select sample_id, number, concat(case when number = 1 then {HEADER} else '' end,
 from n""",
     "q_jsonl_roundtrip": f"""with {INSTRUCTION_DOCS}, {formatted("instruction_docs", "doc_id")}
 select instruction, input, output, text, {stable_split("doc_id")} as split from formatted""",
+    "q_union_available": f"""with {PREDICTIONS}
+select model, count(*) as n_rows, sum(length(prediction)) as prediction_chars,
+  'distilled' as missing from predictions group by model""",
     "q_split_publish": f"""select doc_id, lang, n_chars, {stable_split("doc_id")} as split
 from documents where {stable_split("doc_id")} = 'eval'""",
     "q_csv_append": f"""with {TYPED_LOG}, t as (

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The example prompts offered to users, and the sample review problems.
+from tunetable.sources.schemas import PROBLEMS
+
+# The example prompts offered to users, and the prompts of the sample review problems.
 EXAMPLE_PROMPTS = (
     (
         "Fibonacci (DP)",
@@ -39,9 +41,19 @@ REVIEW_PROMPTS = (
 )
 
 
+SAMPLE_ANSWERS = (
+    "def fib(n: int) -> list[int]:\n    a, b, out = 0, 1, []\n    for _ in range(n):\n"
+    "        out.append(a)\n        a, b = b, a + b\n    return out",
+    "def is_palindrome(text: str) -> bool:\n    return text == text[::-1]",
+    "def prime_factors(n: int) -> list[int]:\n    d = 2\n    while d * d <= n:\n"
+    "        if n % d == 0:\n            return [d, *prime_factors(n // d)]\n        d += 1\n"
+    "    return [n] if n > 1 else []",
+)
+
+
 def example_prompts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(EXAMPLE_PROMPTS), "label string, prompt string")
 
 
-def review_prompts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in REVIEW_PROMPTS], "prompt string")
+def review_problems(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(zip(REVIEW_PROMPTS, SAMPLE_ANSWERS)), PROBLEMS)

@@ -30,7 +30,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_jsonl(
-    spark: SparkSession, path: str | list[str], schema: StructType = INSTRUCTIONS, strict: bool = True
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType | str = INSTRUCTIONS,
+    strict: bool = True,
 ) -> DataFrame:
     """JSON lines with a fixed schema; with ``strict`` a malformed line is an error."""
     mode = "FAILFAST" if strict else "DROPMALFORMED"
@@ -75,7 +78,7 @@ def metric_records(document: DataFrame) -> DataFrame:
 
 
 def union_available(
-    spark: SparkSession, files: dict[str, str], schema: StructType = INSTRUCTIONS
+    spark: SparkSession, files: dict[str, str], schema: StructType | str = INSTRUCTIONS
 ) -> tuple[DataFrame, list[str]]:
     """Rows of the inputs that exist (labelled ``model``) and the labels of those that do not."""
     found = {k: p for k, p in files.items() if path_exists(spark, p)}

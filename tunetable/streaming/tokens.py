@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,8 +32,9 @@ def _fold(
             yield (*key, text, count, False)
         return
     pieces = [text]
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    for seq, token, done in zip(rows["seq"], rows["token"], rows["done"]):
+    rows = [f for b in batches for f in zip(b["seq"], b["token"], b["done"], b["ms"])]
+    rows.sort(key=itemgetter(0))
+    for seq, token, done, _ in rows:
         if seq == 0:
             pieces, count, finished = [], 0, False
         if finished:
@@ -46,7 +48,7 @@ def _fold(
             count += 1
     state.update(("".join(pieces), count, finished))
     if expires:
-        latest = int(rows["ms"].max())
+        latest = int(max(ms for *_, ms in rows))
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + IDLE_MS)
 
 
