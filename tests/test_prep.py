@@ -95,23 +95,22 @@ def in_hash_order(spark, df, seed=42):
     return [r["doc_id"] for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"]))]
 
 
-def test_cut_off_sample_equals_top_n(spark, numbered, monkeypatch):
+def test_sample_is_the_start_of_the_hash_order(spark, numbered, monkeypatch):
     order = in_hash_order(spark, numbered)
     for ranked in (50_000, 0):  # 0 forces the refinement down to single digests
         monkeypatch.setattr(sampling, "RANKED_ROWS", ranked)
         for n in (1, 777, 1999):
-            got = sampling.sample_exact(numbered, n, "doc_id", top_n_rows=0).collect()
+            got = sampling.sample_exact(numbered, n, "doc_id").collect()
             assert {r["doc_id"] for r in got} == set(order[:n])
             if ranked == 0:
                 break
-    top = sampling.sample_exact(numbered, 777, "doc_id").collect()
-    assert {r["doc_id"] for r in top} == set(order[:777])
+    stored = sampling.sample_exact(numbered, 777, "doc_id", write_keys=True).collect()
+    assert {r["doc_id"] for r in stored} == set(order[:777])
 
 
 def test_sample_is_a_no_op_without_or_beyond_a_size(spark, numbered):
     for n in (None, 0, 2000, 5000):
         assert sampling.sample_exact(numbered, n, "doc_id").count() == 2000
-        assert sampling.sample_exact(numbered, n, "doc_id", top_n_rows=0).count() == 2000
 
 
 def test_sample_depends_on_the_seed_but_not_on_partitioning(spark, numbered):

@@ -24,7 +24,6 @@ DEFAULT_EVAL_FRACTION = 0.05
 DIGEST_DIGITS = 32
 BUCKET_DIGITS = 4  # hex digits per counting pass: at most 65,536 counters reach the driver
 RANKED_ROWS = 50_000  # a bucket of at most this many (hash, key) rows is ranked directly
-TOP_N_ROWS = 10_000  # up to this size a sample is a plain top-n
 
 
 def hash_order(key: Column | str, seed: int = DEFAULT_SEED) -> Column:
@@ -91,18 +90,19 @@ def cut_off(keyed: DataFrame, n: int, counts: list[tuple[str, int]] | None = Non
 
 
 def sample_exact(
-    df: DataFrame,
-    n: int | None,
-    key: str,
-    seed: int = DEFAULT_SEED,
-    top_n_rows: int = TOP_N_ROWS,
+    df: DataFrame, n: int | None, key: str, seed: int = DEFAULT_SEED, write_keys: bool = False
 ) -> DataFrame:
-    """Exactly ``n`` rows without replacement; unchanged if ``n`` is falsy or not below the size."""
+    """Exactly ``n`` rows without replacement; unchanged if ``n`` is falsy or not below the size.
+
+    Not a sorted limit: that would send ``n`` whole rows of every input partition to one task.
+    ``write_keys`` stores the keys and hashes in the shared folder before they are counted; use it
+    when ``df`` is expensive to compute.
+    """
     if not n:
         return df
-    if n <= top_n_rows:
-        return df.orderBy(hash_order(key, seed), key).limit(n)
     keyed = keyed_digests(df, key, seed)
+    if write_keys:
+        keyed = written(keyed, "sample-keys")
     counts = prefix_counts(keyed)
     if n >= sum(rows for _, rows in counts):
         return df
@@ -119,8 +119,7 @@ def split_exact(
 ) -> DataFrame:
     """Adds ``split``: exactly ``ceil(fraction * rows)`` rows are ``eval``, the others ``train``.
 
-    ``write_keys`` stores the keys and hashes in the shared folder before they are counted; use it
-    when ``df`` is expensive to compute.
+    ``write_keys`` as in ``sample_exact``.
     """
     keyed = keyed_digests(df, key, seed)
     if write_keys:

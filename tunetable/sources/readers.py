@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,9 +14,14 @@ from tunetable.sources.schemas import INSTRUCTIONS, LOSS_LOG_TEXT, METRICS_DOCUM
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the file system that owns the path (local, HDFS, object store)."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    """Whether Spark finds the path, on whatever file system it is; nothing is read."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def first_available(spark: SparkSession, paths: list[str]) -> str:
