@@ -131,7 +131,9 @@ def test_decoding_rules(spark, monkeypatch):
         (1, 0, 'data: {"token": "a"}'), (1, 1, ""), (1, 2, ': ping'), (1, 3, 'data: {"tok'),
         (1, 4, 'data: {"token": ""}'), (1, 5, 'data:{"token": "no"}'), (1, 6, 'data: {"token": "b", "done": false}'),
         (1, 7, 'data: {"done": true}'), (1, 8, 'data: {"token": "late"}'), (1, 9, 'data: {"done": true}'),
-        (2, 0, 'data: {"token": "open"}')]
+        (2, 0, 'data: {"token": "open"}'), (2, 1, 'data: {"token": "x"} y'), (2, 2, 'data: {"token": "x"}{"token": "y"}'),
+        (2, 3, "data: {'token': 'x'}"), (2, 4, "data: null"), (2, 5, "data: [1]"), (2, 6, 'data: {"token": "x",}'),
+        (2, 7, "data: ")]
     df = spark.createDataFrame(lines, "stream long, seq long, line string")
     rows = frames.decode_frames(df, ("stream",)).collect()
     assert sorted((r["stream"], r["token"]) for r in rows) == [(1, "a"), (1, "b"), (2, "open")]

@@ -12,7 +12,8 @@ DATA_PREFIX = "data: "
 TOKEN_OPEN = 'data: {"token": '
 DONE_LINE = 'data: {"done": true}'
 MIN_ELAPSED = 0.5
-FRAME_SCHEMA = "token string, done boolean"
+FRAME_SCHEMA = "f struct<token: string, done: string>"
+FALSY = ("", "0", "false")  # values of "done" that do not end a stream
 BLOCK = 4096  # frames of one stream that are assembled by one task
 
 
@@ -47,15 +48,17 @@ def encode_frames(texts: DataFrame, stream: tuple[str, ...], text: str = "text")
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds ``token`` and ``done``; other lines, malformed JSON and empty tokens are dropped.
 
-    ``inline`` makes the parsed fields plain columns, so a line is parsed once however often they
-    are used further on.
+    The body is parsed as a field of an enclosing object, so that anything after its end is an
+    error too. ``inline`` makes the parsed fields plain columns: a line is parsed once however
+    often they are used further on.
     """
     body = F.regexp_extract(line, f"(?s)^{DATA_PREFIX}(.*)", 1)
+    wrapped = F.concat(F.lit('{"f":'), body, F.lit("}"))
+    frame = F.from_json(wrapped, FRAME_SCHEMA, {"allowSingleQuotes": "false"})["f"]
     others = [c for c in lines.columns if c != line]
-    parsed = lines.select(*others, F.inline(F.array(F.from_json(body, FRAME_SCHEMA))))
-    finished = F.coalesce("done", F.lit(False))
+    parsed = lines.select(*others, F.inline(F.array(frame)))
     return (
-        parsed.withColumn("done", finished)
+        parsed.withColumn("done", ~F.coalesce("done", F.lit("")).isin(*FALSY))
         .withColumn("token", F.when(~F.col("done"), F.col("token")))
         .filter(F.col("done") | (F.col("token") != ""))
     )

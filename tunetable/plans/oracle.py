@@ -34,7 +34,7 @@ def n_words(c: str) -> str:
 def ordered_split(key: str) -> str:
     """Rows of ``t`` with the exact split: the first ceil(5 %) in hash order are eval."""
     return f"""case when row_number() over (order by {hash_of(key)}, {key})
-        <= ceil(0.05 * count(*) over ()) then 'eval' else 'train' end"""
+        <= ceil(cast(0.05 as double) * count(*) over ()) then 'eval' else 'train' end"""
 
 
 def stable_split(key: str) -> str:
