@@ -95,6 +95,16 @@ def test_admission_limits_each_group_before_the_shuffle(hits):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_route_limits(hits):
+    df = hits[0].withColumn("route", F.when(F.col("event_id") % 2 == 0, "validate").otherwise("base"))
+    kept = usage.admitted(df, ("user_id", "route"), 20, route_limit=usage.limit_of("route"))
+    assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
+    highest = {r["route"]: r["m"] for r in kept.groupBy("route").agg(F.max("rank").alias("m")).collect()}
+    assert highest == {"validate": 20, "base": 5}
+    counts = usage.window_counts(df, ("user_id", "route"), usage.limit_of("route"))
+    assert counts.agg(F.sum("n_admitted")).first()[0] == kept.count()
+
+
 def test_recent_prompts(spark):
     rows = [(1, p, datetime(2024, 1, 1, 0, 0, s)) for s, p in enumerate(["a", "b", " a ", "c", " ", "d", "e", "f", "b"])]
     df = spark.createDataFrame(rows, "user_id long, prompt string, ts timestamp_ntz")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunetable.functions.quality import request_columns, request_violations
@@ -11,6 +11,7 @@ from tunetable.functions.text import strip
 # Admitted requests per window and route, window length, history length.
 GENERATE_LIMIT = 5
 VALIDATE_LIMIT = 20
+ROUTE_LIMITS = {"validate": VALIDATE_LIMIT}  # routes that differ from the general limit
 WINDOW = "1 minute"
 HISTORY_LENGTH = 5
 
@@ -24,6 +25,14 @@ def check_requests(requests: DataFrame) -> DataFrame:
     )
 
 
+def limit_of(route: str, limits: dict[str, int] = ROUTE_LIMITS, other: int = GENERATE_LIMIT) -> Column:
+    """The admission limit of each request's route."""
+    out = F.lit(other)
+    for name, n in limits.items():
+        out = F.when(F.col(route) == name, n).otherwise(out)
+    return out
+
+
 def admitted(
     requests: DataFrame,
     key: tuple[str, ...],
@@ -31,32 +40,40 @@ def admitted(
     window: str = WINDOW,
     ts: str = "ts",
     order: str = "event_id",
+    route_limit: Column | None = None,
 ) -> DataFrame:
     """The first ``limit`` requests per key and clock-aligned window, with their ``rank``.
 
+    With ``route_limit`` (then the key contains the route) ``limit`` is the largest of the limits.
     Spark keeps only ``limit`` rows per group and task before the shuffle (the rank filter is
     applied on both sides of it), so a single busy client sends a few rows per task.
     """
     w = Window.partitionBy(*key, "window_start").orderBy(ts, order)
+    inside = F.col("rank") <= limit
+    if route_limit is not None:
+        inside = inside & (F.col("rank") <= route_limit)
     return (
         requests.withColumn("window_start", F.window(ts, window)["start"])
         .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= limit)
+        .filter(inside)
     )
 
 
 def window_counts(
     requests: DataFrame,
     key: tuple[str, ...],
-    limit: int = GENERATE_LIMIT,
+    limit: int | Column = GENERATE_LIMIT,
     window: str = WINDOW,
     ts: str = "ts",
 ) -> DataFrame:
-    """Admitted and blocked requests per key and clock-aligned window; combines before shuffling."""
+    """Admitted and blocked requests per key and clock-aligned window; combines before shuffling.
+
+    ``limit`` may be a column over the key.
+    """
     return (
         requests.groupBy(*key, F.window(ts, window)["start"].alias("window_start"))
         .agg(F.count("*").alias("n_requests"))
-        .withColumn("n_admitted", F.least("n_requests", F.lit(limit)))
+        .withColumn("n_admitted", F.least("n_requests", limit if isinstance(limit, Column) else F.lit(limit)))
         .withColumn("n_blocked", F.col("n_requests") - F.col("n_admitted"))
     )
 

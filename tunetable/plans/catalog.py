@@ -452,13 +452,21 @@ def q_rate_limit(spark, sf):
 @query
 def q_rate_limit_routes(spark, sf):
     """Five per minute, client and route; at this traffic nearly all are admitted."""
-    return usage.window_counts(inputs.requests(spark, sf), ("user_id", "route")).groupBy(
-        "route"
-    ).agg(
-        F.sum("n_requests").alias("n_requests"),
-        F.sum("n_admitted").alias("n_admitted"),
-        F.sum("n_blocked").alias("n_blocked"),
+    counts = usage.window_counts(
+        inputs.requests(spark, sf), ("user_id", "route"), usage.limit_of("route")
     )
+    names = ("n_requests", "n_admitted", "n_blocked")
+    return counts.groupBy("route").agg(*[F.sum(n).alias(n) for n in names])
+
+
+@query
+def q_rate_limit_mixed(spark, sf):
+    """Different daily limits per route."""
+    limits = usage.limit_of("route", {"click": 1, "view": 2}, other=3)
+    kept = usage.admitted(
+        inputs.requests(spark, sf), ("user_id", "route"), 3, DAY, route_limit=limits
+    )
+    return kept.select("event_id", "user_id", "route", _day("window_start"), "rank")
 
 
 @query

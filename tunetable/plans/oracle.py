@@ -499,6 +499,11 @@ select *, violations = '' as accepted from v""",
 select route, sum(n) as n_requests, sum(least(n, 5)) as n_admitted,
   sum(n) - sum(least(n, 5)) as n_blocked
 from c group by route""",
+    "q_rate_limit_mixed": f"""select * from (
+  select event_id, user_id, event_type as route, {DAY} as day,
+    row_number() over (partition by user_id, event_type, {DAY} order by ts, event_id) as rank
+  from events) t
+where rank <= case route when 'click' then 1 when 'view' then 2 else 3 end""",
     "q_rate_counts": f"""select user_id, {DAY} as day, count(*) as n_requests,
   least(count(*), 5) as n_admitted, count(*) - least(count(*), 5) as n_blocked
 from events group by user_id, day""",
