@@ -42,18 +42,23 @@ def long_form(df: DataFrame, names: tuple[str, ...], by: tuple[str, ...] = ("mod
     )
 
 
-def text_scores(pairs: DataFrame, use_stemmer: bool = True, decimals: int = 4) -> DataFrame:
+def text_scores(
+    pairs: DataFrame,
+    use_stemmer: bool = True,
+    decimals: int = 4,
+    keys: tuple[str, ...] = KEYS,
+) -> DataFrame:
     """ROUGE-1/2/L, BLEU, mean length and sample count of every model in one plan.
 
     The pairs cross the network once, after the Python steps (stems, subsequence length). Both
     tokenisations are matched in one pass where a pair is, and one aggregation per model finishes
-    every metric.
+    every metric. ``keys`` (with ``model``) must be unique per pair.
     """
-    texts = with_lcs(normalized(pairs, (*KEYS, "prediction", "reference"), use_stemmer))
-    tokens = with_tokens(placed(texts)).select(
-        *KEYS, "pred", "ref", "lcs", word_count(or_empty("prediction")).alias("n_words"), *mt_columns()
+    texts = with_lcs(normalized(pairs, (*keys, "prediction", "reference"), use_stemmer))
+    tokens = with_tokens(placed(texts, keys)).select(
+        *keys, "pred", "ref", "lcs", word_count(or_empty("prediction")).alias("n_words"), *mt_columns()
     )
-    pair = gram_matches(tokens, KEYS, (rouge_scheme(), BLEU_SCHEME), carry=("n_words", "lcs"))
+    pair = gram_matches(tokens, keys, (rouge_scheme(), BLEU_SCHEME), carry=("n_words", "lcs"))
     lcs_score = f_measure(F.col("lcs"), F.col("rouge_pred_1"), F.col("rouge_ref_1"))
     sums = pair.groupBy("model").agg(
         F.avg(rouge_n_score(1)).alias("rouge1"),
@@ -176,7 +181,7 @@ REVIEW_RUBRIC = (
 
 def review_report(problems: DataFrame, key: str) -> DataFrame:
     """Numbered Markdown blocks (``number``, ``block``) in key order; number 1 has the header."""
-    numbered = row_index_ordered(problems, key, "_index").withColumn(
+    numbered = row_index_ordered(problems, key, "_index", write_keys=True).withColumn(
         "number", F.col("_index") + 1
     )
     block = F.concat(

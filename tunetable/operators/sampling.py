@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -154,49 +155,65 @@ def tail(df: DataFrame, n: int, order: str) -> DataFrame:
     return df.orderBy(F.desc(order)).limit(n).orderBy(order)
 
 
-def _number(df: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
-    """Row numbers from 0 in (bucket, order): bounded bucket offsets plus a rank per bucket."""
-    bucketed = df.withColumn("_bucket", bucket)
-    counts = sorted(
-        (r["_bucket"], r["count"]) for r in bucketed.groupBy("_bucket").count().collect()
-    )
-    offsets, before = [], 0
-    for b, count in counts:
-        offsets.append((b, before))
-        before += count
-    table = pa.table(
-        {"_bucket": pa.array([b for b, _ in offsets], pa.int64()),
-         "_before": pa.array([n for _, n in offsets], pa.int64())}
+def _key_source(df: DataFrame, key: str, write_keys: bool) -> DataFrame:
+    return written(df.select(key), "index-keys") if write_keys else df
+
+
+def _number(
+    df: DataFrame, keys: DataFrame, bucket: Column, order: list[Column], name: str
+) -> DataFrame:
+    """Row numbers from 0 in (bucket, order): bounded bucket offsets plus a rank per bucket.
+
+    ``bucket`` depends on the key only, so the buckets are counted over ``keys``.
+    """
+    counts = keys.groupBy(bucket.alias("_bucket")).count().collect()
+    buckets = sorted((r["_bucket"], r["count"]) for r in counts)
+    before = [0, *accumulate(rows for _, rows in buckets)][: len(buckets)]
+    offsets = df.sparkSession.createDataFrame(
+        pa.table(
+            {
+                "_bucket": pa.array([b for b, _ in buckets], pa.int64()),
+                "_before": pa.array(before, pa.int64()),
+            }
+        )
     )
-    offsets = df.sparkSession.createDataFrame(table)
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return (
-        bucketed.join(F.broadcast(offsets), "_bucket")
+        df.withColumn("_bucket", bucket)
+        .join(F.broadcast(offsets), "_bucket")
         .withColumn(name, F.col("_before") + rank - 1)
         .drop("_bucket", "_before")
     )
 
 
 def row_index_hashed(
-    df: DataFrame, key: str, seed: int = DEFAULT_SEED, name: str = "row_index"
+    df: DataFrame,
+    key: str,
+    seed: int = DEFAULT_SEED,
+    name: str = "row_index",
+    write_keys: bool = False,
 ) -> DataFrame:
     """Dense row index in hash order; at most 65,536 offsets are broadcast."""
     digest = hash_order(key, seed)
-    return _number(df, hash_prefix(digest), [digest, F.col(key)], name)
+    keys = _key_source(df, key, write_keys)
+    return _number(df, keys, hash_prefix(digest), [digest, F.col(key)], name)
 
 
 RANGE_BITS = 10
 
 
-def row_index_ordered(df: DataFrame, key: str, name: str = "row_index") -> DataFrame:
+def row_index_ordered(
+    df: DataFrame, key: str, name: str = "row_index", write_keys: bool = False
+) -> DataFrame:
     """Dense row index in the order of a unique numeric key.
 
     Approximate quantiles of the key cut the table into 1,024 ranges of similar size whatever the
     distribution is; the ranges only decide where rows are ranked, so the index itself is exact.
     """
+    keys = _key_source(df, key, write_keys)
     parts = 1 << RANGE_BITS
     probabilities = [i / parts for i in range(1, parts)]
-    bounds = df.agg(F.percentile_approx(key, probabilities, parts * 10).alias("b")).first()["b"]
+    bounds = keys.agg(F.percentile_approx(key, probabilities, parts * 10).alias("b")).first()["b"]
     if bounds is None:
         return df.withColumn(name, F.lit(None).cast("long"))
     kind = df.schema[key].dataType.simpleString()
@@ -207,7 +224,7 @@ def row_index_ordered(df: DataFrame, key: str, name: str = "row_index") -> DataF
         F.lit(0),
         lambda at, step: F.when(F.get(bound, at + step - 1) <= F.col(key), at + step).otherwise(at),
     ).cast("long")
-    return _number(df, bucket, [F.col(key)], name)
+    return _number(df, keys, bucket, [F.col(key)], name)
 
 
 ACCUMULATION_STEPS = 4
