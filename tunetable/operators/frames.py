@@ -84,58 +84,62 @@ def fold_streams(
     blocks up to the first one that is done. No task sees more than one block of a long stream
     before its tokens are joined. ``started`` is the request time of the stream.
     """
-    carried = [] if ts is None else [F.col(ts).alias("ts"), F.col(started).alias("started")]
+    timed = ts is not None
+    carried = [F.col(ts).alias("ts"), F.col(started).alias("started")] if timed else []
+
+    def times(array: str) -> list[Column]:
+        if not timed:
+            return []
+        latest, first = F.array_max(f"{array}.ts"), F.array_min(f"{array}.started")
+        return [latest.alias("ts"), first.alias("started")]
+
+    def first_done(array: str) -> Column:
+        """Position of the first finished element, 0 if there is none."""
+        return F.array_position(F.col(f"{array}.done"), F.lit(True))
+
+    def up_to(array: str, n: Column) -> Column:
+        return F.when(first_done(array) > 0, F.slice(array, F.lit(1), n)).otherwise(F.col(array))
+
     frame = F.struct("seq", "token", "done", *carried)
     blocks = (
         frames.groupBy(*stream, F.floor(F.col("seq") / BLOCK).alias("block"))
         .agg(F.sort_array(F.collect_list(frame)).alias("f"))
-        .withColumn("n_before", F.array_position(F.col("f.done"), F.lit(True)) - 1)
-        .withColumn("done", F.col("n_before") >= 0)
-        .withColumn(
-            "f", F.when(F.col("done"), F.slice("f", F.lit(1), F.col("n_before"))).otherwise(F.col("f"))
-        )
+        .withColumn("done", first_done("f") > 0)
+        .withColumn("f", up_to("f", first_done("f") - 1))
         .select(
             *stream,
-            F.struct(
-                "block",
-                F.array_join(F.col("f.token"), "").alias("text"),
-                F.size("f").alias("n"),
-                "done",
-                *([] if ts is None else [
-                    F.array_max(F.col("f.ts")).alias("ts"),
-                    F.array_min(F.col("f.started")).alias("started"),
-                ]),
-            ).alias("b"),
+            "block",
+            F.array_join("f.token", "").alias("text"),
+            F.size("f").alias("n"),
+            "done",
+            *times("f"),
         )
     )
-    grouped = blocks.groupBy(*stream).agg(F.sort_array(F.collect_list("b")).alias("b"))
-    first_done = F.array_position(F.col("b.done"), F.lit(True))
-    kept = grouped.withColumn("done", first_done > 0).withColumn(
-        "b", F.when(first_done > 0, F.slice("b", F.lit(1), first_done)).otherwise(F.col("b"))
-    )
-    total = F.aggregate("b", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
-    out = kept.select(
-        *stream, "done", F.array_join(F.col("b.text"), "").alias("text"),
-        total.alias("token_count"),
-        *([] if ts is None else [
-            F.array_max(F.col("b.ts")).alias("last_ts"),
-            F.array_min(F.col("b.started")).alias("started"),
-        ]),
+    folded = [c for c in blocks.columns if c not in stream]
+    whole = (
+        blocks.groupBy(*stream)
+        .agg(F.sort_array(F.collect_list(F.struct(*folded))).alias("b"))
+        .withColumn("done", first_done("b") > 0)
+        .withColumn("b", up_to("b", first_done("b")))
+        .select(
+            *stream,
+            "done",
+            F.array_join("b.text", "").alias("text"),
+            F.aggregate("b.n", F.lit(0).cast("long"), lambda a, n: a + n).alias("token_count"),
+            *times("b"),
+        )
     )
-    return out if ts is None else with_speed(out)
+    return with_speed(whole) if timed else whole
 
 
 def with_speed(folded: DataFrame) -> DataFrame:
     """Adds ``elapsed`` seconds since the request and rounded ``tokens_per_sec`` (null if short)."""
-    elapsed = (F.unix_micros(F.col("last_ts").cast("timestamp"))
-               - F.unix_micros(F.col("started").cast("timestamp"))) / 1e6
+    last, start = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("ts", "started"))
+    speed = js_round(F.col("token_count") / F.col("elapsed"))
     return (
-        folded.withColumn("elapsed", elapsed)
-        .withColumn(
-            "tokens_per_sec",
-            F.when(F.col("elapsed") > MIN_ELAPSED, js_round(F.col("token_count") / F.col("elapsed"))),
-        )
-        .drop("last_ts", "started")
+        folded.withColumn("elapsed", (last - start) / 1e6)
+        .withColumn("tokens_per_sec", F.when(F.col("elapsed") > MIN_ELAPSED, speed))
+        .drop("ts", "started")
     )
 
 
