@@ -21,20 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(k_id, k_tie, body): a null-safe row key and the bytes of the text.
+def _tie(docs: DataFrame) -> Column:
+    ids = docs.select(F.col("doc_id").cast("long").alias("k_id"))
+    repeated = ids.groupBy("k_id").count().filter("count > 1 or k_id is null")
+    return F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text")
+
+
+def keyed_rows(docs: DataFrame, *columns: str, whole: bool = False) -> DataFrame:
+    """(k_id, k_tie, [row,] columns): rows with a null-safe key; `row` holds all columns of `docs`.
 
     `k_tie` is 0 where all doc_id are different and none is null, otherwise a hash of the text, so
     that different rows with the same doc_id stay apart. Rows equal in both are one document. A null
     doc_id counts as the smallest.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("k_id"))
-    repeated = ids.groupBy("k_id").count().filter("count > 1 or k_id is null")
-    tie = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text")
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k_id"),
-        tie.alias("k_tie"),
-        F.col("text").cast("binary").alias("body"),
+        _tie(docs).alias("k_tie"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole else []),
+        *columns,
+    )
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(k_id, k_tie, body): the row key of `keyed_rows` and the bytes of the text."""
+    rows = keyed_rows(docs, "text")
+    return rows.select(*ROW_KEY, F.col("text").cast("binary").alias("body"))
+
+
+def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` out of `row`, with `text` from the column beside it."""
+    return rows.select(
+        *(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns)
     )
 
 
@@ -59,3 +76,12 @@ def checked(small: DataFrame, label: str) -> DataFrame:
     """The rows, stored; with a broadcast hint only if the files are at most BROADCAST_BYTES."""
     stored = written(small, label)
     return F.broadcast(stored) if stored_bytes(stored) <= BROADCAST_BYTES else stored
+
+
+def beside(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Joins keyed rows with something found for a share of them.
+
+    What is found grows with the rows, so both sides are shuffled at every size; the row key is unique
+    but for repeated rows, so there is no hot key.
+    """
+    return rows.join(found.hint("merge"), list(ROW_KEY), how)

@@ -14,13 +14,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tunetable.llm.tokens import mixed
 
-PACKED = "bucket int, settled boolean, k_id long, k_tie long, n long, packed binary"
-_PACKED = ["bucket", "settled", "k_id", "k_tie", "n", "packed"]
-MARKS = "k_id long, k_tie long, n long, marks binary"
+PACKED = "bucket int, settled boolean, packed binary"
+HOMES = "bucket int, packed binary"
+MARKS = "k_id long, k_tie long, n_marks long, marks binary"
 
 #: (row, position, high key, low key or None) of the entries of a slice of rows
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]
@@ -94,31 +93,46 @@ def _later(order, group, ids, ties, positions) -> np.ndarray:
     )
 
 
-def _marks(ids, ties, positions) -> pa.RecordBatch:
-    """One row per document with its marked positions as 32-bit integers."""
-    order = np.lexsort((positions, ties, ids))
-    ids, ties, positions = ids[order], ties[order], positions[order].astype(np.int32)
+def _marks(ids, ties, positions, buckets: int, counts_only: bool) -> tuple[np.ndarray, list[bytes]]:
+    """Marked positions packed by the home bucket of their document: (buckets, packed values)."""
+    home = mixed((ids ^ ties).view(np.uint64)) % np.uint64(buckets)
+    order = np.lexsort((positions, ties, ids, home))
+    ids, ties, positions, home = ids[order], ties[order], positions[order], home[order]
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])
     new = np.flatnonzero(new)
-    ends = np.append(new, len(ids)).astype(np.int32)
-    marks = pa.Array.from_buffers(
-        pa.binary(), len(new), [None, pa.py_buffer(ends * 4), pa.py_buffer(positions)]
-    )
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids[new]), pa.array(ties[new]), pa.array(np.diff(ends).astype(np.int64)), marks],
-        ["k_id", "k_tie", "n", "marks"],
-    )
+    counts = np.diff(np.append(new, len(ids))).astype(np.uint32)
+    cuts = np.flatnonzero(np.diff(home[new].astype(np.int64), prepend=-1))
+    packed = []
+    for a, b in zip(cuts, np.append(cuts[1:], len(new))):
+        rows, end = new[a:b], new[b] if b < len(new) else len(ids)
+        marks = positions[new[a] : end]
+        head = np.array([len(rows), 0 if counts_only else len(marks)], np.int32)
+        parts = [head.tobytes(), _planes(ids[rows], 8), _planes(ties[rows], 8)]
+        parts.append(_planes(counts[a:b], 4))
+        if not counts_only:
+            parts.append(_planes(marks.astype(np.uint32), 4))
+        packed.append(b"".join(parts))
+    return home[new][cuts].astype(np.int32), packed
+
+
+def _unmarked(raw: memoryview):
+    rows, marks = np.frombuffer(raw[:8], np.int32)
+    ids, at = _unplaned(raw, 8, rows, 8, np.int64)
+    ties, at = _unplaned(raw, at, rows, 8, np.int64)
+    counts, at = _unplaned(raw, at, rows, 4, np.uint32)
+    positions, at = _unplaned(raw, at, marks, 4, np.uint32)
+    return ids, ties, counts, positions
 
 
 def shared_positions(
     rows: DataFrame, source: Source, buckets: int, *, keep_first: bool, counts_only: bool = False
 ) -> DataFrame:
-    """(k_id, k_tie, n, marks): positions whose key some other entry has, in pieces per document.
+    """(k_id, k_tie, n_marks, marks): per document the positions whose key some other entry has.
 
-    With `keep_first` the first entry of a key, by (k_id, k_tie, position), is not marked. Marks are
-    little-endian 32-bit positions; `counts_only` leaves them out and `n` alone counts. A document's
-    pieces name a position once each.
+    Documents without such a position do not appear. With `keep_first` the first entry of a key, by
+    (k_id, k_tie, position), is not marked. Marks are little-endian 32-bit positions; `counts_only`
+    leaves them empty and only counts.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +148,22 @@ def shared_positions(
                     found = order[_later(order, group, ids[row], ties[row], position)]
                 else:
                     found = order[sizes[group] > 1]
-                if len(found):
-                    marked = _marks(ids[row[found]], ties[row[found]], position[found])
-                    yield _settled(marked, buckets, counts_only)
+                home, marked = _marks(
+                    ids[row[found]], ties[row[found]], position[found], buckets, counts_only
+                )
                 heads = order[np.searchsorted(group, np.arange(len(sizes)))]
-                yield _sent(ids, ties, entries, heads, sizes, buckets)
+                bucket, packed = _sent(ids, ties, entries, heads, sizes, buckets)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([home, bucket])),
+                        pa.array(np.arange(len(home) + len(bucket)) < len(home)),
+                        pa.array(marked + packed, pa.binary()),
+                    ],
+                    ["bucket", "settled", "packed"],
+                )
 
     def settle(group: pa.Table) -> pa.Table:
-        known = group.filter(group["settled"])
-        out = [known.select(["k_id", "k_tie", "n", "packed"]).rename_columns(_SCHEMA.names)]
+        out = [group.filter(group["settled"]).select(["bucket", "packed"])]
         packed = group.filter(pc.invert(group["settled"]))["packed"]
         if len(packed):
             pieces = [_unpack(memoryview(x.as_buffer())) for x in packed]
@@ -155,33 +176,44 @@ def shared_positions(
             else:
                 total = np.bincount(number, weights[order])
                 chosen = order[(total[number] > 1) & (weights[order] == 1)]
-            if len(chosen):
-                marked = _marks(ids[chosen], ties[chosen], positions[chosen])
-                out.append(pa.Table.from_batches([_bare(marked) if counts_only else marked]))
-        return pa.concat_tables(x.cast(_SCHEMA) for x in out)
-
-    return rows.mapInArrow(pack, PACKED).groupBy("bucket").applyInArrow(settle, MARKS)
-
-
-def _bare(marked: pa.RecordBatch) -> pa.RecordBatch:
-    return marked.set_column(3, "marks", pa.nulls(marked.num_rows, pa.binary()))
-
-
-def _settled(marked: pa.RecordBatch, buckets: int, counts_only: bool) -> pa.RecordBatch:
-    at = mixed((marked["k_id"].to_numpy() ^ marked["k_tie"].to_numpy()).view(np.uint64))
-    marked = _bare(marked) if counts_only else marked
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array((at % np.uint64(buckets)).astype(np.int32)),
-            pa.array(np.ones(marked.num_rows, bool)),
-            *marked.columns,
-        ],
-        _PACKED,
-    )
-
-
-def _sent(ids, ties, entries: Entries, heads, sizes, buckets: int) -> pa.RecordBatch:
-    """One packed value per bucket; a key that repeats counts twice and is not marked again."""
+            home, marked = _marks(
+                ids[chosen], ties[chosen], positions[chosen], buckets, counts_only
+            )
+            out.append(pa.table([pa.array(home), pa.array(marked, pa.binary())], ["bucket", "packed"]))
+        return pa.concat_tables(out)
+
+    def gather(group: pa.Table) -> pa.Table:
+        pieces = [_unmarked(memoryview(x.as_buffer())) for x in group["packed"]]
+        ids, ties, counts, positions = (np.concatenate(part) for part in zip(*pieces))
+        order = np.lexsort((ties, ids))
+        new = np.ones(len(ids), bool)
+        new[1:] = (np.diff(ids[order]) != 0) | (np.diff(ties[order]) != 0)
+        heads = np.flatnonzero(new)
+        n = np.add.reduceat(counts[order].astype(np.int64), heads)
+        ends = np.zeros(len(heads) + 1, np.int64)
+        if not counts_only:
+            ends[1:] = np.cumsum(n)
+            begin = np.cumsum(counts.astype(np.int64)) - counts
+            length = counts[order].astype(np.int64)
+            at = np.repeat(begin[order] - (np.cumsum(length) - length), length)
+            positions = positions[at + np.arange(len(at))]
+        marks = pa.Array.from_buffers(
+            pa.large_binary(),
+            len(heads),
+            [None, pa.py_buffer(ends * 4), pa.py_buffer(positions.astype(np.int32))],
+        )
+        first = order[heads]
+        return pa.table(
+            [pa.array(ids[first]), pa.array(ties[first]), pa.array(n), marks.cast(pa.binary())],
+            ["k_id", "k_tie", "n_marks", "marks"],
+        )
+
+    found = rows.mapInArrow(pack, PACKED).groupBy("bucket").applyInArrow(settle, HOMES)
+    return found.groupBy("bucket").applyInArrow(gather, MARKS)
+
+
+def _sent(ids, ties, entries: Entries, heads, sizes, buckets: int):
+    """(buckets, packed entries); a key that repeats in the task counts twice and is settled."""
     row, position, high, low = entries
     bucket = ((high[heads] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     order = np.lexsort((position[heads], row[heads], bucket))
@@ -191,27 +223,4 @@ def _sent(ids, ties, entries: Entries, heads, sizes, buckets: int) -> pa.RecordB
         _pack(ids, ties, row[e], position[e], w, high[e], None if low is None else low[e])
         for e, w in zip(np.split(heads, cuts[1:]), np.split(np.minimum(weights, 2), cuts[1:]))
     ]
-    none = pa.nulls(len(cuts), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(bucket[cuts]),
-            pa.array(np.zeros(len(cuts), bool)),
-            none,
-            none,
-            none,
-            pa.array(packed, pa.binary()),
-        ],
-        _PACKED,
-    )
-
-
-_SCHEMA = pa.schema(
-    [("k_id", pa.int64()), ("k_tie", pa.int64()), ("n", pa.int64()), ("marks", pa.binary())]
-)
-
-
-def by_document(marks: DataFrame) -> DataFrame:
-    """One row per document: the number of its marks and the pieces of its marked positions."""
-    return marks.groupBy("k_id", "k_tie").agg(
-        F.sum("n").alias("n_marks"), F.collect_list("marks").alias("pieces")
-    )
+    return bucket[cuts], packed

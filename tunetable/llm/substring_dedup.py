@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunetable.llm.base import bucket_count, checked, doc_id_of, keyed_texts, table
-from tunetable.llm.shared import by_document, shared_positions
+from tunetable.llm.base import beside, bucket_count, doc_id_of, keyed_texts, table
+from tunetable.llm.shared import shared_positions
 from tunetable.llm.tokens import starts_in_rows, text_slices, window_hashes, word_hashes, word_spans
-from tunetable.session import ship_package
+from tunetable.session import ship_package, written
 
 WINDOW = 20
 PERIOD = 13
@@ -51,12 +51,10 @@ def _anchors(window: int):
     return source
 
 
-def _positions(pieces: pa.Array, row: int) -> np.ndarray:
-    """The marked positions of a row, from all its pieces."""
-    values = pieces[row].values if pieces[row].is_valid else None
-    if values is None or not len(values):
-        return np.zeros(0, np.int64)
-    return np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in values]).astype(np.int64)
+def _positions(marks: pa.Array, row: int) -> np.ndarray:
+    """The marked positions of a row."""
+    mark = marks[row]
+    return np.frombuffer(mark.as_buffer() if mark.is_valid else b"", np.int32).astype(np.int64)
 
 
 def _covered(points: np.ndarray, before: int, after: int, length: int) -> np.ndarray:
@@ -71,12 +69,12 @@ def _candidates(window: int):
     """Windows that contain a repeated anchor, hashed as a whole."""
 
     def source(batch: pa.RecordBatch):
-        pieces = batch["pieces"]
+        marks = batch["marks"]
         for ids, ties, words, first, (low, high) in _words(batch):
             index, row, position = starts_in_rows(first, window)
             counts = np.bincount(row, minlength=high - low)
             chosen = [
-                _covered(_positions(pieces, low + i), PERIOD - 1, 1, count)
+                _covered(_positions(marks, low + i), PERIOD - 1, 1, count)
                 for i, count in enumerate(counts)
             ]
             at = np.concatenate(chosen) if chosen else np.zeros(0, bool)
@@ -88,9 +86,9 @@ def _candidates(window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(keyed texts, one row per document with repeats: k_id, k_tie, n_marks, pieces).
+    """(keyed texts, one row per document with repeats: k_id, k_tie, n_marks, marks).
 
-    The pieces hold the starts of windows whose words also start earlier, as 32-bit integers.
+    The marks are the starts of windows whose words also start earlier, as 32-bit integers.
     """
     if window < PERIOD + 1:
         raise ValueError(f"a window has at least {PERIOD + 1} words")
@@ -99,9 +97,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     texts = keyed_texts(docs)
     buckets = bucket_count(spark, texts)
     anchors = shared_positions(texts, _anchors(window), buckets, keep_first=False)
-    near = texts.join(checked(by_document(anchors), "anchors"), ["k_id", "k_tie"])
+    near = beside(texts, written(anchors, "anchors"), "inner")
     repeats = shared_positions(near, _candidates(window), buckets, keep_first=True)
-    return texts, checked(by_document(repeats), "repeats")
+    return texts, written(repeats, "repeats")
 
 
 def _kept(body: bytes | None, starts: np.ndarray, window: int) -> tuple[int, int, bytes]:
@@ -124,7 +122,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [
-                _kept(body.as_py(), _positions(batch["pieces"], i), window)
+                _kept(body.as_py(), _positions(batch["marks"], i), window)
                 for i, body in enumerate(batch["body"])
             ]
             yield pa.RecordBatch.from_arrays(
@@ -137,7 +135,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 ["k_id", "body", "n_words", "n_removed"],
             )
 
-    joined = texts.join(repeats, ["k_id", "k_tie"], "left").select("k_id", "body", "pieces")
+    joined = beside(texts, repeats, "left").select("k_id", "body", "marks")
     return joined.mapInArrow(strip, "k_id long, body binary, n_words long, n_removed long").select(
         doc_id_of().alias("doc_id"),
         F.col("body").cast("string").alias("text"),
@@ -151,3 +149,26 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), WINDOW).select(
         "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
     )
+
+
+#: The same in SQL, over the words of every window.
+SQL = r"""
+with doc as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+windows as (
+  select doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) as h
+  from (select doc_id, words, unnest(range(1, len(words) - 18)) as i from doc)),
+repeats as (
+  select doc_id, i
+  from (select doc_id, i, row_number() over (partition by h order by doc_id, i) as n from windows)
+  where n > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as pos from repeats),
+kept as (
+  select w.doc_id, string_agg(w.word, ' ' order by w.pos) as text, count(*) as n
+  from (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as pos from doc) w
+  anti join gone g on w.doc_id = g.doc_id and w.pos = g.pos
+  group by w.doc_id)
+select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed,
+  sha256(coalesce(text, '')) as kept_sha256
+from doc left join kept using (doc_id)
+"""
