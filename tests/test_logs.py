@@ -21,6 +21,15 @@ def test_typed_log_is_lenient(spark):
     assert [tuple(r) for r in rows] == [("a", 1, 2.5, 1e-4, 0.1), ("a", 3, None, None, None)]
 
 
+def test_typed_log_keeps_large_steps_and_drops_odd_numbers(spark):
+    odd = ["1.5d", "0x1p3", "1f", "1e", "--1", ".", "1_0"]
+    good = [" 2 ", "+.5", "1.", "-1E-3", "inf", "NaN"]
+    rows = [("a", str(3_000_000_000 + i), v, "", "") for i, v in enumerate(odd + good)]
+    got = telemetry.typed_log(log_rows(rows, spark)).orderBy("step").collect()
+    assert [r["step"] - 3_000_000_000 for r in got] == list(range(len(odd), len(odd) + len(good)))
+    assert [r["loss"] for r in got[:5]] == [2.0, 0.5, 1.0, -0.001, float("inf")]
+
+
 def boundaries(rows):
     seen, out = 0, []
     for step, epoch in sorted(rows):
@@ -90,6 +99,15 @@ def test_admission(hits):
     assert tuple(counts) == (len(kept), len(rows) - len(kept))
 
 
+def test_admission_of_null_clients_and_times(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(i, None, at) for i in range(7)] + [(7, 1, None), (8, None, None), (9, 1, at)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
+    got = {r["event_id"]: (r["admitted"], r["window_start"]) for r in usage.with_admission(df, ("user_id",)).collect()}
+    assert {i for i, (ok, _) in got.items() if ok} == {0, 1, 2, 3, 4, 9} and len(got) == 10
+    assert got[7] == (False, None) == got[8]
+
+
 def test_admission_limits_each_group_before_the_shuffle(hits):
     plan = usage.admitted(hits[0], ("user_id",))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
@@ -198,3 +216,37 @@ def test_syntax_reports(spark):
     assert [tuple(r) for r in top] == [("Empty code provided", 2)]
     panels = syntax.checked_panels(df).collect()
     assert [r["message"] for r in panels] == ["Line 1: invalid syntax"]
+
+
+def test_strict_frames(spark):
+    lines = [
+        'data: {"token": "a"}, "x": 1', 'data: {"token": "c"},"f":{"done":true}', 'data: {"token": 0}',
+        'data: {"token": false}', 'data: {"token": NaN}', 'data: {"done": 0.0}', 'data: {"done": ""}',
+        'data: {"token": 5}', 'data: {"token": "0"}', 'data: {"token": 1.5}', 'data: {"token": true}',
+        'data: [1]', 'data: null', 'data: {"token": "k"} {"done": true}', 'data:{"token": "n"}',
+        'data: {"done": "false"}', 'data: {"d\\u006fne": 1}',
+    ]
+    df = spark.createDataFrame(list(enumerate(lines)), "seq long, line string")
+    got = [(r["seq"], r["token"], r["done"]) for r in frames.parse_lines(df).orderBy("seq").collect()]
+    assert got == [
+        (7, "5", False), (8, "0", False), (9, "1.5", False), (10, "true", False),
+        (15, None, True), (16, None, True),
+    ]
+    one = df.withColumn("s", F.lit(1))
+    assert [r["seq"] for r in frames.decode_frames(one, ("s",)).orderBy("seq").collect()] == [7, 8, 9, 10]
+    escaped = one.filter("seq <> 15").unionByName(
+        spark.createDataFrame([(20, 'data: {"token": "late"}', 1)], "seq long, line string, s int"))
+    assert [r["seq"] for r in frames.decode_frames(escaped, ("s",)).orderBy("seq").collect()] == [7, 8, 9, 10]
+
+
+def test_the_last_start_of_a_stream_counts(spark):
+    rows = [(1, 0, 0, "a", False), (1, 0, 1, "z", True), (1, 1, 0, "x", False), (1, 1, 1, "y", False), (1, 1, 2, None, True), (2, 0, 0, "q", False)]
+    df = spark.createDataFrame(rows, "s int, attempt int, seq long, token string, done boolean")
+    got = frames.fold_streams(frames.latest_attempts(df, ("s",), "attempt"), ("s",)).collect()
+    assert {(r["s"], r["text"], r["token_count"], r["done"]) for r in got} == {(1, "xy", 2, True), (2, "q", 1, False)}
+
+
+def test_one_parse_for_frequent_errors(spark):
+    checked = syntax.with_syntax(spark.createDataFrame([(1, "x = (")], "id int, text string"))
+    plan = syntax.frequent_errors(checked)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

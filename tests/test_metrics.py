@@ -160,8 +160,27 @@ def test_registered_metric(pairs):
         out = report.evaluate(pairs, ("text", "exact"), columns=("rouge1", "exact", "num_samples"))
         row = out.filter("model = 'base'").first()
         assert row["exact"] == pytest.approx(2 / 6) and row["num_samples"] == 6
+        whole = report.evaluate(pairs, ("text", "exact")).filter("model = 'base'").first()
+        assert whole["exact"] == row["exact"] and whole["rouge2"] is not None
     finally:
-        del report.METRICS["exact"]
+        del report.METRICS["exact"], report.METRIC_COLUMNS["exact"]
+
+
+def test_no_metric_is_lost(spark, pairs):
+    row = report.evaluate(pairs, ("text", "rouge_bootstrap")).filter("model = 'base'").first()
+    assert row["rouge1_bootstrap"] is not None and row["rouge2_bootstrap"] is not None
+    extra = spark.createDataFrame([("base", "surprise", 1.0)], "model string, metric string, value double")
+    with pytest.raises(Exception, match="surprise"):
+        report.evaluate(pairs, extra=extra).collect()
+
+
+@pytest.mark.parametrize("n", [1, 3, 7])
+def test_bootstrap_of_a_few_rows(spark, n):
+    for seed in (1, 2, 3):
+        df = spark.createDataFrame([("m", i, 0.25 * i) for i in range(n)], "model string, sample_id long, s double")
+        row = bootstrap.bootstrap(df, ("s",), "sample_id", seed=seed).collect()[0]
+        assert 0 <= row["low"] <= row["mid"] <= row["high"] <= 0.25 * (n - 1)
+        assert 500 < row["n_replicates"] <= 1000 and (n > 1 or row["n_replicates"] < 700)
 
 
 def test_compare_and_long(spark):

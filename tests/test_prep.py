@@ -170,6 +170,33 @@ def test_pairs_of_long_conversation(spark):
     assert {(r["instruction"], r["output"]) for r in got} == {(f"t{t}", f"t{t+1}") for t in range(0, 400, 2)}
 
 
+def test_pair_keys_do_not_collide(spark):
+    rows = [(1, 1001, "user", "a"), (1, 1002, "assistant", "b"), (2, 1, "user", "c"), (2, 2, "assistant", "d"),
+            (2, 2, "assistant", "e"), (2, 0, "system", "s")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["sample_id"]: (r["instruction"], r["input"], r["output"]) for r in prep.turn_pairs(df).collect()}
+    assert got == {"1:1001": ("a", "", "b"), "2:1": ("c", "s", "d")}
+
+
+def test_null_keys_are_sampled_and_batched(spark):
+    df = spark.createDataFrame([(None,), ("a",), ("b",), ("c",)], "k string")
+    for n in (1, 2, 3):
+        assert sampling.sample_exact(df, n, "k").count() == n
+    assert sampling.assign_batches(df, "k", 1).filter("batch_id = 0").count() == 4
+    ordered = sampling.row_index_ordered(df, "k").orderBy("row_index").collect()
+    assert [(r["k"], r["row_index"]) for r in ordered] == [(None, 0), ("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_stage_counts(spark):
+    good, bad = "def my_func(values):\n    return sum(values)", "prose only, without any of the markers in it"
+    rows = [(i, GOOD[0], None, good if i % 2 else bad) for i in range(200)]
+    raw = spark.createDataFrame(rows, "id long, instruction string, input string, output string")
+    counts = {r["stage"]: r["n_rows"] for r in prep.prepare_stages(raw, "id", max_samples=100).collect()}
+    kept = prep.prepare(raw, "id", max_samples=100).count()
+    assert counts["raw"] == 200 and counts["sampled"] == 100 and counts["kept"] == kept
+    assert counts["train"] + counts["eval"] == kept
+
+
 def test_funnel(spark, numbered):
     flagged = sampling.split_stable(numbered, "doc_id")
     row = prep.funnel(flagged, F.col("doc_id") < 1000, F.col("doc_id") % 2 == 0, F.col("split")).first()

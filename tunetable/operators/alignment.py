@@ -24,6 +24,11 @@ def alignment_counts(aligned: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def unmatched_references(preds: DataFrame, refs: DataFrame, key: list[str]) -> DataFrame:
+    """The references whose key no prediction has, one row per key."""
+    return refs.select(*key).distinct().join(preds.select(*key), key, "left_anti")
+
+
 def side_by_side(
     results: DataFrame,
     key: str,

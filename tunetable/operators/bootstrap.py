@@ -38,6 +38,12 @@ def poisson_weight(uniform: Column) -> Column:
     return weight
 
 
+def _weight(i: int) -> Column:
+    """The weight that the i-th 16 bits of ``digest`` give."""
+    digits = F.substring("digest", i * 4 + 1, 4)
+    return poisson_weight(F.conv(digits, 16, 10).cast("int"))
+
+
 def bootstrap(
     scores: DataFrame,
     names: tuple[str, ...],
@@ -47,36 +53,47 @@ def bootstrap(
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
     """Per group and ``metric``: ``low``, ``mid``, ``high``, the 2.5 %, 50 % and 97.5 % points of
-    the resampled means. All named scores share the weights of their row."""
+    the resampled means, and ``n_replicates``, how many replicates drew any row.
+
+    All named scores share the weights of their row. The eight weights of a digest are eight sums
+    side by side, so a row becomes one row per digest. A replicate of a small group in which every
+    weight is 0 has no mean and is left out.
+    """
     blocks = math.ceil(replicates / PER_DIGEST)
     block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     seeded = F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("block").cast("string"))
-    part = F.explode(F.sequence(F.lit(0), F.lit(PER_DIGEST - 1))).alias("i")
-    uniform = F.conv(F.substr("digest", F.col("i") * 4 + 1, F.lit(4)), 16, 10).cast("int")
     drawn = (
         scores.select(*by, *names, key, block)
         .select(*by, *names, "block", F.md5(seeded).alias("digest"))
-        .select(*by, *names, "digest", "block", part)
-        .select(
-            *by,
-            *names,
-            (F.col("block") * PER_DIGEST + F.col("i")).alias("replicate"),
-            uniform.alias("u"),
-        )
-        .filter(F.col("replicate") < replicates)
-        .withColumn("w", poisson_weight(F.col("u")))
+        .select(*by, *names, "block", *[_weight(i).alias(f"w{i}") for i in range(PER_DIGEST)])
     )
-    means = drawn.groupBy(*by, "replicate").agg(
-        *[(F.sum(F.col("w") * F.col(n)) / F.sum("w")).alias(n) for n in names]
+    sums = drawn.groupBy(*by, "block").agg(
+        *[F.sum(f"w{i}").alias(f"w{i}") for i in range(PER_DIGEST)],
+        *[
+            F.sum(F.col(f"w{i}") * F.col(n)).alias(f"s{i}_{n}")
+            for i in range(PER_DIGEST)
+            for n in names
+        ],
     )
+    sides = [
+        F.struct(
+            F.lit(i).alias("i"),
+            *[F.try_divide(F.col(f"s{i}_{n}"), F.col(f"w{i}")).alias(n) for n in names],
+        )
+        for i in range(PER_DIGEST)
+    ]
+    means = sums.select(*by, "block", F.inline(F.array(*sides)))
+    means = means.withColumn("replicate", F.col("block") * PER_DIGEST + F.col("i"))
+    means = means.filter(F.col("replicate") < replicates)
     quantiles = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return (
         means.unpivot([*by, "replicate"], list(names), "metric", "mean")
         .groupBy(*by, "metric")
-        .agg(quantiles.alias("q"))
+        .agg(quantiles.alias("q"), F.count("mean").alias("n_replicates"))
         .select(
             *by,
             "metric",
             *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "mid", "high"))],
+            "n_replicates",
         )
     )

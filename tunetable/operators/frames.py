@@ -12,8 +12,6 @@ DATA_PREFIX = "data: "
 TOKEN_OPEN = 'data: {"token": '
 DONE_LINE = 'data: {"done": true}'
 MIN_ELAPSED = 0.5
-FRAME_SCHEMA = "f struct<token: string, done: string>"
-FALSY = ("", "0", "false")  # values of "done" that do not end a stream
 BLOCK = 4096  # frames of one stream that are assembled by one task
 
 
@@ -45,36 +43,79 @@ def encode_frames(texts: DataFrame, stream: tuple[str, ...], text: str = "text")
     return framed.select(*stream, F.col("seq").cast("long").alias("seq"), line.alias("line"))
 
 
+def _truthy(value: Column) -> Column:
+    """Whether a JSON value counts as true: not null, false, 0 or an empty text."""
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    return F.coalesce(
+        F.when(value.isNull() | (kind == "VOID"), False)
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
+        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), True)
+        .otherwise(number != 0),
+        F.lit(False),
+    )
+
+
+def _shown(value: Column) -> Column:
+    """A JSON value as the text that is appended; whole numbers have no fraction."""
+    text, number = (F.try_variant_get(value, "$", kind) for kind in ("string", "double"))
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    as_it_is = F.schema_of_variant(value).isin("STRING", "BOOLEAN")
+    return F.when(~as_it_is & whole, F.floor(number).cast("string")).otherwise(text)
+
+
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds ``token`` and ``done``; other lines, malformed JSON and empty tokens are dropped.
 
-    The body is parsed as a field of an enclosing object, so that anything after its end is an
-    error too. ``inline`` makes the parsed fields plain columns: a line is parsed once however
-    often they are used further on.
+    The body is parsed as the only element of an array, so that anything after its end is an error
+    too, and keeps its JSON types: 0, false, null and "" are neither a token nor an end. ``explode``
+    makes the parsed value a plain column: a line is parsed once however often it is used further on.
     """
-    body = F.regexp_extract(line, f"(?s)^{DATA_PREFIX}(.*)", 1)
-    wrapped = F.concat(F.lit('{"f":'), body, F.lit("}"))
-    frame = F.from_json(wrapped, FRAME_SCHEMA, {"allowSingleQuotes": "false"})["f"]
     others = [c for c in lines.columns if c != line]
-    parsed = lines.select(*others, F.inline(F.array(frame)))
+    body = F.concat(F.lit("["), F.substr(line, F.lit(len(DATA_PREFIX) + 1)), F.lit("]"))
+    elements = F.try_parse_json(body).try_cast("array<variant>")
+    framed = lines.filter(F.col(line).startswith(DATA_PREFIX))
+    parsed = framed.select(*others, F.explode(F.array(elements)).alias("_f"))
+    parsed = parsed.filter(F.size("_f") == 1).select(
+        *others,
+        *[
+            F.try_variant_get(F.get("_f", F.lit(0)), f"$.{c}", "variant").alias(f"_{c}")
+            for c in ("token", "done")
+        ],
+    )
+    token = F.when(~F.col("done") & _truthy(F.col("_token")), _shown(F.col("_token")))
     return (
-        parsed.withColumn("done", ~F.coalesce("done", F.lit("")).isin(*FALSY))
-        .withColumn("token", F.when(~F.col("done"), F.col("token")))
-        .filter(F.col("done") | (F.col("token") != ""))
+        parsed.withColumn("done", _truthy(F.col("_done")))
+        .withColumn("token", token)
+        .drop("_token", "_done")
+        .filter(F.col("done") | F.col("token").isNotNull())
+        .select(*others, "token", "done")
     )
 
 
-def decode_frames(lines: DataFrame, stream: tuple[str, ...]) -> DataFrame:
-    """Token rows up to, and not including, the first done frame of their stream."""
-    frames = parse_lines(lines)
-    ends = frames.filter("done").groupBy(*stream).agg(F.min("seq").alias("_end"))
+def decode_frames(lines: DataFrame, stream: tuple[str, ...], line: str = "line") -> DataFrame:
+    """Token rows up to, and not including, the first done frame of their stream.
+
+    Only lines that may hold the done field (it may be written with escapes) are looked at for the ends.
+    """
+    ending = F.col(line).contains("done") | F.col(line).contains("\\")
+    ends = parse_lines(lines.filter(ending), line).filter("done")
+    ends = ends.groupBy(*stream).agg(F.min("seq").alias("_end"))
     return (
-        frames.join(ends, list(stream), "left")
+        parse_lines(lines, line)
+        .join(ends, list(stream), "left")
         .filter(~F.col("done") & (F.col("_end").isNull() | (F.col("seq") < F.col("_end"))))
         .drop("_end", "done")
     )
 
 
+def latest_attempts(frames: DataFrame, stream: tuple[str, ...], attempt: str) -> DataFrame:
+    """Only the frames of each stream's last start: a new start resets its text, count and clock."""
+    last = frames.groupBy(*stream).agg(F.max(attempt).alias(attempt))
+    return frames.join(last, [*stream, attempt], "left_semi")
+
+
 def fold_streams(
     frames: DataFrame, stream: tuple[str, ...], ts: str | None = None, started: str | None = None
 ) -> DataFrame:

@@ -34,8 +34,12 @@ def truncation_stats(
 
 
 def truncate_texts(df: DataFrame, text: str, max_tokens: int | None) -> DataFrame:
-    """Adds ``tokens``, the possibly shortened word list."""
-    return df.withColumn("tokens", truncate(words(text), max_tokens))
+    """Adds ``tokens``, the possibly shortened word list, and whether it is shorter than the text."""
+    cut = df.withColumn("_words", words(text))
+    kept = truncate(F.col("_words"), max_tokens)
+    return cut.withColumn("tokens", kept).withColumn(
+        "truncated", F.size("tokens") < F.size("_words")
+    ).drop("_words")
 
 
 def mean_length(preds: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +12,19 @@ from tunetable.functions.prompts import DEFAULT_TEMPLATE, ChatTemplate, format_c
 from tunetable.functions.quality import QualityRules, contains_any, passes, reject_reasons
 from tunetable.functions.text import or_empty
 from tunetable.operators.sampling import DEFAULT_SEED, sample_exact, split_exact, split_stable
+from tunetable.session import written
+
+
+SALTS = 8
 
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:
-    """Each user turn with the assistant turn that follows it.
+    """Each user turn with the assistant turn that follows it; ``sample_id`` is ``conv_id:turn``.
 
-    The question/answer join runs on (conv_id, turn), which is unique, so a conversation of any
-    length spreads over all tasks; each message crosses the network once.
+    Questions and answers are joined first, on (conv_id, turn), so a conversation of any length
+    spreads over all tasks. The system texts, one row per conversation, are repeated over a few salts,
+    so that the second join spreads as well. Several answers to one turn are reduced to the
+    smallest text, which keeps ``sample_id`` unique.
     """
     users = conversations.filter("role = 'user'").select(
         "conv_id", "turn", F.col("text").alias("instruction")
@@ -26,15 +33,19 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
         conversations.filter("role = 'system'")
         .groupBy("conv_id")
         .agg(F.max("text").alias("input"))
+        .select("conv_id", "input", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
-    answers = conversations.filter("role = 'assistant'").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output")
+    answers = (
+        conversations.filter("role = 'assistant'")
+        .groupBy("conv_id", (F.col("turn") - 1).alias("turn"))
+        .agg(F.min("text").alias("output"))
     )
     return (
-        users.join(systems, "conv_id", "left")
-        .join(answers, ["conv_id", "turn"])
+        users.join(answers, ["conv_id", "turn"])
+        .withColumn("salt", F.pmod(F.xxhash64("turn"), F.lit(SALTS)).cast("int"))
+        .join(systems, ["conv_id", "salt"], "left")
         .select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"),
+            F.concat_ws(":", "conv_id", "turn").alias("sample_id"),
             "conv_id",
             "turn",
             "instruction",
@@ -77,7 +88,43 @@ def prepare(
     conditions on raw columns are implied by the rules (stripping only shortens a text) and exist
     to reach the scan. ``predicate`` replaces the rules.
     """
-    rows = sample_exact(raw, max_samples, key, seed)
+    sampled = sample_exact(raw, max_samples, key, seed, write_keys=True)
+    return _prepared(sampled, key, rules, predicate, renderer, exact_split, seed)
+
+
+def prepare_stages(
+    raw: DataFrame,
+    key: str,
+    max_samples: int | None = None,
+    rules: QualityRules = QualityRules(),
+    seed: int = DEFAULT_SEED,
+) -> DataFrame:
+    """(stage, n_rows) of one run of ``prepare``: raw, sampled, kept, and the two halves of the split."""
+    sampled = sample_exact(raw, max_samples, key, seed, write_keys=True)
+    split = _prepared(sampled, key, rules, None, format_columns, True, seed).select("split")
+    split = written(split, "prepared")
+    counts = [
+        rows.agg(F.lit(stage).alias("stage"), F.count("*").alias("n_rows"))
+        for stage, rows in (
+            ("raw", raw),
+            ("sampled", sampled),
+            ("kept", split),
+            ("train", split.filter("split = 'train'")),
+            ("eval", split.filter("split = 'eval'")),
+        )
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _prepared(
+    rows: DataFrame,
+    key: str,
+    rules: QualityRules,
+    predicate: Column | None,
+    renderer: Callable[..., dict[str, Column]],
+    exact_split: bool,
+    seed: int,
+) -> DataFrame:
     if predicate is None:
         rows = rows.filter(
             (F.length("output") >= rules.min_output)

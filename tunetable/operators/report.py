@@ -95,28 +95,45 @@ METRICS: dict[str, Metric] = {
     "text_unstemmed": _text_metrics(use_stemmer=False),
     "rouge_bootstrap": _rouge_bootstrap,
 }
+# Columns that a metric adds to the report beside the usual ones.
+METRIC_COLUMNS: dict[str, tuple[str, ...]] = {
+    "text": (),
+    "text_unstemmed": (),
+    "rouge_bootstrap": ("rouge1_bootstrap", "rouge2_bootstrap"),
+}
 
 
-def register_metric(name: str, metric: Metric) -> None:
-    """Makes a user metric available to ``evaluate`` by name."""
+def register_metric(name: str, metric: Metric, columns: tuple[str, ...] | None = None) -> None:
+    """Makes a user metric available to ``evaluate`` by name; its rows use its name unless told."""
     METRICS[name] = metric
+    METRIC_COLUMNS[name] = (name,) if columns is None else columns
 
 
 def evaluate(
     pairs: DataFrame,
     metrics: tuple[str, ...] = ("text",),
     extra: DataFrame | None = None,
-    columns: tuple[str, ...] = (*REPORT_METRICS, "num_samples"),
+    columns: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """One row per model with one column per metric.
 
     ``extra`` holds further (model, metric, value) rows, such as perplexities measured elsewhere.
     The parts are united in long form and turned once, so no join depends on the number of metrics.
+    The columns are the usual ones and those that the chosen metrics declare; a row of any other
+    metric is an error, not a loss. ``columns`` selects some of them instead.
     """
+    chosen = columns
+    if columns is None:
+        declared = (c for m in metrics for c in METRIC_COLUMNS[m])
+        columns = tuple(dict.fromkeys((*REPORT_METRICS, "num_samples", *declared)))
     parts = [METRICS[m](pairs) for m in metrics]
     if extra is not None:
         parts.append(extra.select("model", "metric", F.col("value").cast("double").alias("value")))
     rows = reduce(DataFrame.unionByName, parts)
+    if chosen is None:
+        unknown = F.raise_error(F.concat(F.lit("no report column for metric "), F.col("metric")))
+        known = F.when(F.col("metric").isin(*columns), F.col("metric")).otherwise(unknown)
+        rows = rows.withColumn("metric", known)
     wide = rows.groupBy("model").pivot("metric", list(columns)).agg(F.first("value"))
     return wide.withColumn("num_samples", F.col("num_samples").cast("long"))
 
@@ -181,7 +198,7 @@ REVIEW_RUBRIC = (
 
 def review_report(problems: DataFrame, key: str) -> DataFrame:
     """Numbered Markdown blocks (``number``, ``block``) in key order; number 1 has the header."""
-    numbered = row_index_ordered(problems, key, "_index", write_keys=True).withColumn(
+    numbered = row_index_ordered(problems, key, "_index").withColumn(
         "number", F.col("_index") + 1
     )
     block = F.concat(

@@ -33,12 +33,10 @@ def placed(pairs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One key's row in one partition.
 
     Both gram aggregations then need no shuffle. Python functions hide the partitioning of their
-    input from the planner, so they have to run before. The partition count is the session's, and
-    fixed: the texts are small compared with the grams made of them, so sizing the tasks by the
-    text bytes would leave too few.
+    input from the planner, so they have to run before. The number of partitions is left to
+    adaptive execution.
     """
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(n, *keys)
+    return pairs.repartition(*keys)
 
 
 def gram_matches(

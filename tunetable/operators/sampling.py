@@ -28,7 +28,8 @@ RANKED_ROWS = 50_000  # a bucket of at most this many (hash, key) rows is ranked
 
 
 def hash_order(key: Column | str, seed: int = DEFAULT_SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), as_column(key).cast("string")))
+    """A null key is ordered like an empty one."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(as_column(key).cast("string"), F.lit(""))))
 
 
 def hash_prefix(digest: Column, digits: int = BUCKET_DIGITS) -> Column:
@@ -43,7 +44,9 @@ class CutOff:
     key: object
 
     def includes(self, digest: Column, key: Column) -> Column:
-        return (digest < self.digest) | ((digest == self.digest) & (key <= F.lit(self.key)))
+        # null is the smallest key
+        before = key.isNull() if self.key is None else key.isNull() | (key <= F.lit(self.key))
+        return (digest < self.digest) | ((digest == self.digest) & before)
 
 
 def keyed_digests(df: DataFrame, key: str, seed: int = DEFAULT_SEED) -> DataFrame:
@@ -199,32 +202,28 @@ def row_index_hashed(
     return _number(df, keys, hash_prefix(digest), [digest, F.col(key)], name)
 
 
-RANGE_BITS = 10
+def row_index_ordered(df: DataFrame, key: str, name: str = "row_index") -> DataFrame:
+    """Dense row index in the order of a key of any orderable type.
 
-
-def row_index_ordered(
-    df: DataFrame, key: str, name: str = "row_index", write_keys: bool = False
-) -> DataFrame:
-    """Dense row index in the order of a unique numeric key.
-
-    Approximate quantiles of the key cut the table into 1,024 ranges of similar size whatever the
-    distribution is; the ranges only decide where rows are ranked, so the index itself is exact.
+    Only the distinct keys are sorted: Spark cuts them into ranges by their number, the stored ranges
+    are counted, and each is summed up by itself. The rows are joined with their numbers by key. Rows
+    with the same key are numbered one after another, in no particular order.
     """
-    keys = _key_source(df, key, write_keys)
-    parts = 1 << RANGE_BITS
-    probabilities = [i / parts for i in range(1, parts)]
-    bounds = keys.agg(F.percentile_approx(key, probabilities, parts * 10).alias("b")).first()["b"]
-    if bounds is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    kind = df.schema[key].dataType.simpleString()
-    bound = F.split(F.lit(",".join(map(str, bounds))), ",").cast(f"array<{kind}>")
-    # Number of bounds <= key, by halving steps over the sorted literal array.
-    bucket = F.aggregate(
-        F.array(*[F.lit(1 << b) for b in reversed(range(RANGE_BITS))]),
-        F.lit(0),
-        lambda at, step: F.when(F.get(bound, at + step - 1) <= F.col(key), at + step).otherwise(at),
-    ).cast("long")
-    return _number(df, keys, bucket, [F.col(key)], name)
+    keys = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows")).orderBy("_key")
+    ranges = written(keys.withColumn("_part", F.spark_partition_id()), "index-ranges")
+    counts = ranges.groupBy("_part").agg(F.sum("_rows").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition of the sort
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_before") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))
+    numbered = ranges.join(F.broadcast(offsets), "_part").select("_key", first.alias("_first"))
+    among = F.row_number().over(Window.partitionBy("_key").orderBy("_key")) - 1
+    return (
+        df.join(numbered, F.col(key).eqNullSafe(F.col("_key")))
+        .withColumn(name, F.col("_first") + among)
+        .drop("_key", "_first")
+    )
 
 
 ACCUMULATION_STEPS = 4
@@ -243,10 +242,10 @@ def assign_batches(
     return indexed.withColumn("batch_id", step).drop("_index")
 
 
-def batch_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """Rows and text lengths per optimizer step."""
+def batch_stats(df: DataFrame, chars: str = "chars") -> DataFrame:
+    """Rows and text lengths per optimizer step; measure the texts before they are numbered."""
     return df.groupBy("batch_id").agg(
         F.count("*").alias("n_rows"),
-        F.sum(F.length(text)).alias("sum_chars"),
-        F.max(F.length(text)).alias("max_chars"),
+        F.sum(chars).alias("sum_chars"),
+        F.max(chars).alias("max_chars"),
     )

@@ -47,6 +47,10 @@ def _parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield out.astype({"valid": "boolean", "line": "Int32"})
 
 
+# Otherwise a filter on its result would be pushed below the projection and parse every text again.
+_parse = _parse.asNondeterministic()
+
+
 def check(text: Column | str) -> Column:
     """Struct (valid, error, line) of an answer; the fence is removed natively before parsing."""
     given = strip(or_empty(text))

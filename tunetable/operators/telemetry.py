@@ -11,20 +11,25 @@ LOSS_DECIMALS = 6
 EPOCH_DECIMALS = 4
 
 NUMERIC = ("loss", "learning_rate", "epoch")
+WHOLE = r"^\s*[+-]?\d+\s*$"
+DECIMAL = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
 
 
 def typed_log(raw: DataFrame) -> DataFrame:
-    """String log rows -> numbers. An empty field becomes null; a malformed one drops the row."""
-    step = F.expr("try_cast(step as int)")
+    """String log rows -> numbers. An empty field becomes null; a malformed one drops the row.
+
+    Only plain decimal forms are numbers: casts alone would also take suffixes and hexadecimal floats.
+    """
+    step = F.when(F.col("step").rlike(WHOLE), F.expr("try_cast(step as bigint)"))
     fields = [c for c in NUMERIC if c in raw.columns]
 
     def number(c: str) -> Column:
-        return F.when(F.col(c) != "", F.expr(f"try_cast({c} as double)"))
+        return F.when(F.col(c).rlike(DECIMAL), F.expr(f"try_cast({c} as double)"))
 
     well_formed = step.isNotNull()
     for c in fields:
         empty = F.coalesce(F.col(c), F.lit("")) == ""
-        well_formed = well_formed & (empty | F.expr(f"try_cast({c} as double)").isNotNull())
+        well_formed = well_formed & (empty | number(c).isNotNull())
     others = [c for c in raw.columns if c not in ("step", *fields)]
     return raw.filter(well_formed).select(
         *others, step.alias("step"), *[number(c).alias(c) for c in fields]

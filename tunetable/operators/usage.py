@@ -14,6 +14,7 @@ VALIDATE_LIMIT = 20
 ROUTE_LIMITS = {"validate": VALIDATE_LIMIT}  # routes that differ from the general limit
 WINDOW = "1 minute"
 HISTORY_LENGTH = 5
+SALTS = 8
 
 
 def check_requests(requests: DataFrame) -> DataFrame:
@@ -86,19 +87,33 @@ def with_admission(
     ts: str = "ts",
     order: str = "event_id",
 ) -> DataFrame:
-    """Every request with ``admitted``: compared with the last admitted one of its window."""
+    """Every request with ``admitted``: compared with the last admitted one of its window.
+
+    Requests with a null key are one client. A request without a time is in no window and not
+    admitted. The cuts, one row per client and window, are repeated over a few salts, so that a
+    busy client's requests are joined in several tasks.
+    """
     place = F.struct(F.col(ts).alias("t"), F.col(order).alias("o"))
     cuts = (
         admitted(requests, key, limit, window, ts, order)
         .groupBy(*key, "window_start")
         .agg(F.max(place).alias("_cut"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    placed = requests.withColumn("window_start", F.window(ts, window)["start"])
-    return (
-        placed.join(cuts, [*key, "window_start"])
-        .withColumn("admitted", place <= F.col("_cut"))
-        .drop("_cut")
+    salt = F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")
+    placed = requests.filter(F.col(ts).isNotNull())
+    placed = placed.withColumn("window_start", F.window(ts, window)["start"])
+    placed = placed.withColumn("_salt", salt).alias("r")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*key, "window_start", "_salt")]
+    names = [F.col(f"r.{c}") for c in (*requests.columns, "window_start")]
+    inside = F.struct(F.col(f"r.{ts}").alias("t"), F.col(f"r.{order}").alias("o")) <= F.col("c._cut")
+    timed = placed.join(cuts.alias("c"), same, "left").select(*names, inside.alias("admitted"))
+    untimed = requests.filter(F.col(ts).isNull()).select(
+        "*",
+        F.lit(None).cast(timed.schema["window_start"].dataType).alias("window_start"),
+        F.lit(False).alias("admitted"),
     )
+    return timed.unionByName(untimed)
 
 
 def recent_prompts(

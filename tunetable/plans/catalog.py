@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunetable.functions import prompts, quality
-from tunetable.functions.formats import fixed
+from tunetable.functions.formats import exponent, fixed
 from tunetable.functions.quality import QualityRules
 from tunetable.functions.text import alnum_tokens, extract_code, or_empty, strip, word_count
 from tunetable.operators import (
@@ -35,7 +35,7 @@ from tunetable.sources.schemas import INSTRUCTIONS
 from tunetable.streaming import limits as live_limits
 from tunetable.streaming import loss as live_loss
 from tunetable.streaming import tokens as live_tokens
-from tunetable.streaming.runs import append_to_files, file_stream
+from tunetable.streaming.runs import append_to_files, file_stream, slices
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,6 +71,22 @@ def q_prep_rows(spark, sf):
     )
 
 
+@query
+def q_prep_sampled(spark, sf):
+    """The sample is drawn before the rows are formatted and filtered."""
+    return prep.prepare(
+        inputs.pairs(spark, sf), "sample_id", max_samples=150, rules=PROSE_RULES
+    ).select("sample_id", "split")
+
+
+@query
+def q_prep_stages(spark, sf):
+    """Rows after each stage of the same run."""
+    return prep.prepare_stages(
+        inputs.pairs(spark, sf), "sample_id", max_samples=150, rules=PROSE_RULES
+    )
+
+
 @query
 def q_prep_custom(spark, sf):
     """User-supplied renderer and predicate."""
@@ -218,7 +234,7 @@ def q_tail(spark, sf):
 
 @query
 def q_batches(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents").select("doc_id", F.length("text").alias("chars"))
     return sampling.batch_stats(sampling.assign_batches(docs, "doc_id", batch_size=4))
 
 
@@ -227,6 +243,15 @@ def q_truncate_stats(spark, sf):
     return lengths.truncation_stats(table(spark, sf, "documents"), "text", by=("lang",))
 
 
+@query
+def q_truncate(spark, sf):
+    """The texts as the evaluation sees them: at most 512 words."""
+    cut = lengths.truncate_texts(
+        table(spark, sf, "documents"), "text", lengths.EVAL_MAX_TOKENS
+    )
+    return cut.select("doc_id", F.array_join("tokens", " ").alias("text"), "truncated")
+
+
 @query
 def q_word_count(spark, sf):
     return table(spark, sf, "documents").select("doc_id", word_count("text").alias("n_words"))
@@ -239,9 +264,7 @@ def _plain_rouge(spark, sf, order):
     return rouge.rouge_n(inputs.predictions(spark, sf), orders=(order,))
 
 
-@query
-def q_align(spark, sf):
-    """Every user turn against the assistant turn after it; the last user turns have none."""
+def _asked_and_answers(spark, sf):
     turns = table(spark, sf, "conversations")
     asked = turns.filter("role = 'user'").select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prediction")
@@ -249,7 +272,21 @@ def q_align(spark, sf):
     answers = turns.filter("role = 'assistant'").select(
         "conv_id", "turn", F.col("text").alias("reference")
     )
-    return alignment.align(asked, answers, ["conv_id", "turn"])
+    return asked, answers
+
+
+@query
+def q_align(spark, sf):
+    """Every user turn against the assistant turn after it; the last user turns have none."""
+    return alignment.align(*_asked_and_answers(spark, sf), ["conv_id", "turn"])
+
+
+@query
+def q_align_unmatched(spark, sf):
+    """Assistant turns that follow no question of an even conversation."""
+    asked, answers = _asked_and_answers(spark, sf)
+    asked = asked.filter(F.col("conv_id") % 2 == 0)
+    return alignment.unmatched_references(asked, answers, ["conv_id", "turn"])
 
 
 @query
@@ -401,6 +438,7 @@ def q_loss_points(spark, sf):
         "step",
         fixed("loss").alias("loss_text"),
         fixed("epoch", 1).alias("epoch_text"),
+        exponent((F.col("step") * 7 + 1) / 7e7).alias("rate_text"),
     )
 
 
@@ -528,12 +566,16 @@ def q_sse_encode(spark, sf):
 
 @query
 def q_sse_decode(spark, sf):
-    return frames.decode_frames(inputs.frame_lines(spark, sf), STREAM)
+    return frames.decode_frames(inputs.noisy_frame_lines(spark, sf), STREAM)
 
 
 @query
 def q_stream_fold(spark, sf):
-    return frames.fold_streams(frames.parse_lines(inputs.frame_lines(spark, sf)), STREAM)
+    """The second of two starts counts; the first one stopped within the text."""
+    lines = inputs.noisy_frame_lines(spark, sf).withColumn("attempt", F.lit(1))
+    first = inputs.frame_lines(spark, sf).filter("seq < 3").withColumn("attempt", F.lit(0))
+    parsed = frames.parse_lines(lines.unionByName(first))
+    return frames.fold_streams(frames.latest_attempts(parsed, STREAM, "attempt"), STREAM)
 
 
 @query
@@ -574,24 +616,30 @@ def q_chunk_lines(spark, sf):
 # --- streaming -----------------------------------------------------------------------------------
 
 
-def _stream(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return file_stream(spark, sf, schema, pattern=f"{name}.parquet")
+def _stream(spark, sf, name, order):
+    """The table as a stream of several micro-batches, so that state is carried between them."""
+    rows = table(spark, sf, name)
+    folder, files = slices(rows, order, f"{name}-stream")
+    return file_stream(spark, folder, rows.schema, max_files=files)
 
 
 @query
 def q_stream_loss(spark, sf):
-    return live_loss.append_live_log(inputs.loss_log_of(_stream(spark, sf, "events")))
+    return live_loss.append_live_log(
+        inputs.loss_log_of(_stream(spark, sf, "events", "event_id"))
+    )
 
 
 @query
 def q_stream_loss_min(spark, sf):
-    return live_loss.running_minimum(inputs.loss_log_of(_stream(spark, sf, "events")))
+    return live_loss.running_minimum(
+        inputs.loss_log_of(_stream(spark, sf, "events", "event_id"))
+    )
 
 
 @query
 def q_stream_tokens(spark, sf):
-    turns = _stream(spark, sf, "conversations").select(
+    turns = _stream(spark, sf, "conversations", "conv_id").select(
         F.concat_ws(":", "conv_id", "turn").alias("stream"), "text"
     )
     folded = live_tokens.fold_stream(frames.encode_frames(turns, ("stream",)), "stream")
@@ -599,7 +647,7 @@ def q_stream_tokens(spark, sf):
 
 
 def _stream_requests(spark, sf):
-    events = _stream(spark, sf, "events")
+    events = _stream(spark, sf, "events", "event_id")
     return events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
 
 
@@ -630,6 +678,14 @@ def q_human_report(spark, sf):
     return report.review_report(problems, "sample_id")
 
 
+@query
+def q_review_file(spark, sf):
+    """The review document written and read back line by line."""
+    path = writers.write_review(q_human_report(spark, sf), scratch_path(spark, "review"))
+    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    return lines.groupBy("line").agg(F.count("*").alias("n"))
+
+
 @query
 def q_jsonl_roundtrip(spark, sf):
     rows = sampling.split_stable(_formatted_docs(spark, sf), "doc_id").drop("doc_id")
@@ -658,7 +714,7 @@ def q_union_available(spark, sf):
 def q_split_publish(spark, sf):
     docs = sampling.split_stable(table(spark, sf, "documents"), "doc_id")
     path = writers.publish_splits(docs, scratch_path(spark, "published"))
-    published = readers.read_published(spark, path).filter(F.col("split") == "eval")
+    published = readers.read_published(spark, path)
     return published.select("doc_id", "lang", "n_chars", "split")
 
 
@@ -675,18 +731,17 @@ def q_csv_append(spark, sf):
 @query
 def q_inline_rows(spark, sf):
     """How often the words of each example prompt occur in the documents."""
-    counts = (
+    prompt_words = F.broadcast(  # the words of five constant rows
+        inline.example_prompts(spark).select(
+            "label", F.explode(F.array_distinct(alnum_tokens("prompt"))).alias("word")
+        )
+    )
+    return (
         table(spark, sf, "documents")
         .select(F.explode(alnum_tokens("text")).alias("word"))
-        .groupBy("word")
+        .join(prompt_words, "word")
+        .groupBy("label", "word")
         .agg(F.count("*").alias("n"))
-    )
-    prompt_words = inline.example_prompts(spark).select(
-        "label", F.explode(F.array_distinct(alnum_tokens("prompt"))).alias("word")
-    )
-    return (
-        F.broadcast(prompt_words)  # five constant rows
-        .join(counts, "word", "inner")
         .groupBy("label")
         .agg(F.count("*").alias("n_words_found"), F.sum("n").alias("n_occurrences"))
     )

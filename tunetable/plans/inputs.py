@@ -40,7 +40,7 @@ def alpaca(spark: SparkSession, sf: str) -> DataFrame:
     rendered = F.concat(
         F.lit("### Instruction:\n"), "instruction", F.lit("\n\n### Response:\n"), "output"
     )
-    kind = F.col("sample_id") % 7
+    kind = (F.col("conv_id") + F.col("turn")) % 7
     return pairs(spark, sf).select(
         "sample_id",
         F.when(kind == 0, F.concat("instruction", "output"))
@@ -102,7 +102,7 @@ def code_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def loss_log_of(events: DataFrame) -> DataFrame:
-    """All-string log rows with bad steps, empty and malformed losses and empty epochs."""
+    """All-string log rows with bad and very large steps, empty and malformed losses, empty epochs."""
     n = F.col("event_id")
     epoch = F.concat(
         F.floor(n / 2000).cast("string"),
@@ -111,9 +111,13 @@ def loss_log_of(events: DataFrame) -> DataFrame:
     )
     return events.select(
         F.col("event_type").alias("run_id"),
-        F.when(n % 97 == 0, "bad").otherwise(n.cast("string")).alias("step"),
+        F.when(n % 97 == 0, "bad")
+        .when(n % 89 == 0, (n + 3_000_000_000).cast("string"))
+        .otherwise(n.cast("string"))
+        .alias("step"),
         F.when(n % 11 == 0, "")
         .when(n % 101 == 0, "n/a")
+        .when(n % 103 == 0, "1.5d")
         .otherwise(F.col("value").cast("string"))
         .alias("loss"),
         F.when(n % 13 == 0, "").otherwise(epoch).alias("epoch"),
@@ -152,6 +156,34 @@ def token_nll(spark: SparkSession, sf: str) -> DataFrame:
 STREAM = ("conv_id", "turn")
 
 
+# Lines that a reader of frames has to skip: malformed, falsy or of another kind.
+NOISE = (
+    'data: {"token": "a"}, "x": 1',
+    'data: {"token": "c"},"f":{"done":true}',
+    'data: {"token": 0}',
+    'data: {"token": false}',
+    'data: {"token": ""}',
+    'data: {"token": NaN}',
+    'data: {"done": 0.0}',
+    'data: {"done": ""}',
+    "data: {'token': 'b'}",
+    "data: ",
+    "event: ping",
+    '{"token": "d"}',
+)
+
+
+def noisy_frame_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The frame lines with noise before the first one and a token after the last one."""
+    streams = table(spark, sf, "conversations").select(*STREAM)
+    noise = F.explode(F.array(*[F.lit(line) for line in NOISE])).alias("line")
+    early = streams.select(*STREAM, F.lit(-1).cast("long").alias("seq"), noise)
+    late = streams.select(
+        *STREAM, F.lit(1 << 40).alias("seq"), F.lit('data: {"token": "late"}').alias("line")
+    )
+    return frame_lines(spark, sf).unionByName(early).unionByName(late)
+
+
 def frame_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Frame lines of all messages."""
     return encode_frames(table(spark, sf, "conversations").select(*STREAM, "text"), STREAM)

@@ -44,7 +44,7 @@ def stable_split(key: str) -> str:
 # --- input views ---------------------------------------------------------------------------------
 
 PAIRS = """pairs as (
-  select conv_id * 1000 + turn as sample_id, conv_id, turn, text as instruction,
+  select concat(conv_id, ':', turn) as sample_id, conv_id, turn, text as instruction,
          coalesce(sys, '') as input, nxt as output
   from (select conv_id, turn, role, text,
                lead(role) over (partition by conv_id order by turn) as nr,
@@ -89,8 +89,8 @@ ALPACA_TEXT = (
 )
 
 ALPACA = f"""alpaca as (
-  select sample_id, case when sample_id % 7 = 0 then concat(instruction, output)
-    when sample_id % 7 = 1 then concat({ALPACA_TEXT}, {text("### Response:" + chr(10) + "extra")})
+  select sample_id, case when (conv_id + turn) % 7 = 0 then concat(instruction, output)
+    when (conv_id + turn) % 7 = 1 then concat({ALPACA_TEXT}, {text("### Response:" + chr(10) + "extra")})
     else {ALPACA_TEXT} end as text
   from pairs)"""
 
@@ -135,18 +135,20 @@ SYNTAX = f"""{CODE_ANSWERS}, checked as (
 
 TYPED_LOG = """log as (
   select event_type as run_id,
-    case when event_id % 97 = 0 then 'bad' else cast(event_id as varchar) end as step,
+    case when event_id % 97 = 0 then 'bad' when event_id % 89 = 0
+      then cast(event_id + 3000000000 as varchar) else cast(event_id as varchar) end as step,
     case when event_id % 11 = 0 then '' when event_id % 101 = 0 then 'n/a'
+      when event_id % 103 = 0 then '1.5d'
       else cast(value as varchar) end as loss,
     case when event_id % 13 = 0 then ''
       else concat(event_id // 2000, '.', lpad(cast((event_id % 2000) * 5 as varchar), 4, '0')) end
       as epoch
   from events),
 typed as (
-  select run_id, try_cast(step as int) as step, try_cast(nullif(loss, '') as double) as loss,
+  select run_id, try_cast(step as bigint) as step, try_cast(nullif(loss, '') as double) as loss,
          try_cast(nullif(epoch, '') as double) as epoch
   from log
-  where try_cast(step as int) is not null
+  where try_cast(step as bigint) is not null
     and (loss = '' or try_cast(loss as double) is not null)
     and (epoch = '' or try_cast(epoch as double) is not null))"""
 
@@ -307,6 +309,10 @@ SPLIT_REPORT = """select split, count(*) as n_rows, sum(length(text)) as text_ch
 PREP_KEPT = f"""{PAIRS}, {formatted("pairs", "sample_id")},
 kept as (select * from formatted where {PROSE_PASSES})"""
 
+PREP_SAMPLED = f"""{PAIRS}, sampled as (
+  select * from pairs order by {hash_of("sample_id")}, sample_id limit 150),
+{formatted("sampled", "sample_id")}, kept as (select * from formatted where {PROSE_PASSES})"""
+
 DAY = "strftime(date_trunc('day', ts), '%Y-%m-%d')"
 PROMPTS = ", ".join(f"({text(label)}, {text(p)})" for label, p in EXAMPLE_PROMPTS)
 
@@ -318,6 +324,21 @@ ORACLE: dict[str, str] = {
 split as (select *, {ordered_split("sample_id")} as split from kept)
 {SPLIT_REPORT} from split group by split""",
     "q_prep_rows": f"with {PREP_KEPT} select *, {stable_split('sample_id')} as split from kept",
+    "q_prep_sampled": f"""with {PREP_SAMPLED}
+select sample_id, {ordered_split("sample_id")} as split from kept""",
+    "q_prep_stages": f"""with {PREP_SAMPLED},
+split as (select {ordered_split("sample_id")} as split from kept)
+select 'raw' as stage, count(*) as n_rows from pairs
+union all select 'sampled', count(*) from sampled
+union all select 'kept', count(*) from split
+union all select 'train', count(*) from split where split = 'train'
+union all select 'eval', count(*) from split where split = 'eval'""",
+    "q_truncate": f"""with w as (
+  select doc_id, regexp_extract_all(text, {WORD}) as w from documents)
+select doc_id, array_to_string(w[1:512], ' ') as text, len(w) > 512 as truncated from w""",
+    "q_align_unmatched": """select conv_id, turn from conversations a where role = 'assistant'
+  and not exists (select 1 from conversations u where u.role = 'user' and u.conv_id % 2 = 0
+    and u.conv_id = a.conv_id and u.turn + 1 = a.turn)""",
     "q_prep_custom": f"""with {PAIRS}, fields as (
   select sample_id, {strip("instruction")} as instruction, {strip("output")} as output,
          {ALPACA_TEXT} as text from pairs)
@@ -463,7 +484,8 @@ from predictions group by sample_id""",
     "q_loss_typed": f"with {TYPED_LOG} select * from typed",
     "q_loss_points": f"""with {TYPED_LOG}
 select run_id, step, printf('%.4f', round(round(loss, 6), 4)) as loss_text,
-  printf('%.1f', round(round(coalesce(epoch, 0.0), 4), 1)) as epoch_text
+  printf('%.1f', round(round(coalesce(epoch, 0.0), 4), 1)) as epoch_text,
+  regexp_replace(printf('%.2e', (step * 7 + 1) / 7e7), 'e([+-])0+([0-9])', 'e\\1\\2') as rate_text
 from typed where loss is not null""",
     "q_loss_min": f"""with {TYPED_LOG}, m as (
   select run_id, min(loss) as min_loss, count(loss) as n_points from typed
@@ -575,13 +597,22 @@ select sample_id, number, concat(case when number = 1 then {HEADER} else '' end,
   {text(chr(10) + "```" + chr(10) * 2 + "**Generated Code:**" + chr(10) + "```python" + chr(10))}, output,
   {text(chr(10) + "```" + chr(10) * 2)}, {RUBRIC}) as block
 from n""",
+    "q_review_file": f"""with report as (with {PAIRS}, n as (
+  select sample_id, instruction, output, row_number() over (order by sample_id) as number from pairs)
+select sample_id, number, concat(case when number = 1 then {HEADER} else '' end,
+  '## Problem ', number, {text(chr(10) + "**Prompt:**" + chr(10) + "```text" + chr(10))}, instruction,
+  {text(chr(10) + "```" + chr(10) * 2 + "**Generated Code:**" + chr(10) + "```python" + chr(10))}, output,
+  {text(chr(10) + "```" + chr(10) * 2)}, {RUBRIC}) as block
+from n),
+l as (select unnest(string_split(substr(block, 1, length(block) - 1), chr(10))) as line from report)
+select line, count(*) as n from l group by line""",
     "q_jsonl_roundtrip": f"""with {INSTRUCTION_DOCS}, {formatted("instruction_docs", "doc_id")}
 select instruction, input, output, text, {stable_split("doc_id")} as split from formatted""",
     "q_union_available": f"""with {PREDICTIONS}
 select model, count(*) as n_rows, sum(length(prediction)) as prediction_chars,
   'distilled' as missing from predictions group by model""",
     "q_split_publish": f"""select doc_id, lang, n_chars, {stable_split("doc_id")} as split
-from documents where {stable_split("doc_id")} = 'eval'""",
+from documents""",
     "q_csv_append": f"""with {TYPED_LOG}, t as (
   select step, loss, cast(null as double) as learning_rate, epoch from typed)
 select * from t union all select * from t""",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tunetable.functions.formats import is_flagged
 from tunetable.operators.telemetry import typed_log
 from tunetable.sources.schemas import INSTRUCTIONS, LOSS_LOG_TEXT, METRICS_DOCUMENT
 
@@ -78,7 +79,7 @@ def metric_records(document: DataFrame) -> DataFrame:
     """Records of a metrics document with their position and the note flag."""
     return document.select(
         "eval_samples",
-        (F.length(F.coalesce("note", F.lit(""))) > 0).alias("has_note"),
+        is_flagged("note").alias("has_note"),
         F.posexplode("results").alias("position", "r"),
     ).select("position", "r.*", "eval_samples", "has_note")
 

@@ -43,8 +43,9 @@ def first_hit_windows(
 ) -> DataFrame:
     """Admission with windows that start at a key's first hit after the previous window ended.
 
-    Blocked requests do not move the window. State per key is the window start and its hit count.
-    A micro-batch is sorted per key, so its size (``max_files`` of the source) bounds the memory.
+    Blocked requests do not move the window. State per key is the window start and its hit count; it
+    is removed once the watermark has passed the end of the window. A micro-batch is sorted per
+    key, so its size (``max_files`` of the source) bounds the memory.
     """
     length = seconds * 1_000_000
     schema = (
@@ -56,6 +57,9 @@ def first_hit_windows(
         k: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         start, hits = state.get if state.exists else (None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["us", "event_id"])
         starts, ranks = [], []
         for us in rows["us"]:
@@ -64,7 +68,9 @@ def first_hit_windows(
             hits += 1
             starts.append(start)
             ranks.append(hits)
-        state.update((start, hits))
+        state.update((int(start), hits))
+        ends = int(start + length) // 1000 + 1
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             {
                 key: rows[key].to_numpy(),
@@ -77,9 +83,10 @@ def first_hit_windows(
 
     micros = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
     return (
-        requests.select(key, "event_id", micros)
+        requests.withWatermark("ts", LATENESS)
+        .select(key, "event_id", "ts", micros)
         .groupBy(F.col(key))
         .applyInPandasWithState(
-            admit, schema, "start long, hits int", "append", GroupStateTimeout.NoTimeout
+            admit, schema, "start long, hits int", "append", GroupStateTimeout.EventTimeTimeout
         )
     )

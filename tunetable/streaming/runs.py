@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
@@ -28,6 +29,25 @@ def file_stream(
     return reader.load(folder)
 
 
+def slices(
+    df: DataFrame, order: str, label: str, count: int = 3, parts: int = 2
+) -> tuple[str, int]:
+    """Writes a table as ``count`` batches of ``parts`` files, in the order of a numeric column.
+
+    Returns the folder and the files of a batch: a stream that takes so many files at a time sees
+    the batches one after another.
+    """
+    spark = df.sparkSession
+    out = scratch_path(spark, label)
+    ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    step = ((ends["high"] or 0) - (ends["low"] or 0)) // count + 1
+    number = F.floor((F.col(order) - F.lit(ends["low"] or 0)) / step)
+    for i in range(count):
+        part = df.filter(number == i) if i else df.filter((number == i) | number.isNull())
+        part.repartition(parts).write.mode("append").parquet(out)
+    return out, parts
+
+
 def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     """Processes everything that is there now, then stops."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

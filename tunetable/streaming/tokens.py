@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tunetable.operators.frames import parse_lines
 
-STATE_SCHEMA = "text string, token_count long, finished boolean"
+STATE_SCHEMA = "text string, token_count long, finished boolean, attempt long"
 IDLE = "1 hour"  # event time after which an unfinished stream is given up
 IDLE_MS = 3_600_000
 
@@ -23,21 +23,22 @@ def _fold(
     """Adds the batch's tokens to the state; emits the stream when it is done or given up.
 
     After the done frame the state only remembers that the stream is finished, so that later frames
-    are ignored; a frame with number 0 starts the stream anew.
+    are ignored. A higher attempt starts the stream anew, and frames of lower ones are ignored.
     """
-    text, count, finished = state.get if state.exists else ("", 0, False)
+    text, count, finished, attempt = state.get if state.exists else ("", 0, False, 0)
     if state.hasTimedOut:
         state.remove()
         if not finished:
             yield (*key, text, count, False)
         return
     pieces = [text]
-    rows = [f for b in batches for f in zip(b["seq"], b["token"], b["done"], b["ms"])]
-    rows.sort(key=itemgetter(0))
-    for seq, token, done, _ in rows:
-        if seq == 0:
-            pieces, count, finished = [], 0, False
-        if finished:
+    columns = ("attempt", "seq", "token", "done", "ms")
+    rows = [f for b in batches for f in zip(*(b[c] for c in columns))]
+    rows.sort(key=itemgetter(0, 1))
+    for start, _, token, done, _ in rows:
+        if start > attempt:
+            pieces, count, finished, attempt = [], 0, False, int(start)
+        if finished or start < attempt:
             continue
         if done:
             finished = True
@@ -46,24 +47,29 @@ def _fold(
         else:
             pieces.append(token)
             count += 1
-    state.update(("".join(pieces), count, finished))
+    state.update(("".join(pieces), count, finished, attempt))
     if expires:
         latest = int(max(ms for *_, ms in rows))
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + IDLE_MS)
 
 
-def fold_stream(lines: DataFrame, stream: str, ts: str | None = None) -> DataFrame:
+def fold_stream(
+    lines: DataFrame, stream: str, ts: str | None = None, attempt: str | None = None
+) -> DataFrame:
     """Streaming lines (``stream``, ``seq``, ``line``) -> one row per finished stream.
 
     With an event time ``ts`` the state of idle streams is removed, and streams that never finished
-    are emitted with ``done`` false; without one the state is kept.
+    are emitted with ``done`` false; without one the state is kept. ``attempt`` numbers the starts of a
+    stream from 0; a new start resets its text and count. Frames of one stream have to arrive in
+    order from micro-batch to micro-batch; within one they are sorted.
     """
     frames = parse_lines(lines)
     millis = F.lit(0).cast("long")
     if ts is not None:
         frames = frames.withWatermark(ts, IDLE)
         millis = F.unix_millis(ts)
-    carried = [stream, "seq", "token", "done", millis.alias("ms")]
+    start = F.lit(0) if attempt is None else F.col(attempt)
+    carried = [stream, start.cast("long").alias("attempt"), "seq", "token", "done", millis.alias("ms")]
     frames = frames.select(*carried, *([] if ts is None else [ts]))
     key_type = frames.schema[stream].dataType.simpleString()
     schema = f"`{stream}` {key_type}, text string, token_count long, done boolean"
