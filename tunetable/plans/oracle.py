@@ -7,6 +7,7 @@ from tunetable.functions.text import WHITESPACE
 from tunetable.operators.bootstrap import PER_DIGEST, REPLICATES, poisson_thresholds
 from tunetable.operators.report import REVIEW_HEADER, REVIEW_RUBRIC
 from tunetable.plans.inputs import REWORDED
+from tunetable.plans.stems import STEMMED_TOKENS
 from tunetable.sources.inline import EXAMPLE_PROMPTS
 
 
@@ -431,6 +432,9 @@ where u.role = 'user'""",
 select model, round(avg(rouge1), 4) as rouge1, round(avg(rouge2), 4) as rouge2
 from rouge1 join rouge2 using (model, sample_id) group by model""",
     "q_rouge_l": f"with {PREDICTIONS}, {ALNUM_TOKENS}, {ROUGE_L} select * from rougeL",
+    "q_rouge_stemmed": f"""with {PREDICTIONS}, {STEMMED_TOKENS}, {rouge_n(1)}, {rouge_n(2)}
+select * from rouge1 join rouge2 using (model, sample_id)""",
+    "q_rouge_l_stemmed": f"with {PREDICTIONS}, {STEMMED_TOKENS}, {ROUGE_L} select * from rougeL",
     "q_rouge_bootstrap": f"""with {PREDICTIONS}, {ALNUM_TOKENS}, {rouge_n(1)}, {rouge_n(2)}, {DRAWN}
 select model, metric, round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.5), 6) as mid,
   round(quantile_cont(mean, 0.975), 6) as high
@@ -459,6 +463,17 @@ select cast(total as bigint) as train_tokens, v as vocabulary,
   round(coalesce(exp((select avg(nll) from scored)), 1.0), 4) as perplexity
 from size""",
     "q_eval_report": f"with {REPORT} select * from report",
+    "q_eval_report_stemmed": f"""with {PREDICTIONS}, {STEMMED_TOKENS}, {rouge_n(1)}, {rouge_n(2)}, {ROUGE_L},
+bleus as (with {MT_TOKENS}, {BLEU} select * from bleu),
+means as (
+  select model, round(avg(rouge1), 4) as rouge1, round(avg(rouge2), 4) as rouge2,
+         round(avg("rougeL"), 4) as "rougeL", count(*) as num_samples
+  from rouge1 join rouge2 using (model, sample_id) join rougeL using (model, sample_id)
+  group by model)
+select model, rouge1, rouge2, "rougeL", round(bleu, 4) as bleu, cast(null as double) as perplexity,
+  (select round(avg({n_words("prediction")}), 1) from predictions p
+   where p.model = means.model) as avg_response_length, num_samples
+from means join bleus using (model)""",
     "q_metrics_document": f"""with {REPORT}
 select *, max(num_samples) over () as eval_samples, true as has_note from report""",
     "q_metric_long": f"""with {REPORT}
