@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunetable.functions.formats import js_round
+from tunetable.session import written
 
 # Line formats, and the elapsed seconds below which no speed is shown.
 DATA_PREFIX = "data: "
@@ -198,7 +199,8 @@ def chunks_to_lines(
 
     Blocks of chunks are joined to one text each. A line inside a block is complete; pieces at the
     edges of blocks are joined by line number, the number of newlines before them. A last line
-    without its newline is not complete and is left out.
+    without its newline is not complete and is left out. The blocks are stored, so that the chunks are
+    read and assembled once for the offsets and the pieces.
     """
     piece = F.struct(F.col(seq).alias("o"), F.col(data).alias("data"))
     blocks = (
@@ -207,6 +209,7 @@ def chunks_to_lines(
         .select(*stream, "block", F.split(F.array_join("p.data", ""), "\n", -1).alias("pieces"))
         .withColumn("n", F.size("pieces") - 1)
     )
+    blocks = written(blocks, "chunk-blocks")
     earlier = (
         Window.partitionBy(*stream).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     )
