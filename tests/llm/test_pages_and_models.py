@@ -66,6 +66,7 @@ def test_archives_can_be_deduplicated_again(spark, tmp_path):
     types = collections.Counter(r.record_type for r in warc.read_records(spark, second).collect())
     assert types == {"response": 7, "revisit": 3}
     warc.write_archives(warc.records_of(pages(spark, [])), str(tmp_path / "c"))
+    assert warc.resolve(warc.read_records(spark, str(tmp_path / "c"))).collect() == []
 
 
 LONG = "This is a long sentence of the article, with commas, and it goes on for a while. "

@@ -64,7 +64,10 @@ def _clean(uri: Column, page_id: Column) -> Column:
 
 
 def records_of(pages: DataFrame) -> DataFrame:
-    """(page_id, target_uri, payload, bytes, digest) per page; a null html is an empty payload."""
+    """(page_id, target_uri, payload, bytes, digest) per page; a null html is an empty payload.
+
+    The digest is hexadecimal until a header is written.
+    """
     page_id = F.col("page_id").cast("long")
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     return pages.select(
@@ -72,7 +75,7 @@ def records_of(pages: DataFrame) -> DataFrame:
         _clean(F.col("url").cast("string"), page_id).alias("target_uri"),
         payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("bytes"),
-        base32_of_hex(F.sha1(payload.cast("binary"))).alias("digest"),
+        F.sha1(payload.cast("binary")).alias("digest"),
     )
 
 
@@ -117,7 +120,7 @@ def write_archives(records: DataFrame, path: str, least_bytes: int = LEAST_BYTES
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", F.col("target_uri")),
         F.coalesce(number, F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("digest")))),
         F.when(F.col("revisit"), refers).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         line("Content-Length", length.cast("string")),
