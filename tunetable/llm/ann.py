@@ -142,7 +142,8 @@ def nearest(
 
     `vectors` has vec_id and embedding. Rows whose vector is null, zero, or holds a null or a
     non-finite component take no part, nor do those whose length differs from the most frequent one
-    (the larger on ties), or those without vec_id. Repeated rows are rows of their own.
+    (the larger on ties), or those without vec_id. Repeated rows are candidates of their own, but a
+    query is asked once; a vec_id with several vectors is asked with each.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -161,7 +162,7 @@ def nearest(
     rows = rows.withColumn("one", F.xxhash64("vec")).withColumn("two", F.xxhash64(F.lit(1), "vec"))
     nth = F.row_number().over(W.partitionBy("one", "two").orderBy("vec_id"))
     kept = written(rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1), "vectors")
-    asked = rows.filter("is_query").select("vec_id", "one", "two")
+    asked = rows.filter("is_query").select("vec_id", "one", "two").distinct()
     classes = rows.filter("is_query").groupBy("one", "two").agg(F.first("vec").alias("vec"))
 
     count = min(MOST_CENTRES, math.ceil(math.sqrt(total)))
@@ -277,7 +278,7 @@ def nearest(
     found = found.withColumn("r", F.row_number().over(by_class)).filter(F.col("r") <= k + 1)
     found = found.select(F.col("q_id").alias("one"), F.col("q_tie").alias("two"), "vec_id", "score")
     pairs = asked.withColumnRenamed("vec_id", "query_id").join(found, ["one", "two"])
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = W.partitionBy("query_id", "one", "two").orderBy(F.desc("score"), "vec_id")
     pairs = pairs.filter("vec_id <> query_id").withColumn("rank", F.row_number().over(best))
     return pairs.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
