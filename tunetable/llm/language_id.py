@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tunetable.llm.base import table
+from tunetable.llm.base import checked, table
 from tunetable.llm.tokens import LOWER, SPACE, text_slices
 from tunetable.session import ship_package
 
@@ -206,16 +206,25 @@ def held_out() -> Column:
 
 
 def training_sample(docs: DataFrame) -> dict[str, list[bytes]]:
-    """At most SAMPLE_TEXTS whole texts of each lang, the first in a hash order of the doc_id."""
+    """At most SAMPLE_TEXTS whole texts of each lang, the first in a hash order of the doc_id.
+
+    Of a lang with n texts only those in the first 2 * SAMPLE_TEXTS / n of the hash range are ranked, so
+    the ranking sees about as many rows for a lang of any size.
+    """
     usable = docs.select("doc_id", "lang", F.col("text").cast("binary").alias("body")).filter(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out()
         & F.octet_length("body").between(1, SAMPLE_BYTES)
     )
-    order = F.xxhash64(F.lit(SEED), "doc_id")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("order", "doc_id"))
-    chosen = usable.select("lang", "doc_id", order.alias("order")).withColumn("rank", rank)
-    chosen = chosen.filter(F.col("rank") <= SAMPLE_TEXTS).select("lang", "doc_id").distinct()
-    rows = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).orderBy("lang", "doc_id", "body")
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 11) / float(1 << 53)
+    known = usable.select("lang", "doc_id", place.alias("place"))
+    totals = checked(known.groupBy("lang").agg(F.count("*").alias("n")), "lang-totals")
+    near = known.join(totals, "lang")
+    near = near.filter(F.col("place") * F.col("n") < 2.0 * SAMPLE_TEXTS)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id"))
+    chosen = near.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS)
+    chosen = chosen.select("lang", "doc_id").distinct()
+    chosen = checked(chosen, "lang-sample")
+    rows = usable.join(chosen, ["lang", "doc_id"]).orderBy("lang", "doc_id", "body")
     texts: dict[str, list[bytes]] = {}
     for row in rows.collect():
         texts.setdefault(row["lang"], []).append(bytes(row["body"]))
