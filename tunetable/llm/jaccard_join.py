@@ -200,37 +200,80 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         .select(F.col("h").alias("a"), F.col("v").alias("b"))
         .distinct()
     )
-    first = written(_linked(stars, sets, percent), "star-links")
-    group = checked(components(first).withColumnRenamed("component", "g"), "star-groups")
-    lists = lists.join(group, "v", "left").withColumn("g", F.coalesce("g", "v"))
-    # lists with one group are answered; in the others each set outside the largest group is open
-    counts = lists.groupBy("t", "g").agg(F.count("*").alias("c"))
-    main = counts.groupBy("t").agg(
-        F.max(F.struct("c", "g")).getField("g").alias("main"), F.count("*").alias("groups")
+    links = written(_linked(stars, sets, percent), "star-links")
+    # two rounds name nearly all groups; a group in parts only costs some comparisons
+    group = written(components(links, rounds=2), "star-groups")
+    leaders = _open_lists(lists, group).select(
+        F.col("v").alias("a"),
+        F.col("n").alias("an"),
+        F.col("i").alias("ai"),
+        F.inline(F.array_distinct("leaders")),
     )
-    main = checked(main.filter("groups > 1").select("t", "main"), "open-lists")
+    more = leaders.filter(_may_link(percent))
+    more = more.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
+    known = group.select(F.col("v").alias("a"), F.col("component").alias("b"))
+    links = written(known.unionByName(_linked(more, sets, percent)), "leader-links")
+    group = written(components(links, rounds=2), "leader-groups")
+    opened = _open_lists(lists, group)
     step = np.log(100 / percent)
     block = F.floor(F.log(F.col("n").cast("double")) / float(step)).cast("int")
-    live = written(
-        lists.join(main, "t").select("t", "v", "n", "i", "g", "main", block.alias("block")), "open"
-    )
-    opened = live.filter("g <> main").select(
+    rest = lists.join(opened.select("t").distinct(), "t", "left_semi")
+    rest = _grouped(rest, group).withColumn("block", block).select("t", "block", "v", "n", "i", "g")
+    opened = opened.select(
         "t",
-        F.explode(F.array(*(F.col("block") + d for d in (-1, 0, 1)))).alias("block"),
+        "main",
+        F.explode(F.array(*(block + d for d in (-1, 0, 1)))).alias("block"),
         F.col("v").alias("a"),
         F.col("n").alias("an"),
         F.col("i").alias("ai"),
         F.col("g").alias("ag"),
     )
-    left = F.least(F.col("an") - F.col("ai"), F.col("n") - F.col("i"))
-    pairs = opened.join(live, ["t", "block"]).filter(
+    # a pair of two open sets is looked at from one side
+    pairs = opened.join(rest, ["t", "block"]).filter(
         (F.col("ag") != F.col("g"))
         & ((F.col("g") == F.col("main")) | (F.col("a") < F.col("v")))
-        & _sizes_fit("an", "n", percent)
-        & (left * (100 + percent) >= (F.col("an") + F.col("n")) * percent)
+        & _may_link(percent)
     )
     pairs = pairs.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
-    return first.unionByName(_linked(pairs, sets, percent))
+    known = group.select(F.col("v").alias("a"), F.col("component").alias("b"))
+    return links.unionByName(known).unionByName(_linked(pairs, sets, percent))
+
+
+def _may_link(percent: int) -> Column:
+    """Size bound, and what the places (ai, i) in a list leave of two sets of an and n tokens."""
+    left = F.least(F.col("an") - F.col("ai"), F.col("n") - F.col("i"))
+    enough = left * (100 + percent) >= (F.col("an") + F.col("n")) * percent
+    return _sizes_fit("an", "n", percent) & enough
+
+
+def _grouped(lists: DataFrame, group: DataFrame) -> DataFrame:
+    named = group.withColumnRenamed("component", "g")
+    return lists.join(named, "v", "left").withColumn("g", F.coalesce("g", "v"))
+
+
+def _open_lists(lists: DataFrame, group: DataFrame) -> DataFrame:
+    """(t, v, n, i, g, main, leaders): the sets outside the largest group of their list.
+
+    A list of one group is answered already. The leaders are the smallest, the largest, the foremost and
+    a hashed set of the main group; a set that links with any of them belongs to that group.
+    """
+    lists = _grouped(lists, group)
+    place = F.struct("n", "i", "v")
+    counts = lists.groupBy("t", "g").agg(
+        F.count("*").alias("c"),
+        F.min(place).alias("small"),
+        F.max(place).alias("large"),
+        F.min_by(place, F.struct("i", "v")).alias("front"),
+        F.min_by(place, F.struct(F.xxhash64("v"), "v")).alias("any"),
+    )
+    leaders = F.array("small", "large", "front", "any")
+    main = counts.groupBy("t").agg(
+        F.max_by(F.struct(F.col("g").alias("main"), leaders.alias("leaders")), F.struct("c", "g"))
+        .alias("m"),
+        F.count("*").alias("groups"),
+    )
+    main = checked(main.filter("groups > 1").select("t", "m.main", "m.leaders"), "open-lists")
+    return written(lists.join(main, "t").filter("g <> main"), "open-sets")
 
 
 def _share_sql(percent: int) -> str:
@@ -249,7 +292,7 @@ def near_duplicate_groups(
     spark = docs.sparkSession
     ship_package(spark)
     texts = keyed_texts(docs)
-    buckets = bucket_count(spark, texts)
+    buckets = bucket_count(texts)
     info = written(_info(texts, size), "set-digests")
     copies = info.filter("n > 0").groupBy("n", "one", "two").agg(
         F.min(F.struct("k_id", "k_tie")).alias("r"), F.count("*").alias("c")
