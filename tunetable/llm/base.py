@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunetable.session import written
 
-#: A joined side is broadcast up to this many bytes of its stored columns, else shuffled.
-BROADCAST_BYTES = 16 << 20
+#: A joined side is broadcast up to this many bytes of its Parquet files, else shuffled; in memory it takes
+#: about ten times as much.
+BROADCAST_BYTES = 2 << 20
 #: Text bytes per bucket of work.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 
 ROW_KEY = ("k_id", "k_tie")
 
@@ -60,11 +59,10 @@ def doc_id_of(key: str = "k_id") -> Column:
     return F.when(F.col(key) != -(1 << 63), F.col(key))
 
 
-def bucket_count(spark: SparkSession, texts: DataFrame, column: str = "body") -> int:
-    """Buckets of about BUCKET_BYTES of text, at least one for each shuffle partition."""
+def bucket_count(texts: DataFrame, column: str = "body") -> int:
+    """Buckets of about BUCKET_BYTES of text."""
     size = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, parts, math.ceil(size / BUCKET_BYTES))
+    return 1 + size // BUCKET_BYTES
 
 
 def stored_bytes(df: DataFrame) -> int:
