@@ -4,13 +4,15 @@ A page is read as blocks: runs of text between block-level tags, each with its p
 names with their class and id). For every path of a page the text length, punctuation marks, blocks and
 linked characters are added up. A path's text ratio (characters per block) and punctuation ratio
 are smoothed over the paths of the page by how much of the path they share, fused by
-multiplication, and compared with a threshold; linked text counts against a path. Blocks on chosen
-paths are the article, so a short paragraph is kept with the long ones beside it.
+multiplication, multiplied by the path's share of unlinked text, and compared with a threshold. Blocks on
+chosen paths are the article, so a short paragraph is kept with the long ones beside it. Headings, list
+items, table cells and captions are short by nature and stay where their neighbours on the path
+tree are chosen.
 
 Elements that are never article text (scripts, forms, navigation, asides, footers, and elements whose
 class, id or role names a menu, notice, advert, comment section or the like) take no part. Where
-the page marks its article (`article`, `main`, role=main), paths inside it are kept unless they
-consist of links, and those outside are left out.
+the page marks its article (`article`, `main`, role=main), paths inside it weigh more; the mark alone
+neither keeps nor drops a path.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from tunetable.session import ship_package
 
 #: Share of the mean fused ratio that a path needs.
 THRESHOLD = 0.35
-#: Linked share of a path's characters above which it is a list of links.
+#: Linked share of a path's characters above which neighbours do not keep it: it is a list of links.
 LINKED = 0.6
+#: Factor on the fused ratio of paths inside the marked article.
+MARKED = 2.0
 
 RESULT = "page_id long, url string, text string, n_chars long"
 
@@ -62,6 +66,10 @@ NEVER = frozenset(
     "script style noscript template nav footer aside form button select dialog menu head title "
     "textarea iframe svg math object audio video canvas noembed noframes xmp datalist search".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
+CELLS = frozenset("td th tr tbody thead tfoot table".split())
+#: Text on these paths, and in paragraphs right inside those that are no cells, goes with its neighbours.
+PLACED = HEADINGS | CELLS | frozenset("li ul ol menu dl dt dd caption figcaption figure pre".split())
 #: Words in class, id or role that mark other parts of a page.
 OTHER_PART = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment "
@@ -95,14 +103,16 @@ class Element:
     name: str
     path: tuple[str, ...]
     never: bool
-    article: bool
+    article: int
     link: bool
 
 
 @dataclass
 class Block:
+    """`article` is the length of the path of the mark that holds the block, 0 if there is none."""
+
     path: tuple[str, ...]
-    article: bool
+    article: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -126,7 +136,7 @@ def _element(name: str, attributes: str, parent: Element | None) -> Element:
                 role = value if key == "role" else role
                 if name not in ("html", "body") and any(map(_other_part, value.split())):
                     never = True
-    inside = bool(parent and parent.article)
+    inside = parent.article if parent else 0
     if name == "header" and not inside:
         never = True
     path = parent.path if parent else ()
@@ -136,7 +146,7 @@ def _element(name: str, attributes: str, parent: Element | None) -> Element:
         name,
         path,
         never or bool(parent and parent.never),
-        inside or name in ("article", "main") or role == "main",
+        inside or (max(len(path), 1) if name in ("article", "main") or role == "main" else 0),
         name == "a" or bool(parent and parent.link and name not in BLOCK),
     )
 
@@ -175,7 +185,7 @@ def blocks_of(page: str) -> list[Block]:
             above = top()
             if not (above and above.never):
                 if current is None:
-                    current = Block(above.path if above else (), bool(above and above.article))
+                    current = Block(above.path if above else (), above.article if above else 0)
                     out.append(current)
                 piece = page[at:text_end]
                 current.parts.append(piece)
@@ -250,22 +260,97 @@ def _shared(a: tuple[str, ...], b: tuple[str, ...]) -> int:
     return n
 
 
+def _nodes(paths: list[tuple]) -> list[list[int]]:
+    """For each path the numbers of its prefixes in the tree of all paths, the root first."""
+    number: dict[tuple[int, str], int] = {}
+    out = []
+    for path in paths:
+        line = [0]
+        for label in path:
+            line.append(number.setdefault((line[-1], label), len(number) + 1))
+        out.append(line)
+    return out
+
+
+def _tag(label: str) -> str:
+    return label.partition(".")[0]
+
+
+def _place(path: tuple[str, ...]) -> int | None:
+    """How much of the path lies above a heading, list, table or caption; None for other paths."""
+    n = len(path)
+    while n:
+        tag = _tag(path[n - 1])
+        if tag == "p" and n > 1:
+            tag = _tag(path[n - 2])
+            if tag in CELLS:
+                break
+        if tag not in PLACED:
+            break
+        n -= 1
+    return None if n == len(path) else n
+
+
+def _neighbours(
+    paths: list[tuple], lines: list[list[int]], marks: list[int], chosen: set[int]
+) -> set[int]:
+    """Headings, list items, cells and captions beside chosen paths, and bare paragraphs inside one.
+
+    A wrapper that holds nothing else counts as part of what it wraps. A heading also goes with text that
+    is one container further down, or anywhere below it in the marked article.
+    """
+    places = [_place(path) for path in paths]
+    solid = {node for line, place in zip(lines, places) if place is None for node in line}
+    at = []
+    for line, place in zip(lines, places):
+        while place and line[place] not in solid:
+            place -= 1
+        at.append(place)
+    own, beside, below = set(), set(), set()
+    for i in chosen:
+        line = lines[i]
+        own.add(line[-1])
+        beside.update(line[-2:])
+        below.update(line[-3:])
+        if marks[i]:
+            below.update(line[marks[i] :])
+        if places[i] is not None and _tag(paths[i][-1]) not in CELLS:
+            beside.add(line[at[i]])
+            below.add(line[at[i]])
+    out = set()
+    for i, path in enumerate(paths):
+        if places[i] is None:
+            if path and path[-1] == "p" and lines[i][-2] in own:
+                out.add(i)
+        else:
+            heads = any(_tag(label) in HEADINGS for label in path[places[i] :])
+            above = _tag(path[at[i] - 1]) if at[i] else ""
+            named = at[i] < places[i] and above in ("", "html", "body")  # of the site, not of a text
+            near = below if heads and not named else beside
+            if lines[i][at[i]] in near:
+                out.add(i)
+    return out
+
+
 def content_paths(blocks: list[tuple[Block, str]], threshold: float = THRESHOLD) -> set[tuple]:
-    """The paths whose smoothed and fused text and punctuation ratios reach the threshold."""
+    """The paths whose smoothed and fused text and punctuation ratios reach the threshold.
+
+    Headings, list items and the like are added beside them. If all text of the page is linked, nothing
+    but the mark tells its paths apart.
+    """
     sums: dict[tuple, list[float]] = {}
+    marked: dict[tuple, int] = {}
     for block, text in blocks:
         row = sums.setdefault(block.path, [0, 0, 0, 0])
         row[0] += len(text)
         row[1] += len(_PUNCTUATION.findall(text))
         row[2] += 1
         row[3] += min(block.linked, len(text))
+        marked[block.path] = block.article
     paths = list(sums)
     if len(paths) > 400:  # smoothing compares neighbours in path order beyond this many paths
         paths.sort()
-    raw = [
-        (sums[p][0] / sums[p][2] * (1 - sums[p][3] / sums[p][0]), sums[p][1] / sums[p][2])
-        for p in paths
-    ]
+    raw = [(sums[p][0] / sums[p][2], sums[p][1] / sums[p][2]) for p in paths]
     reach = len(paths) if len(paths) <= 400 else 8
     fused = []
     for i, path in enumerate(paths):
@@ -278,13 +363,21 @@ def content_paths(blocks: list[tuple[Block, str]], threshold: float = THRESHOLD)
             total[0] += weight * raw[j][0]
             total[1] += weight * raw[j][1]
         fused.append(total[0] / weights * (1 + total[1] / weights))
-    chars = sum(sums[p][0] for p in paths)
-    mean = sum(f * sums[p][0] for f, p in zip(fused, paths)) / chars if chars else 0
-    return {
-        p
-        for f, p in zip(fused, paths)
-        if f >= threshold * mean and sums[p][3] <= LINKED * sums[p][0]
+    linked = [sums[p][3] / sums[p][0] for p in paths]
+    prior = [MARKED if marked[p] else 1.0 for p in paths]
+    fused = [f * (1 - share) * w for f, share, w in zip(fused, linked, prior)]
+    chars = sum(w * sums[p][0] for w, p in zip(prior, paths))
+    mean = sum(f * w * sums[p][0] for f, w, p in zip(fused, prior, paths)) / chars if chars else 0
+    if not mean:
+        return {p for p in paths if marked[p]}
+    chosen = {i for i, f in enumerate(fused) if f > 0 and f >= threshold * mean}
+    added = _neighbours(paths, _nodes(paths), [marked[p] for p in paths], chosen)
+    chosen |= {
+        i
+        for i in added
+        if linked[i] <= LINKED or any(_tag(label) in HEADINGS for label in paths[i])
     }
+    return {paths[i] for i in chosen}
 
 
 def extract(page: str) -> str:
@@ -294,15 +387,6 @@ def extract(page: str) -> str:
         text = " ".join(html.unescape("".join(block.parts)).split())
         if text:
             blocks.append((block, text))
-    marked = [(block, text) for block, text in blocks if block.article]
-    if marked:
-        linked: dict[tuple, list[int]] = {}
-        for block, text in marked:
-            row = linked.setdefault(block.path, [0, 0])
-            row[0] += min(block.linked, len(text))
-            row[1] += len(text)
-        lists = {p for p, (a, b) in linked.items() if a > LINKED * b and len(linked) > 1}
-        return "\n".join(text for block, text in marked if block.path not in lists)
     chosen = content_paths(blocks)
     return "\n".join(text for block, text in blocks if block.path in chosen)
 
