@@ -43,3 +43,39 @@ def test_long_text_with_many_links_stays(mark):
     linked = f"<p class=sources><a href=1>{A}{A}</a>{B}</p>"
     got = extract(page(mark, f"<p>{A}</p>{linked}<p>{B}</p>"))
     assert got.split("\n") == [A.strip(), (A + A + B).strip(), B.strip()]
+
+
+SHELLS = [
+    "<div class='content-sidebar-wrap'><main><article>{}</article></main></div>",
+    "<div class='layout-sidebar'>{}</div>",
+    "<div class='content-sidebar-wrap'><div class=entry>{}</div></div>",
+    "<div id='main-widget'>{}</div>",
+    "<form id=aspnetForm><input type=hidden><div class=c>{}</div><select><option>One</select></form>",
+    "<form><main>{}</main><button>Send</button></form>",
+    "<div class=widget><article>{}</article></div>",
+]
+
+
+@pytest.mark.parametrize("shell", SHELLS)
+@pytest.mark.parametrize("rest", ["", "<div class=low>All rights are kept, and so on, by us.</div>"])
+def test_a_name_around_the_article_does_not_drop_it(shell, rest):
+    body = f"<p>{A}</p><div class=ad>Buy this lamp, now.</div><p>{B}</p>"
+    assert extract(f"<body>{shell.format(body)}{rest}</body>").split("\n") == WORDS
+
+
+@pytest.mark.parametrize("name", ["ad-free", "related-work", "cookie-recipe"])
+@pytest.mark.parametrize("mark", ["div", "article"])
+def test_a_listed_word_among_others_keeps_a_paragraph(mark, name):
+    got = extract(page(mark, f"<p>{A}</p><p class={name}>{B}</p><p>{A}</p>"))
+    assert got.split("\n") == [A.strip(), B.strip(), A.strip()]
+    got = extract(page(mark, f"<p>{A} <span class={name}>then</span> {B}</p>"))
+    assert got == f"{A.strip()} then {B.strip()}"
+
+
+@pytest.mark.parametrize("mark", ["div", "article"])
+def test_other_parts_stay_out_however_long(mark):
+    comments = f"<div id=comments><h3>Comments</h3>{f'<div class=comment><p>{B}</p></div>' * 20}</div>"
+    related = f"<div class=related-posts>{f'<article><h3>Other</h3><p>{A[:90]}</p></article>' * 5}</div>"
+    body = f"<h2 id=related>Related</h2><p>{A}</p><p>{B} <a class=share href='/'>Share</a></p>"
+    got = extract(page(mark, body).replace("</body>", f"{comments}{related}</body>"))
+    assert got.split("\n") == ["Related", *WORDS]

@@ -9,10 +9,12 @@ chosen paths are the article, so a short paragraph is kept with the long ones be
 items, table cells and captions are short by nature and stay where their neighbours on the path
 tree are chosen.
 
-Elements that are never article text (scripts, forms, navigation, asides, footers, and elements whose
-class, id or role names a menu, notice, advert, comment section or the like) take no part. Where
-the page marks its article (`article`, `main`, role=main), paths inside it weigh more; the mark alone
-neither keeps nor drops a path.
+Elements that are never article text (scripts, form controls, navigation, asides, footers) take no part.
+A class, id or role that names a menu, notice, advert, comment section or the like lowers the ratio
+of what is inside, less so if the name has other words too, and a form lowers it likewise. It does not
+if the element holds most of the page's text, and no more inside a `main` or the article with most text.
+Where the page marks its article (`article`, `main`, role=main), paths inside it weigh more; the mark
+alone neither keeps nor drops a path.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ THRESHOLD = 0.35
 LINKED = 0.6
 #: Factor on the fused ratio of paths inside the marked article.
 MARKED = 2.0
+#: Factor on the fused ratio of paths inside elements that are named as another part of the page, and
+#: inside forms and elements whose name has such a word beside others.
+NAMED, MIXED = 0.05, 0.7
 
 RESULT = "page_id long, url string, text string, n_chars long"
 
@@ -63,7 +68,7 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 NEVER = frozenset(
-    "script style noscript template nav footer aside form button select dialog menu head title "
+    "script style noscript template nav footer aside button select dialog menu head title "
     "textarea iframe svg math object audio video canvas noembed noframes xmp datalist search".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
@@ -80,6 +85,16 @@ OTHER_PART = frozenset(
     "complementary alert alertdialog topbar navlinks menubar feedback".split()
 )
 
+#: Those for what readers wrote, which can be most of a page.
+TALK = frozenset(
+    "comment comments commentlist discussion disqus feedback reply replies respond".split()
+)
+#: Words that say where or how a part stands; beside a listed word they name nothing else.
+SHAPES = frozenset(
+    "area articles bar block body bottom box btn button buttons col column container content form group "
+    "head header holder inner item items left link links list module outer panel posts right row "
+    "section side slot stories text title top unit wrap wrapper".split()
+)
 #: A class that starts with one of these describes a whole page, not a part of it.
 NEGATED = frozenset("has no not with without".split())
 #: Paths are told apart down to this depth.
@@ -105,6 +120,19 @@ class Element:
     never: bool
     article: int
     link: bool
+    zone: int
+
+
+@dataclass
+class Zone:
+    """An element whose name or mark weighs on what it holds; the first one is the page."""
+
+    parent: int
+    factor: float = 1.0
+    mark: str = ""
+    talk: bool = False
+    #: Characters of unlinked text inside.
+    size: int = 0
 
 
 @dataclass
@@ -113,18 +141,29 @@ class Block:
 
     path: tuple[str, ...]
     article: int
-    parts: list[str] = field(default_factory=list)
+    #: (text, zone, linked)
+    parts: list[tuple[str, int, bool]] = field(default_factory=list)
+    factor: float = 1.0
     linked: int = 0
 
+    @property
+    def key(self) -> tuple:
+        return self.path, self.factor
+
 
-def _other_part(name: str) -> bool:
+def _named(name: str) -> tuple[float, bool]:
+    """The factor of a class, id or role, and whether it names what readers wrote."""
     parts = _PART.findall(name)
-    return bool(parts) and parts[0] not in NEGATED and not OTHER_PART.isdisjoint(parts)
+    if OTHER_PART.isdisjoint(parts) or parts[0] in NEGATED or parts[-1] == "free":
+        return 1.0, False
+    alone = all(part in OTHER_PART or part in SHAPES or part.isdigit() for part in parts)
+    return (NAMED if alone else MIXED), alone and not TALK.isdisjoint(parts)
 
 
-def _element(name: str, attributes: str, parent: Element | None) -> Element:
+def _element(name: str, attributes: str, parent: Element | None, zones: list[Zone]) -> Element:
     never = name in NEVER
     label, role = name, ""
+    factor, talk = MIXED if name == "form" else 1.0, False
     if attributes and not never:
         for found in _ATTRIBUTE.finditer(attributes):
             key = found[1].lower()
@@ -134,29 +173,43 @@ def _element(name: str, attributes: str, parent: Element | None) -> Element:
             elif key in ("class", "id", "role") and value:
                 label += "." + " ".join(value.split())
                 role = value if key == "role" else role
-                if name not in ("html", "body") and any(map(_other_part, value.split())):
-                    never = True
+                # ids of headings are made from their words
+                if name not in ("html", "body") and not (key == "id" and name in HEADINGS):
+                    for token in value.split():
+                        least, said = _named(token)
+                        factor, talk = min(factor, least), talk or said
     inside = parent.article if parent else 0
     if name == "header" and not inside:
         never = True
+    never = never or bool(parent and parent.never)
+    zone = parent.zone if parent else 0
+    mark = "main" if role == "main" else name if name in ("article", "main") else ""
+    if mark and not never:
+        zones.append(Zone(zone, mark=mark))
+        zone = len(zones) - 1
+    if factor < 1 and not never:
+        zones.append(Zone(zone, factor, talk=talk))
+        zone = len(zones) - 1
     path = parent.path if parent else ()
     if name in BLOCK and len(path) < DEPTH:
         path = (*path, label)
     return Element(
         name,
         path,
-        never or bool(parent and parent.never),
-        inside or (max(len(path), 1) if name in ("article", "main") or role == "main" else 0),
+        never,
+        inside or (max(len(path), 1) if mark else 0),
         name == "a" or bool(parent and parent.link and name not in BLOCK),
+        zone,
     )
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order, without elements that are never article text.
+def blocks_of(page: str) -> tuple[list[Block], list[Zone]]:
+    """The text blocks of a page in order, without elements that are never article text, and its zones.
 
     Unclosed and stray tags, missing end tags and a page that stops within a tag are tolerated.
     """
     out: list[Block] = []
+    zones = [Zone(0)]
     stack: list[Element] = []
     current: Block | None = None
     at, size = 0, len(page)
@@ -187,10 +240,8 @@ def blocks_of(page: str) -> list[Block]:
                 if current is None:
                     current = Block(above.path if above else (), above.article if above else 0)
                     out.append(current)
-                piece = page[at:text_end]
-                current.parts.append(piece)
-                if above and above.link:
-                    current.linked += len(piece)
+                part = (above.zone, above.link) if above else (0, False)
+                current.parts.append((page[at:text_end], *part))
         if tag < 0:
             break
         if page.startswith("<!--", tag):
@@ -220,7 +271,7 @@ def blocks_of(page: str) -> list[Block]:
                 break  # the page stops within a tag
             above = top()
             if not (above and above.never) and current is not None:
-                current.parts.append("<")
+                current.parts.append(("<", above.zone if above else 0, False))
             at = tag + 1
             continue
         at = found.end()
@@ -229,7 +280,7 @@ def blocks_of(page: str) -> list[Block]:
             current = None
         if name == "br":
             if current is not None:
-                current.parts.append("\n")
+                current.parts.append(("\n", stack[-1].zone if stack else 0, False))
             continue
         if name in VOID:
             continue
@@ -246,9 +297,51 @@ def blocks_of(page: str) -> list[Block]:
             kinds, stops = IMPLIED[name]
             close(kinds, stops)
         if not attributes.rstrip().endswith("/") or name in BLOCK:
-            stack.append(_element(name, attributes, top()))
+            stack.append(_element(name, attributes, top(), zones))
             opened[name] = opened.get(name, 0) + 1
-    return out
+    return out, zones
+
+
+def zone_factors(blocks: list[Block], zones: list[Zone]) -> list[float]:
+    """What each zone's text is weighed with."""
+    for block in blocks:
+        for piece, zone, link in block.parts:
+            if not link:
+                zones[zone].size += len("".join(piece.split()))
+    marked = [0] * len(zones)
+    for at in range(len(zones) - 1, 0, -1):
+        zones[zones[at].parent].size += zones[at].size
+    within, articles = [False] * len(zones), 0
+    for at, zone in enumerate(zones[1:], 1):
+        within[at] = within[zone.parent] or zones[zone.parent].mark == "article"
+        articles += zone.size if zone.mark == "article" and not within[at] else 0
+    trusted = [z.mark == "main" or z.mark == "article" and 2 * z.size > articles for z in zones]
+    outer = [False] * len(zones)
+    for at, zone in enumerate(zones[1:], 1):
+        outer[at] = outer[zone.parent] or trusted[zone.parent]
+        if trusted[at] and not outer[at]:
+            marked[at] = zone.size
+    for at in range(len(zones) - 1, 0, -1):
+        marked[zones[at].parent] += marked[at]
+    factors = [1.0] * len(zones)
+    for at, zone in enumerate(zones[1:], 1):
+        most = 2 * zone.size >= zones[0].size and not zone.talk
+        # the article that the page marks is not elsewhere
+        most = most and not outer[at] and not trusted[zone.parent] and marked[at] == marked[0]
+        if not trusted[at]:
+            factors[at] = min(factors[zone.parent], 1.0 if most else zone.factor)
+    return factors
+
+
+def text_of(block: Block, factors: list[float]) -> str:
+    """The text of a block, which takes the factor of most of it; other parts named in its line go."""
+    sizes: dict[float, int] = {}
+    for piece, zone, _ in block.parts:
+        sizes[factors[zone]] = sizes.get(factors[zone], 0) + len(piece.strip())
+    block.factor = max(sizes, key=lambda factor: (sizes[factor], factor))
+    kept = [part for part in block.parts if factors[part[1]] >= MIXED * block.factor]
+    block.linked = sum(len(piece) for piece, _, link in kept if link)
+    return " ".join(html.unescape("".join(piece for piece, _, _ in kept)).split())
 
 
 def _shared(a: tuple[str, ...], b: tuple[str, ...]) -> int:
@@ -333,62 +426,65 @@ def _neighbours(
 
 
 def content_paths(blocks: list[tuple[Block, str]], threshold: float = THRESHOLD) -> set[tuple]:
-    """The paths whose smoothed and fused text and punctuation ratios reach the threshold.
+    """Keys of the paths whose smoothed and fused text and punctuation ratios reach the threshold.
 
     Headings, list items and the like are added beside them. If all text of the page is linked, nothing
-    but the mark tells its paths apart.
+    but the mark tells its paths apart. Other parts of the page count by their factor in the mean and
+    in what neighbours lend.
     """
     sums: dict[tuple, list[float]] = {}
     marked: dict[tuple, int] = {}
     for block, text in blocks:
-        row = sums.setdefault(block.path, [0, 0, 0, 0])
+        row = sums.setdefault(block.key, [0, 0, 0, 0])
         row[0] += len(text)
         row[1] += len(_PUNCTUATION.findall(text))
         row[2] += 1
         row[3] += min(block.linked, len(text))
-        marked[block.path] = block.article
-    paths = list(sums)
-    if len(paths) > 400:  # smoothing compares neighbours in path order beyond this many paths
-        paths.sort()
-    raw = [(sums[p][0] / sums[p][2], sums[p][1] / sums[p][2]) for p in paths]
-    reach = len(paths) if len(paths) <= 400 else 8
+        marked[block.key] = block.article
+    keys = list(sums)
+    if len(keys) > 400:  # smoothing compares neighbours in path order beyond this many paths
+        keys.sort()
+    raw = [(sums[p][0] / sums[p][2], sums[p][1] / sums[p][2]) for p in keys]
+    reach = len(keys) if len(keys) <= 400 else 8
     fused = []
-    for i, path in enumerate(paths):
+    for i, (path, _) in enumerate(keys):
         total = [0.0, 0.0]
         weights = 0.0
-        for j in range(max(0, i - reach), min(len(paths), i + reach + 1)):
-            apart = max(len(path), len(paths[j])) - _shared(path, paths[j])
-            weight = math.exp(-apart * apart)
+        for j in range(max(0, i - reach), min(len(keys), i + reach + 1)):
+            other, factor = keys[j]
+            apart = max(len(path), len(other)) - _shared(path, other)
+            weight = math.exp(-apart * apart) * (1.0 if i == j else factor)
             weights += weight
             total[0] += weight * raw[j][0]
             total[1] += weight * raw[j][1]
         fused.append(total[0] / weights * (1 + total[1] / weights))
-    linked = [sums[p][3] / sums[p][0] for p in paths]
-    prior = [MARKED if marked[p] else 1.0 for p in paths]
+    linked = [sums[p][3] / sums[p][0] for p in keys]
+    prior = [p[1] * (MARKED if marked[p] else 1.0) for p in keys]
     fused = [f * (1 - share) * w for f, share, w in zip(fused, linked, prior)]
-    chars = sum(w * sums[p][0] for w, p in zip(prior, paths))
-    mean = sum(f * w * sums[p][0] for f, w, p in zip(fused, prior, paths)) / chars if chars else 0
+    chars = sum(w * sums[p][0] for w, p in zip(prior, keys))
+    mean = sum(f * w * sums[p][0] for f, w, p in zip(fused, prior, keys)) / chars if chars else 0
     if not mean:
-        return {p for p in paths if marked[p]}
+        return {p for p in keys if marked[p]}
     chosen = {i for i, f in enumerate(fused) if f > 0 and f >= threshold * mean}
-    added = _neighbours(paths, _nodes(paths), [marked[p] for p in paths], chosen)
+    paths = [path for path, _ in keys]
+    added = _neighbours(paths, _nodes(paths), [marked[p] for p in keys], chosen)
+    least = MIXED * max(keys[i][1] for i in chosen)
     chosen |= {
         i
         for i in added
-        if linked[i] <= LINKED or any(_tag(label) in HEADINGS for label in paths[i])
+        if keys[i][1] >= least
+        and (linked[i] <= LINKED or any(_tag(label) in HEADINGS for label in paths[i]))
     }
-    return {paths[i] for i in chosen}
+    return {keys[i] for i in chosen}
 
 
 def extract(page: str) -> str:
     """The article of a page: its blocks in page order, joined by newlines."""
-    blocks = []
-    for block in blocks_of(page):
-        text = " ".join(html.unescape("".join(block.parts)).split())
-        if text:
-            blocks.append((block, text))
+    found, zones = blocks_of(page)
+    factors = zone_factors(found, zones)
+    blocks = [(block, text) for block in found if (text := text_of(block, factors))]
     chosen = content_paths(blocks)
-    return "\n".join(text for block, text in blocks if block.path in chosen)
+    return "\n".join(text for block, text in blocks if block.key in chosen)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
