@@ -79,3 +79,22 @@ def test_other_parts_stay_out_however_long(mark):
     body = f"<h2 id=related>Related</h2><p>{A}</p><p>{B} <a class=share href='/'>Share</a></p>"
     got = extract(page(mark, body).replace("</body>", f"{comments}{related}</body>"))
     assert got.split("\n") == ["Related", *WORDS]
+
+
+@pytest.mark.parametrize("mark", ["div", "article"])
+@pytest.mark.parametrize("stray", ["</3>", "</>", "</ p>", "</é>", "</3 x>", "<!-->", "<!--->", "<!-- x --!>"])
+def test_a_stray_end_tag_or_comment_hides_itself_only(mark, stray):
+    got = extract(page(mark, f"<p>{A}{stray}then</p><p>{B}</p>"))
+    assert got.split("\n") == [f"{A}then", B.strip()]
+
+
+@pytest.mark.parametrize("mark", ["div", "article"])
+def test_less_than_before_a_letter_of_no_tag_is_text(mark):
+    got = extract(page(mark, f"<p>{A}1 <été </p><p>{B}</p>"))
+    assert got.split("\n") == [f"{A}1 <été", B.strip()]
+
+
+def test_a_page_that_stops_within_a_tag():
+    for cut in ("</3 no end", "</p", "<a href=x"):
+        assert extract(f"<body><p>{A}</p><p>{B}{cut}") == "\n".join(WORDS)
+    assert extract(f"<body><p>{A}</") == f"{A}</"

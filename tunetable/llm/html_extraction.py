@@ -105,6 +105,10 @@ _OPEN = re.compile(
 )
 _PLAIN = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)>")
 _CLOSE = re.compile(r"</([a-zA-Z][^\s/>]*)[^>]*>")
+_TAG = re.compile(r"</?[a-zA-Z]")
+#: An end tag without a name is a comment up to its ">".
+_BOGUS = re.compile(r"</[^a-zA-Z]")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(
     r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""",
     re.IGNORECASE,
@@ -245,10 +249,10 @@ def blocks_of(page: str) -> tuple[list[Block], list[Zone]]:
         if tag < 0:
             break
         if page.startswith("<!--", tag):
-            end = page.find("-->", tag + 4)
-            at = size if end < 0 else end + 3
+            ended = _COMMENT_END.search(page, tag + 2)
+            at = ended.end() if ended else size
             continue
-        if page.startswith(("<!", "<?"), tag):
+        if page.startswith(("<!", "<?"), tag) or _BOGUS.match(page, tag):
             end = page.find(">", tag)
             at = size if end < 0 else end + 1
             continue
@@ -267,7 +271,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Zone]]:
             found = _PLAIN.match(page, tag)
             quoted = found is None
         if found is None:
-            if page.startswith("</", tag) or tag + 1 < size and page[tag + 1].isalpha():
+            if _TAG.match(page, tag):
                 break  # the page stops within a tag
             above = top()
             if not (above and above.never) and current is not None:
