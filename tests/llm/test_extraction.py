@@ -1,7 +1,12 @@
 """Main-text extraction from pages that differ in one thing only."""
 
+import math
+import os
+import random
+
 import pytest
 
+from tunetable.llm import html_extraction
 from tunetable.llm.html_extraction import extract
 
 A = "The first long paragraph tells, with some commas, what happened in the town, and why it did so. " * 3
@@ -98,3 +103,31 @@ def test_a_page_that_stops_within_a_tag():
     for cut in ("</3 no end", "</p", "<a href=x"):
         assert extract(f"<body><p>{A}</p><p>{B}{cut}") == "\n".join(WORDS)
     assert extract(f"<body><p>{A}</") == f"{A}</"
+
+
+def test_smoothing_takes_all_paths_at_every_size():
+    rng = random.Random(3)
+    paths = {tuple(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(600)}
+    paths |= {("a",) * n for n in range(41)} | {("a",) * 5 + (f"p.{i}",) for i in range(300)}
+    paths = sorted(paths)
+    rows = [(rng.random() * 500, rng.random() * 9) for _ in paths]
+    factors = [rng.choice([1.0, 0.7, 0.05]) for _ in paths]
+    got = html_extraction._smoothed(html_extraction._nodes(paths), rows, factors)
+    for i, path in enumerate(paths):
+        total = [0.0, 0.0, 0.0]
+        for j, other in enumerate(paths):
+            apart = max(len(path), len(other)) - len(os.path.commonprefix([path, other]))
+            weight = math.exp(-apart * apart) * (1.0 if i == j else factors[j])
+            for k, x in enumerate((1.0, *rows[j])):
+                total[k] += weight * x
+        assert got[i] == pytest.approx((total[1] / total[0], total[2] / total[0]), rel=1e-9)
+
+
+@pytest.mark.parametrize("label", ["", "id=p{}", "class=p{}"])
+@pytest.mark.parametrize("count", [50, 399, 401, 1500])
+def test_short_paragraphs_stay_at_any_size(label, count):
+    """Names sort so that the short ones are each other's neighbours."""
+    texts = ["Short one." if i >= count - 30 else A[:99].strip() for i in range(count)]
+    order = random.Random(count).sample(range(count), count)
+    body = "".join(f"<p {label.format(f'{i:05}')}>{texts[i]}</p>" for i in order)
+    assert extract(f"<body><div>{body}</div></body>").split("\n") == [texts[i] for i in order]

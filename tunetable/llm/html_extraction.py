@@ -1,9 +1,9 @@
 """Main-text extraction by tag-path ratios.
 
 A page is read as blocks: runs of text between block-level tags, each with its path from the root (tag
-names with their class and id). For every path of a page the text length, punctuation marks, blocks and
+names with their class and role). For every path of a page the text length, punctuation marks, blocks and
 linked characters are added up. A path's text ratio (characters per block) and punctuation ratio
-are smoothed over the paths of the page by how much of the path they share, fused by
+are smoothed over all paths of the page by how much of the path they share, fused by
 multiplication, multiplied by the path's share of unlinked text, and compared with a threshold. Blocks on
 chosen paths are the article, so a short paragraph is kept with the long ones beside it. Headings, list
 items, table cells and captions are short by nature and stay where their neighbours on the path
@@ -99,6 +99,9 @@ SHAPES = frozenset(
 NEGATED = frozenset("has no not with without".split())
 #: Paths are told apart down to this depth.
 DEPTH = 200
+#: Weights of paths by how far they are apart; exp(-27.3 ** 2) is 0 as a double.
+REACH = 28
+WEIGHTS = [math.exp(-apart * apart) if apart < REACH else 0.0 for apart in range(DEPTH + 3)]
 
 _OPEN = re.compile(
     r"""<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.DOTALL
@@ -175,7 +178,8 @@ def _element(name: str, attributes: str, parent: Element | None, zones: list[Zon
             if key == "hidden" or key == "aria-hidden" and value == "true":
                 never = True
             elif key in ("class", "id", "role") and value:
-                label += "." + " ".join(value.split())
+                if key != "id":  # an id is one element's, so it would give it a path of its own
+                    label += "." + " ".join(value.split())
                 role = value if key == "role" else role
                 # ids of headings are made from their words
                 if name not in ("html", "body") and not (key == "id" and name in HEADINGS):
@@ -348,15 +352,6 @@ def text_of(block: Block, factors: list[float]) -> str:
     return " ".join(html.unescape("".join(piece for piece, _, _ in kept)).split())
 
 
-def _shared(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
 def _nodes(paths: list[tuple]) -> list[list[int]]:
     """For each path the numbers of its prefixes in the tree of all paths, the root first."""
     number: dict[tuple[int, str], int] = {}
@@ -369,6 +364,38 @@ def _nodes(paths: list[tuple]) -> list[list[int]]:
     return out
 
 
+def _smoothed(
+    lines: list[list[int]], rows: list[tuple[float, float]], factors: list[float]
+) -> list[tuple[float, float]]:
+    """Per path the mean of all rows, weighted by their factor (1 for its own) and exp(-apart ** 2).
+
+    `apart` is the longer of two paths less what they share. Rows are added up per node of the tree and
+    length of their path. A path adds at each of its nodes what sharing one more label adds to
+    the weight of the rows below it, so the work grows with the paths, not with their pairs.
+    """
+    below: dict[int, dict[int, list[float]]] = {}
+    for line, (text, marks), factor in zip(lines, rows, factors):
+        size = len(line)
+        for node in line[-REACH:]:
+            sums = below.setdefault(node, {}).setdefault(size, [0.0, 0.0, 0.0])
+            sums[0] += factor
+            sums[1] += factor * text
+            sums[2] += factor * marks
+    out = []
+    for line, (text, marks), factor in zip(lines, rows, factors):
+        size = len(line)
+        own = 1.0 - factor
+        total = [own, own * text, own * marks]
+        for shared in range(max(1, size - REACH + 1), size + 1):
+            for other, sums in below[line[shared - 1]].items():
+                apart = max(size, other) - shared
+                weight = WEIGHTS[apart] - (WEIGHTS[apart + 1] if shared > 1 else 0.0)
+                for k in range(3):
+                    total[k] += weight * sums[k]
+        out.append((total[1] / total[0], total[2] / total[0]))
+    return out
+
+
 def _tag(label: str) -> str:
     return label.partition(".")[0]
 
@@ -446,22 +473,11 @@ def content_paths(blocks: list[tuple[Block, str]], threshold: float = THRESHOLD)
         row[3] += min(block.linked, len(text))
         marked[block.key] = block.article
     keys = list(sums)
-    if len(keys) > 400:  # smoothing compares neighbours in path order beyond this many paths
-        keys.sort()
+    paths = [path for path, _ in keys]
+    lines = _nodes(paths)
     raw = [(sums[p][0] / sums[p][2], sums[p][1] / sums[p][2]) for p in keys]
-    reach = len(keys) if len(keys) <= 400 else 8
-    fused = []
-    for i, (path, _) in enumerate(keys):
-        total = [0.0, 0.0]
-        weights = 0.0
-        for j in range(max(0, i - reach), min(len(keys), i + reach + 1)):
-            other, factor = keys[j]
-            apart = max(len(path), len(other)) - _shared(path, other)
-            weight = math.exp(-apart * apart) * (1.0 if i == j else factor)
-            weights += weight
-            total[0] += weight * raw[j][0]
-            total[1] += weight * raw[j][1]
-        fused.append(total[0] / weights * (1 + total[1] / weights))
+    smooth = _smoothed(lines, raw, [factor for _, factor in keys])
+    fused = [text * (1 + marks) for text, marks in smooth]
     linked = [sums[p][3] / sums[p][0] for p in keys]
     prior = [p[1] * (MARKED if marked[p] else 1.0) for p in keys]
     fused = [f * (1 - share) * w for f, share, w in zip(fused, linked, prior)]
@@ -470,8 +486,7 @@ def content_paths(blocks: list[tuple[Block, str]], threshold: float = THRESHOLD)
     if not mean:
         return {p for p in keys if marked[p]}
     chosen = {i for i, f in enumerate(fused) if f > 0 and f >= threshold * mean}
-    paths = [path for path, _ in keys]
-    added = _neighbours(paths, _nodes(paths), [marked[p] for p in keys], chosen)
+    added = _neighbours(paths, lines, [marked[p] for p in keys], chosen)
     least = MIXED * max(keys[i][1] for i in chosen)
     chosen |= {
         i
