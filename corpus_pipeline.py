@@ -14,8 +14,6 @@ from tunetable.llm.base import beside, keyed_rows, table, with_text
 from tunetable.session import scratch_path, written
 
 KEY = ["k_id", "k_tie"]
-#: A prediction with a smaller share than this is no decision.
-LEAST_SHARE = 0.5
 
 
 def _without(docs: DataFrame, keys: DataFrame, label: str) -> DataFrame:
@@ -25,10 +23,8 @@ def _without(docs: DataFrame, keys: DataFrame, label: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose language stays undecided, go."""
-    found = language_id.identify(docs)
-    kept = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return kept.select("row.*")
+    """Documents without a letter, and those in no learned language or an undecided one, go."""
+    return language_id.in_a_learned_language(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,10 @@ SAMPLE_TEXTS = 300
 SAMPLE_BYTES = 1 << 16
 ORDER = 3
 UNKNOWN = "und"
+#: A prediction with a smaller share than this is no decision.
+LEAST_SHARE = 0.5
+#: Cost per byte, as a multiple of the median of held-out texts, and bits above it that reject a text.
+DEARER, SLACK = 1.5, 64.0
 SEED = 6
 
 _FOLD = LOWER.copy()
@@ -232,49 +236,86 @@ def training_sample(docs: DataFrame) -> dict[str, list[bytes]]:
 
 
 def predict(texts: DataFrame, model: Model | None, key: str = "row") -> DataFrame:
-    """(key, lang_pred, score) of rows (key, body); the score is the winner's share of 2 ** -bits.
+    """(key, lang_pred, score, cost) of rows (key, body).
 
-    A null text, one without a letter, or a missing model gives `und` and score 0. Equal code lengths
-    go to the smaller language.
+    The score is the winner's share of 2 ** -bits, the cost its bits per byte. A null text, one without a
+    letter, or a missing model gives `und`, score 0 and no cost. Equal code lengths go to the smaller
+    language.
     """
     letters = F.col("body").cast("string").rlike(r"\p{L}")
     rows = texts.select(key, F.when(letters, F.col("body")).alias("body"))
     if model is None:
-        return rows.select(key, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        none = F.lit(None).cast("double").alias("cost")
+        return rows.select(key, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), none)
     sent = texts.sparkSession.sparkContext.broadcast(model)
     names = [*model.languages, UNKNOWN]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = sent.value
         for batch in batches:
-            best, share = [], []
+            best, share, cost = [], [], []
             for _, _, data, offsets in text_slices(batch["body"], 1 << 20):
                 bits = frozen.bits(data, offsets)
                 first = bits.argmin(axis=1)
-                ahead = bits - bits[np.arange(len(bits)), first][:, None]
+                least = bits[np.arange(len(bits)), first]
+                ahead = bits - least[:, None]
                 best.append(first)
+                cost.append(least / np.maximum(np.diff(offsets), 1))
                 share.append(1 / np.exp2(-np.minimum(ahead, 1000)).sum(axis=1))
             best = np.concatenate(best) if best else np.zeros(0, np.int64)
             share = np.concatenate(share) if share else np.zeros(0)
+            cost = np.concatenate(cost) if cost else np.zeros(0)
             blank = batch["body"].is_null().to_numpy(zero_copy_only=False)
             best[blank], share[blank] = len(names) - 1, 0.0
             yield pa.RecordBatch.from_arrays(
-                [batch[key], pa.array(names).take(pa.array(best)), pa.array(share)],
-                [key, "lang_pred", "score"],
+                [
+                    batch[key],
+                    pa.array(names).take(pa.array(best)),
+                    pa.array(share),
+                    pa.array(cost, mask=blank),
+                ],
+                [key, "lang_pred", "score", "cost"],
             )
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(score, f"`{key}` {kind}, lang_pred string, score double")
+    return rows.mapInArrow(score, f"`{key}` {kind}, lang_pred string, score double, cost double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """(row, lang_pred, score): every row of `docs` as a struct, with its predicted language."""
+    """(row, lang_pred, score, cost): every row of `docs` as a struct, with its predicted language."""
     ship_package(docs.sparkSession)
-    model = fit(training_sample(docs))
+    return _identified(docs, fit(training_sample(docs)))
+
+
+def _identified(docs: DataFrame, model: Model | None) -> DataFrame:
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     return predict(docs.select(row, F.col("text").cast("binary").alias("body")), model)
 
 
+def in_a_learned_language(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` whose text is in one of the labelled languages; all if none is labelled.
+
+    A text goes if it has no letter, if no language has LEAST_SHARE, or if it costs more per byte than
+    DEARER times the median of the winner's held-out texts, over all of them, and that by SLACK bits
+    or more in total. A language without held-out texts has no such limit.
+    """
+    ship_package(docs.sparkSession)
+    model = fit(training_sample(docs))
+    if model is None:
+        return docs
+    known = _identified(docs.filter(held_out() & F.col("lang").isNotNull()), model)
+    known = known.filter(F.col("lang_pred") == F.col("row.lang"))
+    usual = known.groupBy("lang_pred").agg(F.percentile_approx("cost", 0.5, 10000).alias("usual"))
+    limits = {row["lang_pred"]: DEARER * row["usual"] for row in usual.collect()}
+    limit = F.lit(None).cast("double")
+    for name, most in limits.items():
+        limit = F.when(F.col("lang_pred") == name, most).otherwise(limit)
+    excess = (F.col("cost") - limit) * F.octet_length("row.text")
+    found = _identified(docs, model)
+    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)
+    return found.filter(kept & F.coalesce(excess < SLACK, F.lit(True))).select("row.*")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document whether it was held out, its predicted language and the share of that language."""
     docs = table(spark, sf_dir, "documents")
