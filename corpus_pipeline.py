@@ -56,7 +56,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the training mix takes of each remaining document."""
+    """How many words the training mix takes of each remaining document, and in which slots."""
     return mixing.mixed_rows(docs)
 
 

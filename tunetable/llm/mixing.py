@@ -7,9 +7,10 @@ again, so targets are min(most * size, level * weight) for one level.
 Method: each source's documents are shuffled by a hash and laid end to end, `most` times over; the
 first floor(target) words are taken, cut into blocks of `block` words. Slot n of the mix belongs to
 the source in whose part of [0, 1) the van der Corput point of n falls; parts are as wide as the
-sources' shares. The r-th slot of a source holds its block r. The few blocks left over, because points
-follow the shares within O(log n) only, come after the last slot. Documents are joined to the slots
-through their blocks; the words of a document are those of the blocks that hold it.
+sources' shares. The r-th slot of a source draws its block r; slots beyond a source's blocks draw nothing.
+The few blocks left over, because points follow the shares within O(log n) only, are drawn by slots after
+the last one, lower blocks first. Documents are joined to the slots through their blocks; the words
+that are taken of a document are those in the blocks that slots draw.
 
 Nothing is ranked in one task: prefix sums go over hash buckets, and slot ranks over runs of slots.
 """
@@ -134,6 +135,20 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
     return slots.select("s", (F.col("base") + F.col("inner")).alias("rank"), "slot"), total
 
 
+def draws(targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(s, rank, slot): the slot that draws each block, for every block of every source."""
+    slots, total = schedule(targets, block)
+    slots = written(slots, "drawn")
+    drawn = slots.groupBy("s").agg(F.count("*").alias("drawn"))
+    blocks = F.ceil(F.col("words") / block).cast("long")
+    blocks = targets.filter("words > 0").select("s", blocks.alias("blocks"))
+    short = blocks.join(drawn, "s", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    rest = F.explode(F.sequence("drawn", F.col("blocks") - 1)).alias("rank")
+    late = _ranked(short.filter("drawn < blocks").select("s", rest), [F.col("rank"), F.col("s")], "slot")
+    late = late.select("s", "rank", (F.col("slot") + total).alias("slot"))
+    return slots.select("s", "rank", "slot").unionByName(late)
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -141,10 +156,10 @@ def mix(
     most: int = MOST,
     block: int = BLOCK,
 ) -> DataFrame:
-    """(k_id, k_tie, doc_id, source, size, source_size, target, taken, first_slot) per row of `docs`.
+    """(k_id, k_tie, doc_id, source, size, source_size, target, taken, first_slot, n_slots) per row of `docs`.
 
     `taken` counts the words that the mix takes of a document, repeats included, `first_slot` is the
-    slot of its first block (null if nothing is taken). A null text has no words. A null source is a
+    first slot that draws words of it (null if nothing is taken) and `n_slots` how many do. A null text has no words. A null source is a
     source of its own, the last. Repeated rows are separate documents with the same key: together they
     get what their places in the stream get, shared evenly.
     """
@@ -175,11 +190,11 @@ def mix(
     inside = F.least(F.col("b"), (F.col("rank") + 1) * block) - F.greatest(
         F.col("a"), F.col("rank") * block
     )
-    slots, total = schedule(targets, block)
-    drawn = pieces.withColumn("n", inside).join(slots, ["s", "rank"], "left")
-    late = F.lit(total) + F.col("rank")
+    drawn = pieces.withColumn("n", inside).join(draws(targets, block), ["s", "rank"])
     drawn = drawn.groupBy("s", *KEY).agg(
-        F.sum("n").alias("taken"), F.min(F.coalesce("slot", late)).alias("first_slot")
+        F.sum("n").alias("taken"),
+        F.min("slot").alias("first_slot"),
+        F.count_distinct("slot").alias("n_slots"),
     )
     out = placed.join(drawn, ["s", *KEY], "left")
     return out.select(
@@ -191,22 +206,29 @@ def mix(
         "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
         "first_slot",
+        F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
         "copies",
     )
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its size, its source's size and target, and the words that the mix takes of it."""
-    return mixed_rows(table(spark, sf_dir, "documents"))
+    out = mixed_rows(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`; repeated rows share what their document got, the first ones more."""
+    """One row per row of `docs`; repeated rows share what their document got, the first ones more.
+
+    `first_slot` and `n_slots` are those of the document, the same in all its repeated rows.
+    """
     out = mix(docs)
     copy = F.posexplode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy", "zero")
-    out = out.select("doc_id", "size", "source_size", "target", "taken", "copies", copy)
+    slots = ["first_slot", "n_slots"]
+    out = out.select("doc_id", "size", "source_size", "target", "taken", *slots, "copies", copy)
     share = F.floor((F.col("taken") + F.col("copies") - 1 - F.col("copy")) / F.col("copies"))
-    return out.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
+    taken = share.cast("long").alias("taken")
+    return out.select("doc_id", "size", "source_size", "target", taken, *slots)
 
 
 #: The same in SQL: the closed form of the targets, and the overlap of each document with the taken words.
