@@ -39,13 +39,20 @@ def collect_window_counts(counts: DataFrame, key: tuple[str, ...]) -> DataFrame:
 
 
 def first_hit_windows(
-    requests: DataFrame, key: str, limit: int = GENERATE_LIMIT, seconds: int = 60
+    requests: DataFrame,
+    key: str,
+    limit: int = GENERATE_LIMIT,
+    seconds: int = 60,
+    lateness: str = LATENESS,
 ) -> DataFrame:
     """Admission with windows that start at a key's first hit after the previous window ended.
 
     Blocked requests do not move the window. State per key is the window start and its hit count; it
     is removed once the watermark has passed the end of the window. A micro-batch is sorted per
     key, so its size (``max_files`` of the source) bounds the memory.
+
+    Requests that lie more than ``lateness`` behind the newest one of the micro-batches before are
+    discarded and get no row; raise it if requests come later. State is kept that much longer.
     """
     length = seconds * 1_000_000
     schema = (
@@ -83,7 +90,7 @@ def first_hit_windows(
 
     micros = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
     return (
-        requests.withWatermark("ts", LATENESS)
+        requests.withWatermark("ts", lateness)
         .select(key, "event_id", "ts", micros)
         .groupBy(F.col(key))
         .applyInPandasWithState(
