@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunetable.llm import line_dedup, mixing, spelling, substring_dedup, warc
+from tunetable.llm import line_dedup, mixing, ranked_search, spelling, substring_dedup, warc
 from tunetable.llm.ann import op9_nearest_neighbours
 from tunetable.llm.decontamination import op10_benchmark_decontamination
 from tunetable.llm.html_extraction import op7_html_extraction
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard_join,
         op9_nearest_neighbours,
         op10_benchmark_decontamination,
+        ranked_search.op12_ranked_search,
         spelling.op13_spelling_variants,
     )
 }
@@ -36,5 +37,6 @@ ORACLE: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL,
     "op4_substring_dedup": substring_dedup.SQL,
     "op5_source_mixing": mixing.SQL,
+    "op12_ranked_search": ranked_search.SQL,
     "op13_spelling_variants": spelling.SQL,
 }
