@@ -13,6 +13,7 @@ from tunetable.llm.html_extraction import op7_html_extraction
 from tunetable.llm.jaccard_join import op8_ngram_jaccard_join
 from tunetable.llm.language_id import op6_language_id
 from tunetable.llm.license_scan import op1_license_scan
+from tunetable.llm.toxicity import op11_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard_join,
         op9_nearest_neighbours,
         op10_benchmark_decontamination,
+        op11_toxicity,
         ranked_search.op12_ranked_search,
         spelling.op13_spelling_variants,
     )
