@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,7 +282,9 @@ def near_words(vocabulary: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
         if held.num_rows and asked.num_rows:
             first = group["first"][0].as_py()
             held_words, times = held["word"].to_pylist(), held["n"].to_pylist()
-            found = list(block_answers(held_words, times, asked["word"].to_pylist(), first))
+            # the parts of a frequent key may have come to the same block
+            asked_words = pc.unique(asked["word"]).to_pylist()
+            found = list(block_answers(held_words, times, asked_words, first))
         columns = list(zip(*found)) or [[], [], [], []]
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
         return pa.table(

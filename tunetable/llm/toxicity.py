@@ -176,6 +176,7 @@ def fit(
         if last and number and 3 * (number - 1) < 2 * ROUNDS:
             kept = w[column] != 0
             sentence, column = sentence[kept], column[kept]
+            square[:] = 1.0
         on = w != 0 if last else rng.random(len(value)) >= DROPPED
         p = _sigmoid(b + np.bincount(sentence, (w * on)[column], units))
         own = _sigmoid(np.array(leak))
