@@ -219,6 +219,25 @@ def test_neighbours_against_brute_force(spark):
             assert score == pytest.approx(a @ b / math.sqrt((a @ a) * (b @ b)), rel=1e-12)
 
 
+@pytest.mark.parametrize("copies", [3, 7])
+def test_a_repeated_query_row_takes_no_place(spark, copies):
+    """Rows of the query's own id take no part; repeated candidates count row by row."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    own = rng.standard_normal(8).tolist()
+    rows = [(50, own)] * copies + [(50, [x + 1e-4 for x in own])] * copies
+    rows += [(i, rng.standard_normal(8).tolist()) for i in range(1, 12)]
+    first = max(rows[-11:], key=lambda r: np.dot(r[1], own) / np.linalg.norm(r[1]))
+    rows += [first] * 2
+    got = collections.Counter()
+    for r in ann.nearest(vectors(spark, rows), F.col("vec_id") == 50).collect():
+        got[r["rank"], r.vec_id] += 1
+    ranks = collections.Counter(rank for rank, _ in got.elements())
+    assert ranks == {rank: 2 for rank in range(1, 6)}  # two vectors of vec_id 50 ask
+    assert all(got[rank, first[0]] == 2 for rank in (1, 2, 3)) and not any(v == 50 for _, v in got)
+
+
 def test_neighbours_of_small_tables(spark):
     from pyspark.sql import functions as F
 

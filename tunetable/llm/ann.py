@@ -8,7 +8,8 @@ product with a query's residual is estimated, and its error is bounded with high
 EPSILON * sqrt((1 - a^2) / (a^2 (D - 1))), a being that inner product (Gao and Long 2024). Vectors whose
 upper bound reaches the k-th largest lower bound are scored exactly on the original values.
 
-Equal vectors are one class: at most k + 1 of its rows, the smallest ids, can be in any answer, so a
+Equal vectors are one class. A query's own id is one id, so the rows of the best k + 1 different ids hold its
+answer, at most k rows of each: a class keeps its k + 1 smallest ids with the number of rows of each, and a
 vector that a third of all rows repeat costs as much as any other. Clusters and query sets are cut
 into blocks of bounded size, and a block pair is one group.
 """
@@ -43,7 +44,7 @@ QUERY_BLOCK = 1 << 10
 EPSILON = 1.9
 SEED = 9
 
-FOUND = "q_id long, q_tie long, vec_id long, score double"
+FOUND = "q_id long, q_tie long, vec_id long, copies long, score double"
 
 
 def valid(vector: Column) -> Column:
@@ -123,15 +124,29 @@ def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def search(codes: Codes, vectors, ids, query_units, queries, keep: int):
-    """Per query (row indices, exact scores) of its `keep` best vectors, ties to smaller ids."""
+    """Per query (row indices, exact scores) of the vectors of its `keep` best ids, ties to smaller ids.
+
+    An id with several vectors is placed by its best one; `keep` of its vectors are returned at most.
+    """
     about, error = codes.estimate(query_units)
-    low = about - error
-    k = min(keep, len(ids))
-    floor = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
+    order = np.argsort(ids, kind="stable")
+    heads = np.flatnonzero(np.diff(ids[order], prepend=ids[order[:1]] - 1))
+    low = np.maximum.reduceat((about - error)[:, order], heads, axis=1)
+    k = min(keep, len(heads))
+    floor = np.partition(low, len(heads) - k, axis=1)[:, len(heads) - k]
     for number, query in enumerate(queries):
         chosen = np.flatnonzero(about[number] + error[number] >= floor[number])
         scores = cosines(vectors[chosen], query)
-        best = np.lexsort((ids[chosen], -scores))[:keep]
+        best = np.lexsort((ids[chosen], -scores))
+        _, first, of = np.unique(ids[chosen][best], return_index=True, return_inverse=True)
+        if len(first) < len(best):
+            place = np.argsort(np.argsort(first))[of]
+            nth = np.zeros(len(best), np.int64)
+            by_id = np.argsort(of, kind="stable")
+            nth[by_id] = np.arange(len(best)) - np.searchsorted(of[by_id], of[by_id])
+            best = best[(place < keep) & (nth < keep)]
+        else:
+            best = best[:keep]
         yield number, chosen[best], scores[best]
 
 
@@ -160,8 +175,10 @@ def nearest(
     dimension, total = most["d"], most["n"]
     rows = rows.filter(F.size("vec") == dimension)
     rows = rows.withColumn("one", F.xxhash64("vec")).withColumn("two", F.xxhash64(F.lit(1), "vec"))
+    by_id = rows.groupBy("one", "two", "vec_id")
+    by_id = by_id.agg(F.first("vec").alias("vec"), F.count("*").alias("copies"))
     nth = F.row_number().over(W.partitionBy("one", "two").orderBy("vec_id"))
-    kept = written(rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1), "vectors")
+    kept = written(by_id.withColumn("nth", nth).filter(F.col("nth") <= k + 1), "vectors")
     asked = rows.filter("is_query").select("vec_id", "one", "two").distinct()
     classes = rows.filter("is_query").groupBy("one", "two").agg(F.first("vec").alias("vec"))
 
@@ -184,11 +201,12 @@ def nearest(
                 unit = _unit(_matrix(batch["vec"], dimension))
                 owner = (unit @ sent.value[0].T).argmax(axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(owner), batch["vec_id"], batch["vec"]], ["cluster", "id", "vec"]
+                    [pa.array(owner), batch["vec_id"], batch["copies"], batch["vec"]],
+                    ["cluster", "id", "copies", "vec"],
                 )
 
-    places = kept.select("vec_id", "vec").mapInArrow(
-        assign, "cluster int, id long, vec array<double>"
+    places = kept.select("vec_id", "copies", "vec").mapInArrow(
+        assign, "cluster int, id long, copies long, vec array<double>"
     )
     places = written(places, "clusters")
     probes = math.ceil(share * len(centres))
@@ -233,7 +251,7 @@ def nearest(
         every("qparts").alias("qpart"),
         F.lit(False).alias("is_query"),
         "id",
-        F.lit(0).cast("long").alias("tie"),
+        F.col("copies").alias("tie"),
         "vec",
     )
     look = looks.join(cuts, "cluster").select(
@@ -252,31 +270,40 @@ def nearest(
         matrix = _matrix(group["vec"].combine_chunks(), dimension)
         ids, ties = group["id"].to_numpy(), group["tie"].to_numpy()
         vectors, queries = matrix[~query], matrix[query]
-        columns: list[list[np.ndarray]] = [[], [], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], [], []]
         if len(vectors) and len(queries):
             all_centres, turned = sent.value
             codes = Codes(_unit(vectors), all_centres[group["cluster"][0].as_py()], turned)
-            own = ids[~query]
+            own, copies = ids[~query], ties[~query]
             for number, chosen, scores in search(
                 codes, vectors, own, _unit(queries), queries, k + 1
             ):
                 columns[0].append(np.full(len(chosen), ids[query][number]))
                 columns[1].append(np.full(len(chosen), ties[query][number]))
                 columns[2].append(own[chosen])
-                columns[3].append(scores)
-        kinds = (np.int64, np.int64, np.int64, np.float64)
+                columns[3].append(copies[chosen])
+                columns[4].append(scores)
+        kinds = (np.int64, np.int64, np.int64, np.int64, np.float64)
         return pa.table(
             [
                 pa.array(np.concatenate(c) if c else np.zeros(0, kind))
                 for c, kind in zip(columns, kinds)
             ],
-            names=["q_id", "q_tie", "vec_id", "score"],
+            names=["q_id", "q_tie", "vec_id", "copies", "score"],
         )
 
     found = base.unionByName(look).groupBy("cluster", "part", "qpart").applyInArrow(answer, FOUND)
-    by_class = W.partitionBy("q_id", "q_tie").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("r", F.row_number().over(by_class)).filter(F.col("r") <= k + 1)
-    found = found.select(F.col("q_id").alias("one"), F.col("q_tie").alias("two"), "vec_id", "score")
+    of_id = W.partitionBy("q_id", "q_tie", "vec_id").orderBy(F.desc("score"))
+    found = found.withColumn("nth", F.row_number().over(of_id)).filter(F.col("nth") <= k)
+    in_order = W.partitionBy("q_id", "q_tie").orderBy(F.desc("score"), "vec_id", "nth")
+    ids_before = F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(
+        in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    found = found.withColumn("ids", ids_before).filter(F.col("ids") <= k + 1)
+    every_copy = F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)))).alias("copy")
+    found = found.select(
+        F.col("q_id").alias("one"), F.col("q_tie").alias("two"), "vec_id", "score", every_copy
+    )
     pairs = asked.withColumnRenamed("vec_id", "query_id").join(found, ["one", "two"])
     best = W.partitionBy("query_id", "one", "two").orderBy(F.desc("score"), "vec_id")
     pairs = pairs.filter("vec_id <> query_id").withColumn("rank", F.row_number().over(best))
