@@ -46,3 +46,12 @@ def test_the_stage_of_the_pipeline(spark, documents):
     assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == set(range(200))
     docs = documents([(1, "some words", None)])
     assert corpus_pipeline.language(spark, docs, "").count() == 1
+
+
+def test_one_repeated_id_bounds_the_sample_and_hides_no_language(spark, documents):
+    same = [(1, " ".join(np.random.default_rng(i).choice(WORDS["aa"], 9)), "aa") for i in range(3000)]
+    rows = same + [(2, "huis boom fiets", "bb")] * 3000 + [(3, "Wiese Baum", "cc"), (4, "mot rue", "dd")]
+    sample = language_id.training_sample(documents(rows))
+    assert {lang: len(texts) for lang, texts in sample.items()} == {
+        "aa": language_id.SAMPLE_TEXTS, "bb": 1, "cc": 1, "dd": 1,
+    }

@@ -210,25 +210,26 @@ def held_out() -> Column:
 
 
 def training_sample(docs: DataFrame) -> dict[str, list[bytes]]:
-    """At most SAMPLE_TEXTS whole texts of each lang, the first in a hash order of the doc_id.
+    """At most SAMPLE_TEXTS different whole texts of each lang, the first in a hash order of doc_id and text.
 
-    Of a lang with n texts only those in the first 2 * SAMPLE_TEXTS / n of the hash range are ranked, so
+    Rows that agree in lang, doc_id and text are one. Of a lang with n texts only those in the first 2 * SAMPLE_TEXTS / n of the hash range are ranked, so
     the ranking sees about as many rows for a lang of any size.
     """
     usable = docs.select("doc_id", "lang", F.col("text").cast("binary").alias("body")).filter(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out()
         & F.octet_length("body").between(1, SAMPLE_BYTES)
     )
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 11) / float(1 << 53)
-    known = usable.select("lang", "doc_id", place.alias("place"))
+    usable = usable.withColumn("mark", F.xxhash64(F.lit(SEED), "doc_id", "body"))
+    place = F.shiftrightunsigned("mark", 11) / float(1 << 53)
+    known = usable.select("lang", "doc_id", "mark").distinct().withColumn("place", place)
     totals = checked(known.groupBy("lang").agg(F.count("*").alias("n")), "lang-totals")
     near = known.join(totals, "lang")
     near = near.filter(F.col("place") * F.col("n") < 2.0 * SAMPLE_TEXTS)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id"))
-    chosen = near.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS)
-    chosen = chosen.select("lang", "doc_id").distinct()
-    chosen = checked(chosen, "lang-sample")
-    rows = usable.join(chosen, ["lang", "doc_id"]).orderBy("lang", "doc_id", "body")
+    key = ["lang", "doc_id", "mark"]
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id", "mark"))
+    chosen = near.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS).select(*key)
+    found = usable.join(checked(chosen, "lang-sample"), key).groupBy(*key)
+    rows = found.agg(F.first("body").alias("body")).orderBy(*key)
     texts: dict[str, list[bytes]] = {}
     for row in rows.collect():
         texts.setdefault(row["lang"], []).append(bytes(row["body"]))
