@@ -2,8 +2,10 @@
 
 import itertools
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import ODD, UPPER, WORD, prose
 
@@ -161,15 +163,28 @@ def test_tiling_matches_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(150):
         doc, item = rng.integers(0, 3, rng.integers(1, 40)), rng.integers(0, 3, rng.integers(1, 25))
-        seeds = [
-            (d, i)
-            for d in range(len(doc) - 2)
-            for i in range(len(item) - 2)
-            if (doc[d : d + 3] == item[i : i + 3]).all()
-        ]
-        if seeds:
-            d, i = np.array(seeds).T
-            assert decontamination.tiles(d, i, 3) == greedy(doc.tolist(), item.tolist(), 3)
+        assert tiled(doc, item, 3) == greedy(doc.tolist(), item.tolist(), 3)
+
+
+def tiled(doc, item, size):
+    """Tiles of a document of numbered words, by way of the seeds of the item."""
+    doc, item = (" ".join(f"w{x}" for x in words).encode() for words in (doc, item))
+    seeds = decontamination.Seeds([0], [item], size)
+    out = []
+    for _, words, first in decontamination._hashed(pa.array([b"w1 w2", doc], pa.large_binary())):
+        row, _, begin, place, length = decontamination._matches(words, first, seeds)
+        if (row == 1).any():
+            out += decontamination.tiles(begin[row == 1], place[row == 1], length[row == 1], size)
+    return out
+
+
+@pytest.mark.parametrize("period", [1, 2, 7])
+def test_text_that_repeats_itself_costs_its_matches(period):
+    item, doc = np.arange(400) % period, np.arange(500_000) % period
+    tracemalloc.start()
+    assert tiled(doc, item, 5) == [(0, 0, 400)]
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
 
 
 def test_decontamination(spark, documents):

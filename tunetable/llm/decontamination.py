@@ -7,8 +7,8 @@ the document), so passages in another order are found piece by piece. A document
 item if tiles cover at least `coverage` of the item's words.
 
 Method: the Karp-Rabin hashes of all runs of `min_words` words of the items are the seeds. Documents
-are joined with them by hash where they lie; runs of seeds on one diagonal are the maximal matches, and
-greedy tiling marks them. The benchmark is sent to the tasks in blocks of bounded size, and every
+are joined with them by hash where they lie. Only the beginnings and ends of matches are listed, where
+the words beyond differ; in pairs they are the maximal matches, and greedy tiling marks them. The benchmark is sent to the tasks in blocks of bounded size, and every
 block meets all documents, so that neither side is limited and no document is shuffled.
 """
 
@@ -24,14 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunetable.llm.base import doc_id_of, keyed_texts, table
-from tunetable.llm.tokens import LOWER, text_slices, window_hashes, word_hashes, word_spans
-from tunetable.llm.tokens import starts_in_rows
+from tunetable.llm.tokens import LOWER, mixed, starts_in_rows, text_slices
+from tunetable.llm.tokens import window_hashes, word_hashes, word_spans
 from tunetable.session import ship_package
 
 MIN_WORDS = 5
 COVERAGE = 0.5
 #: Text bytes of the benchmark items that go to the tasks at once.
 BLOCK_BYTES = 8 << 20
+#: What stands for the word beyond the edge of an item and of a document; they differ, so matches end there.
+ITEM_EDGE, DOC_EDGE = 1, 2
 
 SPLIT = np.ones(256, bool)
 SPLIT[0x30:0x3A] = SPLIT[0x61:0x7B] = SPLIT[0x80:] = False
@@ -51,96 +53,148 @@ def _hashed(column: pa.Array):
 
 
 class Seeds:
-    """The windows of a block of items, sorted by hash, and a bitmap in front of them."""
+    """The windows of a block of items, sorted by hash, and a bitmap in front of them.
+
+    Each window also knows the words before and after it. A match begins where a window has an equal one
+    and the words before them differ, and ends where those after them differ, so matches are found by
+    their two edges: text that repeats itself costs what its matches number, not its pairs of windows.
+    """
 
     BITS = 22
 
     def __init__(self, ids: list[int | None], texts: list[bytes], size: int):
-        hashes, items, places, lengths = [], [], [], []
+        hashes, items, places, lengths, around = [], [], [], [], ([], [])
         for low, words, first in _hashed(pa.array(texts, pa.large_binary())):
-            index, row, position = starts_in_rows(first, size)
-            hashes.append(window_hashes(words, size)[index])
+            window, row, position, before, after = _windows(words, first, size, ITEM_EDGE)
+            hashes.append(window)
             items.append(row + low)
             places.append(position)
             lengths.append(np.diff(first))
+            around[0].append(before)
+            around[1].append(after)
         self.ids, self.size = ids, size
         self.lengths = np.concatenate(lengths or [np.zeros(0, np.int64)])
         value = np.concatenate(hashes or [np.zeros(0, np.uint64)])
-        order = np.argsort(value, kind="stable")
-        self.value = value[order]
-        self.item = np.concatenate(items or [np.zeros(0, np.int64)])[order]
-        self.place = np.concatenate(places or [np.zeros(0, np.int64)])[order]
+        item = np.concatenate(items or [np.zeros(0, np.int64)])
+        place = np.concatenate(places or [np.zeros(0, np.int64)])
+        self.sides = []
+        for words in around:
+            both = _with(value, np.concatenate(words or [np.zeros(0, np.uint64)]))
+            order = np.lexsort((both, value))
+            known, start, count = np.unique(both[order], return_index=True, return_counts=True)
+            self.sides.append((value[order], item[order], place[order], known, start, count))
         self.bitmap = np.zeros(1 << self.BITS, bool)
-        self.bitmap[self.value & np.uint64((1 << self.BITS) - 1)] = True
+        self.bitmap[value & np.uint64((1 << self.BITS) - 1)] = True
+
+    def edges(self, hashes: np.ndarray, words: np.ndarray, side: int):
+        """(index into `hashes`, item, place) of every equal window whose word on that side differs."""
+        value, item, place, known, start, count = self.sides[side]
+        at = np.flatnonzero(self.bitmap[hashes & np.uint64((1 << self.BITS) - 1)])
+        low = np.searchsorted(value, hashes[at], "left")
+        high = np.searchsorted(value, hashes[at], "right")
+        at, low, high = at[high > low], low[high > low], high[high > low]
+        if not len(at):
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        both = _with(hashes[at], words[at])
+        same = np.minimum(np.searchsorted(known, both), len(known) - 1)
+        has = known[same] == both
+        cut = np.where(has, start[same], high)
+        on = np.where(has, start[same] + count[same], high)
+        indices, seeds = [], []
+        for a, b in ((low, cut), (on, high)):
+            n = b - a
+            indices.append(np.repeat(at, n))
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            seeds.append(np.repeat(a, n) + step)
+        seed = np.concatenate(seeds)
+        return np.concatenate(indices), item[seed], place[seed]
+
+
+def _with(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mixed(hashes ^ mixed(words))
+
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into `hashes`, index of a seed) of every equal pair."""
-        maybe = np.flatnonzero(self.bitmap[hashes & np.uint64((1 << self.BITS) - 1)])
-        low = np.searchsorted(self.value, hashes[maybe], "left")
-        count = np.searchsorted(self.value, hashes[maybe], "right") - low
-        at = np.repeat(maybe, count)
-        step = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        return at, np.repeat(low, count) + step
+def _windows(words: np.ndarray, first: np.ndarray, size: int, edge: int):
+    """(hash, row, place in the row, word before, word after) of each window; `edge` is beyond a row."""
+    index, row, position = starts_in_rows(first, size)
+    padded = np.concatenate([np.full(1, edge, np.uint64), words, np.full(1, edge, np.uint64)])
+    before = np.where(position == 0, np.uint64(edge), padded[index])
+    last = index + size == first[row + 1]
+    after = np.where(last, np.uint64(edge), padded[np.minimum(index + size + 1, len(padded) - 1)])
+    return window_hashes(words, size)[index], row, position, before, after
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """(place in the document, place in the item, words) of each tile, from the places of all seeds.
+def tiles(
+    doc: np.ndarray, item: np.ndarray, length: np.ndarray, size: int
+) -> list[tuple[int, int, int]]:
+    """(place in the document, place in the item, words) of each tile, from all maximal matches.
 
-    Runs of seeds on a diagonal are maximal matches. The longest goes first; a match that an earlier
-    tile cuts comes back with what is left of it, if that is long enough.
+    The longest goes first; a match that an earlier tile cuts comes back with what is left of it, if that
+    is long enough. When no free run of the item is long enough, the rest is not looked at.
     """
-    order = np.lexsort((doc, doc - item))
-    doc, item = doc[order], item[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (np.diff(doc) != 1) | (np.diff(item) != 1)
-    begins = np.flatnonzero(new)
-    lengths = np.diff(np.append(begins, len(doc))) + size - 1
-    queue = [
-        (-int(n), int(item[b]), int(doc[b])) for b, n in zip(begins.tolist(), lengths.tolist())
-    ]
+    queue = [(-n, i, d) for n, i, d in zip(length.tolist(), item.tolist(), doc.tolist())]
     heapq.heapify(queue)
-    used_doc: set[int] = set()
-    used_item: set[int] = set()
+    low_doc, low_item = int(doc.min()), int(item.min())
+    free_doc = np.ones(int((doc + length).max()) - low_doc, bool)
+    free_item = np.ones(int((item + length).max()) - low_item, bool)
     out = []
     while queue:
         n, i, d = heapq.heappop(queue)
-        free = [i + k not in used_item and d + k not in used_doc for k in range(-n)]
-        if all(free):
+        free = free_item[i - low_item : i - low_item - n] & free_doc[d - low_doc : d - low_doc - n]
+        if free.all():
             out.append((d, i, -n))
-            used_item.update(range(i, i - n))
-            used_doc.update(range(d, d - n))
+            free_item[i - low_item : i - low_item - n] = False
+            free_doc[d - low_doc : d - low_doc - n] = False
+            if max((b - a for a, b in _runs(free_item)), default=0) < size:
+                break
             continue
-        start = 0
-        for k in range(-n + 1):
-            if k == -n or not free[k]:
-                if k - start >= size:
-                    heapq.heappush(queue, (start - k, i + start, d + start))
-                start = k + 1
+        if free.any():
+            for a, b in _runs(free):
+                if b - a >= size:
+                    heapq.heappush(queue, (a - b, i + a, d + a))
     return out
 
 
+def _runs(free: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of each run of true values."""
+    change = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+    return list(zip(change[::2].tolist(), change[1::2].tolist()))
+
+
+def _matches(words: np.ndarray, first: np.ndarray, seeds: Seeds):
+    """(row, item, place in the document, place in the item, words) of all maximal matches, sorted."""
+    window, row, position, before, after = _windows(words, first, seeds.size, DOC_EDGE)
+    ends = []
+    for side, beyond in ((0, before), (1, after)):
+        at, item, place = seeds.edges(window, beyond, side)
+        # along a diagonal of one row and item, beginnings and ends alternate
+        order = np.lexsort((place, position[at] - place, item, row[at]))
+        ends.append((row[at][order], item[order], position[at][order], place[order]))
+    (row, item, begin, place), (_, _, end, _) = ends
+    return row, item, begin, place, end - begin + seeds.size
+
+
 def _tiled(batch: pa.RecordBatch, seeds: Seeds, coverage: float) -> Iterator[tuple]:
     """(row, item, covered words, tiles, longest) of the pairs that reach the coverage."""
     for low, words, first in _hashed(batch["body"]):
-        at, seed = seeds.hits(window_hashes(words, seeds.size))
-        row = np.searchsorted(first, at, "right") - 1
-        inside = at + seeds.size <= first[row + 1]
-        at, seed, row = at[inside], seed[inside], row[inside]
-        item, place = seeds.item[seed], seeds.place[seed]
-        order = np.lexsort((place, item, row))
-        row, item, place, at = row[order], item[order], place[order], at[order]
+        row, item, begin, place, length = _matches(words, first, seeds)
         new = np.ones(len(row), bool)
         new[1:] = (np.diff(row) != 0) | (np.diff(item) != 0)
         cuts = np.flatnonzero(new)
         for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(row)).tolist()):
-            # an upper bound first: the item's words that lie under any seed
-            covered = np.minimum(np.diff(place[a:b], append=place[b - 1] + seeds.size), seeds.size)
-            length = seeds.lengths[item[a]]
-            if covered.sum() < coverage * length:
+            # an upper bound first: the item's words that lie under any match
+            need = coverage * seeds.lengths[item[a]]
+            if length[a:b].sum() < need:
+                continue
+            covered = np.zeros(seeds.lengths[item[a]] + 1, np.int64)
+            np.add.at(covered, place[a:b], 1)
+            np.subtract.at(covered, place[a:b] + length[a:b], 1)
+            if np.count_nonzero(np.cumsum(covered)) < need:
                 continue
-            found = tiles(at[a:b] - first[row[a]], place[a:b], seeds.size)
+            found = tiles(begin[a:b], place[a:b], length[a:b], seeds.size)
             total = sum(n for _, _, n in found)
-            if total >= coverage * length:
+            if total >= need:
                 yield low + row[a], item[a], total, len(found), max(n for _, _, n in found)
 
 
