@@ -112,7 +112,12 @@ def test_smoothing_takes_all_paths_at_every_size():
     paths = sorted(paths)
     rows = [(rng.random() * 500, rng.random() * 9) for _ in paths]
     factors = [rng.choice([1.0, 0.7, 0.05]) for _ in paths]
-    got = html_extraction._smoothed(html_extraction._nodes(paths), rows, factors)
+    root, nodes = html_extraction.Path(), []
+    for path in paths:
+        nodes.append(root)
+        for label in path:
+            nodes[-1] = nodes[-1].child(label)
+    got = html_extraction._smoothed(nodes, rows, factors)
     for i, path in enumerate(paths):
         total = [0.0, 0.0, 0.0]
         for j, other in enumerate(paths):
@@ -131,3 +136,10 @@ def test_short_paragraphs_stay_at_any_size(label, count):
     order = random.Random(count).sample(range(count), count)
     body = "".join(f"<p {label.format(f'{i:05}')}>{texts[i]}</p>" for i in order)
     assert extract(f"<body><div>{body}</div></body>").split("\n") == [texts[i] for i in order]
+
+
+@pytest.mark.parametrize("depth", [0, 10, 195, 210, 1000, 20000])
+def test_wrappers_of_any_depth_change_nothing(depth):
+    inner = f"<div><p>{A}</p><p>{B}</p></div><div class=offer><div>Buy now</div><div>Cheap</div></div>"
+    got = extract("<body>" + "<div>" * depth + inner + "</div>" * depth + "</body>")
+    assert got.split("\n") == WORDS

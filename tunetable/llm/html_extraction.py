@@ -97,11 +97,9 @@ SHAPES = frozenset(
 )
 #: A class that starts with one of these describes a whole page, not a part of it.
 NEGATED = frozenset("has no not with without".split())
-#: Paths are told apart down to this depth.
-DEPTH = 200
 #: Weights of paths by how far they are apart; exp(-27.3 ** 2) is 0 as a double.
 REACH = 28
-WEIGHTS = [math.exp(-apart * apart) if apart < REACH else 0.0 for apart in range(DEPTH + 3)]
+WEIGHTS = [math.exp(-apart * apart) if apart < REACH else 0.0 for apart in range(REACH + 2)]
 
 _OPEN = re.compile(
     r"""<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.DOTALL
@@ -120,10 +118,37 @@ _PART = re.compile(r"[a-z]+|[0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？¿¡]")
 
 
+class Path:
+    """A node of the tree of all paths of a page; equal paths are the same node, at any depth."""
+
+    __slots__ = ("label", "above", "size", "heads", "below")
+
+    def __init__(self, label: str = "", above: Path | None = None):
+        self.label, self.above = label, above
+        self.size: int = above.size + 1 if above else 0
+        #: whether a heading holds it
+        self.heads: bool = bool(above and above.heads) or _tag(label) in HEADINGS
+        self.below: dict[str, Path] = {}
+
+    def child(self, label: str) -> Path:
+        found = self.below.get(label)
+        if found is None:
+            found = self.below[label] = Path(label, self)
+        return found
+
+    def line(self, most: int) -> list[Path]:
+        """At most so many nodes that end here, the outermost first."""
+        out, node = [], self
+        while node and len(out) < most:
+            out.append(node)
+            node = node.above
+        return out[::-1]
+
+
 @dataclass
 class Element:
     name: str
-    path: tuple[str, ...]
+    path: Path
     never: bool
     article: int
     link: bool
@@ -146,7 +171,7 @@ class Zone:
 class Block:
     """`article` is the length of the path of the mark that holds the block, 0 if there is none."""
 
-    path: tuple[str, ...]
+    path: Path
     article: int
     #: (text, zone, linked)
     parts: list[tuple[str, int, bool]] = field(default_factory=list)
@@ -167,7 +192,9 @@ def _named(name: str) -> tuple[float, bool]:
     return (NAMED if alone else MIXED), alone and not TALK.isdisjoint(parts)
 
 
-def _element(name: str, attributes: str, parent: Element | None, zones: list[Zone]) -> Element:
+def _element(
+    name: str, attributes: str, parent: Element | None, zones: list[Zone], page: Path
+) -> Element:
     never = name in NEVER
     label, role = name, ""
     factor, talk = MIXED if name == "form" else 1.0, False
@@ -198,14 +225,14 @@ def _element(name: str, attributes: str, parent: Element | None, zones: list[Zon
     if factor < 1 and not never:
         zones.append(Zone(zone, factor, talk=talk))
         zone = len(zones) - 1
-    path = parent.path if parent else ()
-    if name in BLOCK and len(path) < DEPTH:
-        path = (*path, label)
+    path = parent.path if parent else page
+    if name in BLOCK:
+        path = path.child(label)
     return Element(
         name,
         path,
         never,
-        inside or (max(len(path), 1) if mark else 0),
+        inside or (max(path.size, 1) if mark else 0),
         name == "a" or bool(parent and parent.link and name not in BLOCK),
         zone,
     )
@@ -218,6 +245,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Zone]]:
     """
     out: list[Block] = []
     zones = [Zone(0)]
+    root = Path()
     stack: list[Element] = []
     current: Block | None = None
     at, size = 0, len(page)
@@ -246,7 +274,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Zone]]:
             above = top()
             if not (above and above.never):
                 if current is None:
-                    current = Block(above.path if above else (), above.article if above else 0)
+                    current = Block(above.path if above else root, above.article if above else 0)
                     out.append(current)
                 part = (above.zone, above.link) if above else (0, False)
                 current.parts.append((page[at:text_end], *part))
@@ -305,7 +333,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Zone]]:
             kinds, stops = IMPLIED[name]
             close(kinds, stops)
         if not attributes.rstrip().endswith("/") or name in BLOCK:
-            stack.append(_element(name, attributes, top(), zones))
+            stack.append(_element(name, attributes, top(), zones, root))
             opened[name] = opened.get(name, 0) + 1
     return out, zones
 
@@ -352,20 +380,8 @@ def text_of(block: Block, factors: list[float]) -> str:
     return " ".join(html.unescape("".join(piece for piece, _, _ in kept)).split())
 
 
-def _nodes(paths: list[tuple]) -> list[list[int]]:
-    """For each path the numbers of its prefixes in the tree of all paths, the root first."""
-    number: dict[tuple[int, str], int] = {}
-    out = []
-    for path in paths:
-        line = [0]
-        for label in path:
-            line.append(number.setdefault((line[-1], label), len(number) + 1))
-        out.append(line)
-    return out
-
-
 def _smoothed(
-    lines: list[list[int]], rows: list[tuple[float, float]], factors: list[float]
+    paths: list[Path], rows: list[tuple[float, float]], factors: list[float]
 ) -> list[tuple[float, float]]:
     """Per path the mean of all rows, weighted by their factor (1 for its own) and exp(-apart ** 2).
 
@@ -373,23 +389,21 @@ def _smoothed(
     length of their path. A path adds at each of its nodes what sharing one more label adds to
     the weight of the rows below it, so the work grows with the paths, not with their pairs.
     """
-    below: dict[int, dict[int, list[float]]] = {}
-    for line, (text, marks), factor in zip(lines, rows, factors):
-        size = len(line)
-        for node in line[-REACH:]:
-            sums = below.setdefault(node, {}).setdefault(size, [0.0, 0.0, 0.0])
+    below: dict[Path, dict[int, list[float]]] = {}
+    for path, (text, marks), factor in zip(paths, rows, factors):
+        for node in path.line(REACH):
+            sums = below.setdefault(node, {}).setdefault(path.size, [0.0, 0.0, 0.0])
             sums[0] += factor
             sums[1] += factor * text
             sums[2] += factor * marks
     out = []
-    for line, (text, marks), factor in zip(lines, rows, factors):
-        size = len(line)
+    for path, (text, marks), factor in zip(paths, rows, factors):
         own = 1.0 - factor
         total = [own, own * text, own * marks]
-        for shared in range(max(1, size - REACH + 1), size + 1):
-            for other, sums in below[line[shared - 1]].items():
-                apart = max(size, other) - shared
-                weight = WEIGHTS[apart] - (WEIGHTS[apart + 1] if shared > 1 else 0.0)
+        for node in path.line(REACH):
+            for size, sums in below[node].items():
+                apart = max(path.size, size) - node.size
+                weight = WEIGHTS[apart] - (WEIGHTS[apart + 1] if node.size else 0.0)
                 for k in range(3):
                     total[k] += weight * sums[k]
         out.append((total[1] / total[0], total[2] / total[0]))
@@ -400,58 +414,67 @@ def _tag(label: str) -> str:
     return label.partition(".")[0]
 
 
-def _place(path: tuple[str, ...]) -> int | None:
-    """How much of the path lies above a heading, list, table or caption; None for other paths."""
-    n = len(path)
-    while n:
-        tag = _tag(path[n - 1])
-        if tag == "p" and n > 1:
-            tag = _tag(path[n - 2])
+def _place(path: Path) -> Path | None:
+    """The part of the path above a heading, list, table or caption; None for other paths."""
+    node = path
+    while node.above:
+        tag = _tag(node.label)
+        if tag == "p" and node.size > 1:
+            tag = _tag(node.above.label)
             if tag in CELLS:
                 break
         if tag not in PLACED:
             break
-        n -= 1
-    return None if n == len(path) else n
+        node = node.above
+    return None if node is path else node
 
 
-def _neighbours(
-    paths: list[tuple], lines: list[list[int]], marks: list[int], chosen: set[int]
-) -> set[int]:
+def _neighbours(paths: list[Path], marks: list[int], chosen: set[int]) -> set[int]:
     """Headings, list items, cells and captions beside chosen paths, and bare paragraphs inside one.
 
     A wrapper that holds nothing else counts as part of what it wraps. A heading also goes with text that
     is one container further down, or anywhere below it in the marked article.
     """
     places = [_place(path) for path in paths]
-    solid = {node for line, place in zip(lines, places) if place is None for node in line}
+    solid: set[Path] = set()
+    for path, place in zip(paths, places):
+        node = path if place is None else None
+        while node and node not in solid:
+            solid.add(node)
+            node = node.above
     at = []
-    for line, place in zip(lines, places):
-        while place and line[place] not in solid:
-            place -= 1
-        at.append(place)
-    own, beside, below = set(), set(), set()
+    for node in places:
+        while node and node.above and node not in solid:
+            node = node.above
+        at.append(node)
+    own, beside, below, walked = set(), set(), set(), set()
     for i in chosen:
-        line = lines[i]
-        own.add(line[-1])
-        beside.update(line[-2:])
-        below.update(line[-3:])
-        if marks[i]:
-            below.update(line[marks[i] :])
-        if places[i] is not None and _tag(paths[i][-1]) not in CELLS:
-            beside.add(line[at[i]])
-            below.add(line[at[i]])
+        path = paths[i]
+        own.add(path)
+        beside.update(path.line(2))
+        below.update(path.line(3))
+        node = path if marks[i] else None
+        while node and node.size >= marks[i] and node not in walked:
+            walked.add(node)
+            node = node.above
+        if places[i] is not None and _tag(path.label) not in CELLS:
+            beside.add(at[i])
+            below.add(at[i])
+    below |= walked
     out = set()
     for i, path in enumerate(paths):
         if places[i] is None:
-            if path and path[-1] == "p" and lines[i][-2] in own:
+            if path.label == "p" and path.above in own:
                 out.add(i)
         else:
-            heads = any(_tag(label) in HEADINGS for label in path[places[i] :])
-            above = _tag(path[at[i] - 1]) if at[i] else ""
-            named = at[i] < places[i] and above in ("", "html", "body")  # of the site, not of a text
+            node, heads = path, False
+            while node is not places[i]:
+                heads = heads or _tag(node.label) in HEADINGS
+                node = node.above
+            named = at[i].size < places[i].size  # of the site, not of a text
+            named = named and _tag(at[i].label) in ("", "html", "body")
             near = below if heads and not named else beside
-            if lines[i][at[i]] in near:
+            if at[i] in near:
                 out.add(i)
     return out
 
@@ -474,9 +497,8 @@ def content_paths(blocks: list[tuple[Block, str]], threshold: float = THRESHOLD)
         marked[block.key] = block.article
     keys = list(sums)
     paths = [path for path, _ in keys]
-    lines = _nodes(paths)
     raw = [(sums[p][0] / sums[p][2], sums[p][1] / sums[p][2]) for p in keys]
-    smooth = _smoothed(lines, raw, [factor for _, factor in keys])
+    smooth = _smoothed(paths, raw, [factor for _, factor in keys])
     fused = [text * (1 + marks) for text, marks in smooth]
     linked = [sums[p][3] / sums[p][0] for p in keys]
     prior = [p[1] * (MARKED if marked[p] else 1.0) for p in keys]
@@ -486,13 +508,13 @@ def content_paths(blocks: list[tuple[Block, str]], threshold: float = THRESHOLD)
     if not mean:
         return {p for p in keys if marked[p]}
     chosen = {i for i, f in enumerate(fused) if f > 0 and f >= threshold * mean}
-    added = _neighbours(paths, lines, [marked[p] for p in keys], chosen)
+    added = _neighbours(paths, [marked[p] for p in keys], chosen)
     least = MIXED * max(keys[i][1] for i in chosen)
     chosen |= {
         i
         for i in added
         if keys[i][1] >= least
-        and (linked[i] <= LINKED or any(_tag(label) in HEADINGS for label in paths[i]))
+        and (linked[i] <= LINKED or paths[i].heads)
     }
     return {keys[i] for i in chosen}
 
