@@ -66,9 +66,11 @@ def _shown(value: Column) -> Column:
     return F.when(~as_it_is & whole, F.floor(number).cast("string")).otherwise(text)
 
 
-def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+def parse_lines(lines: DataFrame, line: str = "line", keep_others: bool = False) -> DataFrame:
     """Adds ``token`` and ``done``; other lines, malformed JSON and empty tokens are dropped.
 
+    With ``keep_others`` they stay, without a token and not done.
+
     The body is parsed as the only element of an array, so that anything after its end is an error
     too, and keeps its JSON types: 0, false, null and "" are neither a token nor an end. ``explode``
     makes the parsed value a plain column: a line is parsed once however often it is used further on.
@@ -76,9 +78,17 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     others = [c for c in lines.columns if c != line]
     body = F.concat(F.lit("["), F.substr(line, F.lit(len(DATA_PREFIX) + 1)), F.lit("]"))
     elements = F.try_parse_json(body).try_cast("array<variant>")
-    framed = lines.filter(F.col(line).startswith(DATA_PREFIX))
+    is_frame = F.col(line).startswith(DATA_PREFIX)
+    if keep_others:
+        framed, elements = lines, F.when(is_frame, elements)
+    else:
+        framed = lines.filter(is_frame)
     parsed = framed.select(*others, F.explode(F.array(elements)).alias("_f"))
-    parsed = parsed.filter(F.size("_f") == 1).select(
+    if keep_others:
+        parsed = parsed.withColumn("_f", F.when(F.size("_f") == 1, F.col("_f")))
+    else:
+        parsed = parsed.filter(F.size("_f") == 1)
+    parsed = parsed.select(
         *others,
         *[
             F.try_variant_get(F.get("_f", F.lit(0)), f"$.{c}", "variant").alias(f"_{c}")
@@ -86,13 +96,14 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
         ],
     )
     token = F.when(~F.col("done") & _truthy(F.col("_token")), _shown(F.col("_token")))
-    return (
+    out = (
         parsed.withColumn("done", _truthy(F.col("_done")))
         .withColumn("token", token)
         .drop("_token", "_done")
-        .filter(F.col("done") | F.col("token").isNotNull())
-        .select(*others, "token", "done")
     )
+    if not keep_others:
+        out = out.filter(F.col("done") | F.col("token").isNotNull())
+    return out.select(*others, "token", "done")
 
 
 def decode_frames(lines: DataFrame, stream: tuple[str, ...], line: str = "line") -> DataFrame:

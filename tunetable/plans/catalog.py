@@ -34,8 +34,9 @@ from tunetable.sources import inline, readers, writers
 from tunetable.sources.schemas import INSTRUCTIONS
 from tunetable.streaming import limits as live_limits
 from tunetable.streaming import loss as live_loss
+from tunetable.streaming import ordered
 from tunetable.streaming import tokens as live_tokens
-from tunetable.streaming.runs import append_to_files, file_stream, slices
+from tunetable.streaming.runs import append_to_files, each_batch, file_stream, overwrite_batch, slices
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -646,6 +647,60 @@ def q_stream_tokens(spark, sf):
     return spark.read.schema(folded.schema).parquet(append_to_files(folded, "streams"))
 
 
+@query
+def q_stream_chunks(spark, sf):
+    """Lines of documents that arrive as chunks of 61 bytes, a third of each document per micro-batch."""
+    body = F.col("text").cast("binary")
+    number = F.sequence(F.lit(0), F.floor(F.octet_length(body) / 61).cast("int"))
+    chunks = table(spark, sf, "documents").filter("text is not null").select(
+        "doc_id", body.alias("body"), F.size(number).alias("n"), F.explode(number).alias("chunk_seq")
+    )
+    chunks = chunks.select(
+        "doc_id",
+        "chunk_seq",
+        F.substring("body", 61 * F.col("chunk_seq") + 1, F.lit(61)).alias("data"),
+        F.floor(3 * F.col("chunk_seq") / F.col("n")).alias("third"),
+    )
+    folder, files = slices(chunks, "third", "chunk-stream")
+    arriving = file_stream(spark, folder, chunks.schema, max_files=files)
+    lines = ordered.byte_chunk_lines(arriving, "doc_id")
+    with ordered.keyed_state(spark):
+        return spark.read.schema(lines.schema).parquet(append_to_files(lines, "chunk-lines"))
+
+
+@query
+def q_stream_reordered(spark, sf):
+    """Message frames that arrive in any order over three micro-batches, with a first start that stopped."""
+    whole = inputs.frame_lines(spark, sf).withColumn("attempt", F.lit(1))
+    lines = whole.unionByName(whole.filter("seq < 3").withColumn("attempt", F.lit(0))).select(
+        F.concat_ws(":", *STREAM).alias("stream"),
+        "attempt",
+        "seq",
+        "line",
+        F.timestamp_millis(F.lit(1_700_000_000_000) + 28 * F.col("seq")).alias("ts"),
+        F.pmod(F.xxhash64(*STREAM, "attempt", "seq"), F.lit(3)).alias("third"),
+    )
+    folder, files = slices(lines, "third", "shuffled-frames")
+    arriving = file_stream(spark, folder, lines.schema, max_files=files)
+    prefixes = ordered.reordered_prefixes(arriving, "stream", "ts", "attempt")
+    with ordered.keyed_state(spark):
+        stored = append_to_files(prefixes, "prefixes")
+    return ordered.whole_streams(spark.read.schema(prefixes.schema).parquet(stored), "stream")
+
+
+@query
+def q_stream_recent(spark, sf):
+    """The recent prompts of each user after the last of three micro-batches."""
+    rows = inputs.requests(spark, sf)
+    folder, files = slices(rows, "event_id", "prompt-stream")
+    lists = ordered.live_recent_prompts(file_stream(spark, folder, rows.schema, max_files=files))
+    with ordered.keyed_state(spark):
+        out = each_batch(lists, "recent-prompts", "update", overwrite_batch)
+    stored = spark.read.parquet(out)
+    last = stored.groupBy("user_id").agg(F.max("batch").alias("batch"))
+    return stored.join(last, ["user_id", "batch"], "left_semi").select("user_id", "prompt", "rank")
+
+
 def _stream_requests(spark, sf):
     events = _stream(spark, sf, "events", "event_id")
     return events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))

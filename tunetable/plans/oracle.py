@@ -656,3 +656,6 @@ select event_id, user_id, rank, rank <= 5 as admitted from ranked""",
 }
 ORACLE["q_stream_loss_min"] = ORACLE["q_loss_min"]
 ORACLE["q_stream_rate_limit"] = ORACLE["q_rate_counts"]
+ORACLE["q_stream_chunks"] = ORACLE["q_chunk_lines"]
+ORACLE["q_stream_recent"] = ORACLE["q_recent_prompts"]
+ORACLE["q_stream_reordered"] = f"select *, 0::bigint as gaps from ({ORACLE['q_stream_tokens']}) t"
