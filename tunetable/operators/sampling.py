@@ -202,12 +202,49 @@ def row_index_hashed(
     return _number(df, keys, hash_prefix(digest), [digest, F.col(key)], name)
 
 
-def row_index_ordered(df: DataFrame, key: str, name: str = "row_index") -> DataFrame:
+def _among_equal(rows: DataFrame, key: str, content: Column, name: str) -> DataFrame:
+    """Numbers the rows of each key from 0 in the order of ``content``, a 64-bit value.
+
+    Equal contents are told apart by the stored file they are in. Counts go up in three steps: rows of one
+    content in one file, those of a 65,536th of the contents, and these ranges of a key. Each sum
+    is over few rows, and so is each ranking, also where one key or one content has most of all rows.
+    """
+    part = F.shiftright("_content", 48)
+    stored = written(rows.withColumn("_content", content).withColumn("_file", F.spark_partition_id()), "equal-keys")
+    k = F.col(key).alias("_k")
+    small = stored.groupBy(k, part.alias("_part"), "_content", "_file").agg(F.count("*").alias("_n"))
+    small = written(small, "equal-counts")
+    ranges = small.groupBy("_k", "_part").agg(F.sum("_n").alias("_m"))
+
+    def earlier(n: str, *by: str, order: tuple[str, ...]) -> Column:
+        before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(n).over(before), F.lit(0))
+
+    ranges = ranges.withColumn("_before", earlier("_m", "_k", order=("_part",))).drop("_m")
+    small = small.withColumn("_inside", earlier("_n", "_k", "_part", order=("_content", "_file")))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("_k", "_part")]
+    first = small.alias("s").join(ranges.alias("r"), same).select(
+        "s._k", "s._content", "s._file", (F.col("_before") + F.col("_inside")).alias("_start")
+    )
+    among = F.row_number().over(Window.partitionBy(key, "_content", "_file").orderBy(F.lit(0))) - 1
+    numbered = stored.withColumn("_nth", among).alias("d")
+    on = F.col(f"d.{key}").eqNullSafe(F.col("f._k"))
+    on = on & (F.col("d._content") == F.col("f._content")) & (F.col("d._file") == F.col("f._file"))
+    joined = numbered.join(first.alias("f"), on)
+    return joined.select(
+        *(F.col(f"d.{c}") for c in rows.columns), (F.col("_start") + F.col("_nth")).alias(name)
+    )
+
+
+def row_index_ordered(
+    df: DataFrame, key: str, name: str = "row_index", content: Column | None = None
+) -> DataFrame:
     """Dense row index in the order of a key of any orderable type.
 
     Only the distinct keys are sorted: Spark cuts them into ranges by their number, the stored ranges
     are counted, and each is summed up by itself. The rows are joined with their numbers by key. Rows
-    with the same key are numbered one after another, in no particular order.
+    with the same key are numbered one after another, in the order of ``content`` (a 64-bit value, by
+    default a hash of all columns; rows that are equal in it in any order).
     """
     keys = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows")).orderBy("_key")
     ranges = written(keys.withColumn("_part", F.spark_partition_id()), "index-ranges")
@@ -218,12 +255,12 @@ def row_index_ordered(df: DataFrame, key: str, name: str = "row_index") -> DataF
     inside = Window.partitionBy("_part").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_before") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))
     numbered = ranges.join(F.broadcast(offsets), "_part").select("_key", first.alias("_first"))
-    among = F.row_number().over(Window.partitionBy("_key").orderBy("_key")) - 1
-    return (
-        df.join(numbered, F.col(key).eqNullSafe(F.col("_key")))
-        .withColumn(name, F.col("_first") + among)
-        .drop("_key", "_first")
-    )
+    rows = df.join(numbered, F.col(key).eqNullSafe(F.col("_key")))
+    if ranges.filter("_rows > 1").isEmpty():
+        return rows.withColumn(name, F.col("_first")).drop("_key", "_first")
+    content = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)) if content is None else content
+    rows = _among_equal(rows.drop("_key"), key, content, "_among")
+    return rows.withColumn(name, F.col("_first") + F.col("_among")).drop("_first", "_among")
 
 
 ACCUMULATION_STEPS = 4

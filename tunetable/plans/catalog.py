@@ -7,18 +7,21 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tunetable.functions import prompts, quality
 from tunetable.functions.formats import exponent, fixed
 from tunetable.functions.quality import QualityRules
 from tunetable.functions.text import alnum_tokens, extract_code, or_empty, strip, word_count
 from tunetable.operators import (
+    admission,
     alignment,
     bleu,
     bootstrap,
     frames,
     lengths,
     perplexity,
+    positions,
     prep,
     report,
     rouge,
@@ -773,6 +776,83 @@ def q_split_publish(spark, sf):
     return published.select("doc_id", "lang", "n_chars", "split")
 
 
+def _lines_of(rows, label):
+    """A table of a column ``value`` as text files, in the order of its key."""
+    path = scratch_path(rows.sparkSession, label)
+    rows.orderBy(*(c for c in rows.columns if c != "value")).select("value").write.text(path)
+    return path
+
+
+@query
+def q_align_positional(spark, sf):
+    """Predictions and references without keys, paired by line; one prediction of nine is missing."""
+    rows = inputs.predictions(spark, sf).filter("model = 'finetuned'")
+    short = F.conv(F.substring(F.md5("sample_id"), 1, 8), 16, 10).cast("long") % 9 != 0
+    line = lambda name: F.to_json(F.struct(name)).alias("value")
+    preds = _lines_of(rows.filter(short).select("sample_id", line("prediction")), "predictions")
+    refs = _lines_of(rows.select("sample_id", line("reference")), "references")
+    return positions.align_by_position(spark, preds, refs)
+
+
+@query
+def q_occurrence_keys(spark, sf):
+    """Lines of all documents as a file without keys: digest and occurrence number of each."""
+    lines = table(spark, sf, "documents").select(
+        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
+    )
+    value = F.to_json(F.struct("doc_id", "line_no", "line")).alias("value")
+    rows = positions.text_rows(spark, _lines_of(lines.select("doc_id", "line_no", value), "keyless"))
+    rows = positions.json_rows(rows, "doc_id long, line_no int, line string")
+    return positions.occurrence_keys(rows, "line").select("doc_id", "line_no", "row_key")
+
+
+@query
+def q_bad_rows(spark, sf):
+    """Malformed, incomplete and mistyped lines among documents written as JSON lines, with their places."""
+    n = F.col("doc_id") % 23
+    whole = F.to_json(F.struct("doc_id", "text", "n_chars"))
+    value = (
+        F.when(n == 1, F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string")))
+        .when(n == 2, F.concat(whole, F.lit(" {}")))
+        .when(n == 3, F.to_json(F.array("text")))
+        .when(n == 4, F.to_json(F.struct("doc_id", "n_chars")))
+        .when(n == 5, F.to_json(F.struct("doc_id", F.col("n_chars").cast("string").alias("n_chars"), "text")))
+        .when(n == 6, F.to_json(F.struct("doc_id", F.col("n_chars").alias("text"), F.lit(True).alias("n_chars"))))
+        .otherwise(whole)
+    )
+    path = _lines_of(table(spark, sf, "documents").select("doc_id", value.alias("value")), "mixed")
+    schema = StructType(
+        [
+            StructField("doc_id", LongType(), False),
+            StructField("text", StringType(), False),
+            StructField("n_chars", LongType()),
+        ]
+    )
+    good, bad = positions.read_with_bad_rows(spark, path, schema)
+    kept = good.select("position", F.lit("").alias("reason"), "doc_id")
+    return kept.unionByName(bad.select("position", "reason", F.lit(None).cast("long").alias("doc_id")))
+
+
+@query
+def q_number_equal_keys(spark, sf):
+    """Dense numbers where one key has a third of all rows: equal keys in the order of a digest."""
+    first = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 15), 16, 10).cast("long")
+    rows = table(spark, sf, "documents").select(
+        F.when(F.col("doc_id") % 3 == 0, "every third").otherwise(F.col("source")).alias("key"),
+        F.coalesce(first, F.lit(-1)).alias("digest"),
+    )
+    return sampling.row_index_ordered(rows, "key", "number", F.col("digest"))
+
+
+@query
+def q_first_hit_batch(spark, sf):
+    """First-hit windows of a day over the whole log, a client's log cut into spans of two days."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return admission.first_hit_admission(events, "user_id", seconds=24 * 3600, span=2).select(
+        "event_id", "user_id", "rank", "admitted"
+    )
+
+
 @query
 def q_csv_append(spark, sf):
     """The loss log appended twice and read back."""

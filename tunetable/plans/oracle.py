@@ -659,3 +659,25 @@ ORACLE["q_stream_rate_limit"] = ORACLE["q_rate_counts"]
 ORACLE["q_stream_chunks"] = ORACLE["q_chunk_lines"]
 ORACLE["q_stream_recent"] = ORACLE["q_recent_prompts"]
 ORACLE["q_stream_reordered"] = f"select *, 0::bigint as gaps from ({ORACLE['q_stream_tokens']}) t"
+ORACLE["q_first_hit_batch"] = ORACLE["q_stream_first_hit"]
+ORACLE["q_align_positional"] = f"""with {PREDICTIONS}, f as (
+  select sample_id, prediction, reference from predictions where model = 'finetuned'),
+p as (select prediction, row_number() over (order by sample_id) - 1 as position from f
+  where ('0x' || substr(md5(sample_id), 1, 8))::bigint % 9 <> 0),
+r as (select reference, row_number() over (order by sample_id) - 1 as position from f)
+select position, prediction, reference from p join r using (position)"""
+ORACLE["q_occurrence_keys"] = f"""with s as (
+  select doc_id, string_split(text, {NL}) as s from documents where text is not null),
+l as (select doc_id, unnest(range(len(s)))::integer as line_no, unnest(s) as line from s)
+select doc_id, line_no, concat(md5(line), ':', row_number() over (partition by line order by doc_id, line_no)) as row_key
+from l"""
+ORACLE["q_bad_rows"] = """with n as (
+  select doc_id, doc_id % 23 as n, row_number() over (order by doc_id) - 1 as position from documents),
+r as (select *, case n when 1 then 'malformed' when 2 then 'malformed' when 3 then 'not an object'
+  when 4 then 'missing: text' when 5 then 'type: n_chars' when 6 then 'type: text, n_chars' else '' end as reason
+  from n)
+select position, reason, case when reason = '' then doc_id end as doc_id from r"""
+ORACLE["q_number_equal_keys"] = """with k as (
+  select case when doc_id % 3 = 0 then 'every third' else source end as key,
+    coalesce(('0x' || substr(md5(text), 1, 15))::bigint, -1) as digest from documents)
+select key, digest, row_number() over (order by key nulls first, digest) - 1 as number from k"""
