@@ -52,7 +52,7 @@ def text_scores(
 
     The pairs cross the network once, after the Python steps (stems, subsequence length). Both
     tokenisations are matched in one pass where a pair is, and one aggregation per model finishes
-    every metric. ``keys`` (with ``model``) must be unique per pair.
+    every metric. ``keys`` tell where a pair is placed; pairs with equal keys count one by one.
     """
     texts = with_lcs(normalized(pairs, (*keys, "prediction", "reference"), use_stemmer))
     tokens = with_tokens(placed(texts, keys)).select(

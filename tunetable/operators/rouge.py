@@ -45,8 +45,10 @@ def gram_matches(
     """Keys and, per scheme and order, ``<name>_match_n``, ``<name>_pred_n``, ``<name>_ref_n``.
 
     Matches are clipped multiset matches. All schemes and orders come out of one pass; ``carry``
-    names further columns of the pair to keep.
+    names further columns of the pair to keep. Rows with equal keys are pairs of their own: each row is
+    numbered where it lies, and nothing is moved before the sums are complete.
     """
+    tokens = tokens.withColumn("_row", F.monotonically_increasing_id())
     labels = [(g.name, n) for g in schemes for n in g.orders]
     sides = F.array(
         *[
@@ -60,7 +62,7 @@ def gram_matches(
             for is_pred in (True, False)
         ]
     )
-    group = [*keys, *carry]
+    group = [*keys, *carry, "_row"]
     present = F.col("gram").isNotNull()
     counted = (
         tokens.select(*group, F.inline(sides))
@@ -81,7 +83,7 @@ def gram_matches(
         for i, (name, n) in enumerate(labels)
         for kind in ("match", "pred", "ref")
     ]
-    return per_label.groupBy(*group).agg(*sums)
+    return per_label.groupBy(*group).agg(*sums).drop("_row")
 
 
 def f_measure(match: Column, n_pred: Column, n_ref: Column) -> Column:

@@ -646,7 +646,10 @@ def q_stream_tokens(spark, sf):
     turns = _stream(spark, sf, "conversations", "conv_id").select(
         F.concat_ws(":", "conv_id", "turn").alias("stream"), "text"
     )
-    folded = live_tokens.fold_stream(frames.encode_frames(turns, ("stream",)), "stream")
+    lines = frames.encode_frames(turns, ("stream",)).withColumn(
+        "ts", F.timestamp_millis(F.lit(1_700_000_000_000) + 28 * F.col("seq"))
+    )
+    folded = live_tokens.fold_stream(lines, "stream", "ts")
     return spark.read.schema(folded.schema).parquet(append_to_files(folded, "streams"))
 
 

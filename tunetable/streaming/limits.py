@@ -22,7 +22,11 @@ def live_window_counts(
     window: str = WINDOW,
     lateness: str = LATENESS,
 ) -> DataFrame:
-    """Clock-aligned windows: updated counts per micro-batch; state expires with the watermark."""
+    """Clock-aligned windows: updated counts per micro-batch; state expires with the watermark.
+
+    Requests of windows that ended more than ``lateness`` before the newest request of earlier
+    micro-batches are discarded and not counted; raise it if requests come later.
+    """
     return window_counts(requests.withWatermark("ts", lateness), key, limit, window)
 
 

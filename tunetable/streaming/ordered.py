@@ -217,12 +217,12 @@ def whole_streams(prefixes: DataFrame, stream: str) -> DataFrame:
     """The stored prefixes put together: one row per stream, of its last attempt."""
     piece = F.struct("first", "text", "n", "done", "gaps")
     last = prefixes.groupBy(stream, "attempt").agg(F.sort_array(F.collect_list(piece)).alias("p"))
-    latest = F.max(F.struct("attempt", "p")).alias("s")
-    end = F.element_at("s.p", -1)
+    latest = F.max(F.struct("attempt", "p")).alias("_s")
+    end = F.element_at("_s.p", -1)
     return last.groupBy(stream).agg(latest).select(
         stream,
-        F.array_join("s.p.text", "").alias("text"),
-        F.aggregate("s.p.n", F.lit(0).cast("long"), lambda a, n: a + n).alias("token_count"),
+        F.array_join("_s.p.text", "").alias("text"),
+        F.aggregate("_s.p.n", F.lit(0).cast("long"), lambda a, n: a + n).alias("token_count"),
         end["done"].alias("done"),
         end["gaps"].alias("gaps"),
     )

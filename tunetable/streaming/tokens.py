@@ -13,12 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tunetable.operators.frames import parse_lines
 
 STATE_SCHEMA = "text string, token_count long, finished boolean, attempt long"
-IDLE = "1 hour"  # event time after which an unfinished stream is given up
-IDLE_MS = 3_600_000
+IDLE = 3600  # seconds of event time after which an unfinished stream is given up
 
 
 def _fold(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, expires: bool
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None
 ) -> Iterator[tuple]:
     """Adds the batch's tokens to the state; emits the stream when it is done or given up.
 
@@ -48,25 +47,33 @@ def _fold(
             pieces.append(token)
             count += 1
     state.update(("".join(pieces), count, finished, attempt))
-    if expires:
+    if idle_ms is not None:
         latest = int(max(ms for *_, ms in rows))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + IDLE_MS)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
 
 
 def fold_stream(
-    lines: DataFrame, stream: str, ts: str | None = None, attempt: str | None = None
+    lines: DataFrame,
+    stream: str,
+    ts: str | None = None,
+    attempt: str | None = None,
+    idle: int = IDLE,
 ) -> DataFrame:
     """Streaming lines (``stream``, ``seq``, ``line``) -> one row per finished stream.
 
     With an event time ``ts`` the state of idle streams is removed, and streams that never finished
     are emitted with ``done`` false; without one the state is kept. ``attempt`` numbers the starts of a
     stream from 0; a new start resets its text and count. Frames of one stream have to arrive in
-    order from micro-batch to micro-batch; within one they are sorted.
+    order from micro-batch to micro-batch; within one they are sorted (``streaming.ordered`` takes any order).
+
+    ``idle`` seconds of event time is how long a stream may pause and how late a frame may come: frames that lie
+    further behind the newest one of earlier micro-batches are discarded by the watermark, whole
+    streams of them without a row. Without ``ts`` nothing is discarded.
     """
     frames = parse_lines(lines)
     millis = F.lit(0).cast("long")
     if ts is not None:
-        frames = frames.withWatermark(ts, IDLE)
+        frames = frames.withWatermark(ts, f"{idle} seconds")
         millis = F.unix_millis(ts)
     start = F.lit(0) if attempt is None else F.col(attempt)
     carried = [stream, start.cast("long").alias("attempt"), "seq", "token", "done", millis.alias("ms")]
@@ -75,8 +82,10 @@ def fold_stream(
     schema = f"`{stream}` {key_type}, text string, token_count long, done boolean"
     names = [stream, "text", "token_count", "done"]
 
+    idle_ms = None if ts is None else 1000 * idle
+
     def fold(key, batches, state):
-        for row in _fold(key, batches, state, ts is not None):
+        for row in _fold(key, batches, state, idle_ms):
             yield pd.DataFrame([row], columns=names)
 
     timeout = GroupStateTimeout.NoTimeout if ts is None else GroupStateTimeout.EventTimeTimeout
