@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tunetable.operators import admission, positions, report, sampling
+from tunetable.operators import admission, fused, positions, report, sampling
 from tunetable.session import scratch_path
-from tunetable.streaming import ordered
+from tunetable.streaming import ordered, snapshots
 from tunetable.streaming.runs import append_to_files, each_batch, file_stream, overwrite_batch
 
 
@@ -224,3 +224,39 @@ def test_scores_of_repeated_keys_count_row_by_row(spark):
     got = report.text_scores(spark.createDataFrame([pairs[0], *pairs], schema)).first().asDict()
     want = report.text_scores(spark.createDataFrame(unique, schema)).first().asDict()
     assert got == want and got["num_samples"] == 3
+
+
+def test_fused_metrics_share_one_exchange(spark):
+    rows = [("m", "a b", "a b "), ("m", "a", "b c"), ("m", None, None), ("n", "x", "")]
+    pairs = spark.createDataFrame(rows, "model string, prediction string, reference string")
+    names = ("exact_match", "length_ratio", "length_error")
+    scores = fused.fused_scores(pairs, names)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    got = {r["model"]: r.asDict() for r in scores.collect()}
+    assert got["m"] == {
+        "model": "m", "exact_match": 2 / 3, "length_ratio": 3 / 4, "length_rmse": (1 / 3) ** 0.5, "length_max_error": 1.0,
+    }
+    assert got["n"]["length_ratio"] is None and got["n"]["exact_match"] == 0
+    fused.register_fused("again", fused.exact_match)
+    with pytest.raises(ValueError, match="exact_match"):
+        fused.fused_scores(pairs, ("exact_match", "again"))
+    long = fused.evaluate_fused(pairs, names)
+    wide = report.evaluate(pairs.withColumn("sample_id", F.lit(1)), ("text",), long, ("rougeL", "exact_match", "num_samples"))
+    assert {r["model"]: r["exact_match"] for r in wide.collect()} == {"m": 2 / 3, "n": 0.0}
+
+
+def test_versions_of_a_growing_log(spark):
+    batches = [[(i, 10 * i)] * (i + 1) for i in range(5)]
+    folder = snapshots.versioned_log(streamed(spark, batches, "a int, b int"), "versions", compact_after=2)
+    known = {r["version"]: (len(r["parts"]), r["n_rows"]) for r in snapshots.versions(spark, folder).collect()}
+    assert known == {0: (1, 1), 1: (2, 3), 2: (1, 6), 3: (2, 10), 4: (1, 15)}
+    for version in known:
+        rows = Counter(r["a"] for r in snapshots.read_version(spark, folder, version).collect())
+        assert rows == {i: i + 1 for i in range(version + 1)}
+    assert snapshots.read_version(spark, folder).count() == 15
+    # rows of a batch that did not commit are not seen
+    spark.createDataFrame([(9, 9)], "a int, b int").write.parquet(f"{folder}/parts/5")
+    assert snapshots.read_version(spark, folder).count() == 15
+    with pytest.raises(ValueError, match="no such version"):
+        snapshots.read_version(spark, folder, 77)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from tunetable.operators import (
     bleu,
     bootstrap,
     frames,
+    fused,
     lengths,
     perplexity,
     positions,
@@ -37,7 +38,7 @@ from tunetable.sources import inline, readers, writers
 from tunetable.sources.schemas import INSTRUCTIONS
 from tunetable.streaming import limits as live_limits
 from tunetable.streaming import loss as live_loss
-from tunetable.streaming import ordered
+from tunetable.streaming import ordered, snapshots
 from tunetable.streaming import tokens as live_tokens
 from tunetable.streaming.runs import append_to_files, each_batch, file_stream, overwrite_batch, slices
 
@@ -641,6 +642,22 @@ def q_stream_loss_min(spark, sf):
     )
 
 
+@query
+def q_loss_snapshots(spark, sf):
+    """The loss log as each of its versions shows it: points, runs and smallest loss."""
+    log = live_loss.live_log(inputs.loss_log_of(_stream(spark, sf, "events", "event_id")))
+    folder = snapshots.versioned_log(log, "loss-versions", compact_after=2)
+    parts = []
+    for row in snapshots.versions(spark, folder).orderBy("version").collect():
+        seen = snapshots.read_version(spark, folder, row["version"]).agg(
+            F.count("*").alias("n_points"),
+            F.count_distinct("run_id").alias("n_runs"),
+            F.min("loss").alias("min_loss"),
+        )
+        parts.append(seen.withColumn("version", F.lit(row["version"]).cast("long")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def q_stream_tokens(spark, sf):
     turns = _stream(spark, sf, "conversations", "conv_id").select(
@@ -786,6 +803,15 @@ def _lines_of(rows, label):
     return path
 
 
+@query
+def q_eval_fused(spark, sf):
+    """Three metrics of both models from one aggregation."""
+    scores = fused.evaluate_fused(
+        inputs.predictions(spark, sf), ("exact_match", "length_ratio", "length_error")
+    )
+    return scores.withColumn("value", F.round("value", 6))
+
+
 @query
 def q_align_positional(spark, sf):
     """Predictions and references without keys, paired by line; one prediction of nine is missing."""

@@ -681,3 +681,17 @@ ORACLE["q_number_equal_keys"] = """with k as (
   select case when doc_id % 3 = 0 then 'every third' else source end as key,
     coalesce(('0x' || substr(md5(text), 1, 15))::bigint, -1) as digest from documents)
 select key, digest, row_number() over (order by key nulls first, digest) - 1 as number from k"""
+ORACLE["q_loss_snapshots"] = f"""with {TYPED_LOG}, b as (
+  select min(event_id) as low, (max(event_id) - min(event_id)) // 3 + 1 as width from events),
+p as (select run_id, round(loss, 6) as loss,
+    (case when step >= 3000000000 then step - 3000000000 else step end - low) // width as third
+  from typed, b where loss is not null)
+select version, count(*) as n_points, count(distinct run_id) as n_runs, min(loss) as min_loss
+from (select unnest(range(3)) as version) v join p on third <= version group by version"""
+ORACLE["q_eval_fused"] = f"""with {PREDICTIONS}, w as (
+  select model, ({strip("coalesce(prediction, '')")} = {strip("coalesce(reference, '')")})::integer as same,
+    {n_words("coalesce(prediction, '')")} as p, {n_words("coalesce(reference, '')")} as r from predictions),
+s as (select model, sum(same) / count(*) as same, sum(p) / nullif(sum(r), 0) as ratio,
+    sqrt(sum((p - r) * (p - r)) / count(*)) as rmse, max(abs(p - r))::double as most from w group by model)
+select model, unnest(['exact_match', 'length_ratio', 'length_rmse', 'length_max_error']) as metric,
+  round(unnest([same, ratio, rmse, most]), 6) as value from s"""
