@@ -45,7 +45,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = groups.filter("n > 0").groupBy(*KEY).count().filter("count > 1")
     if not repeated.isEmpty():
         nothing = ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"\S")
-        kept = kept.filter(nothing).unionByName(kept.filter(~nothing).dropDuplicates(KEY))
+        # of rows equal in doc_id and text, the same one in every run
+        first = F.min_by("row", F.xxhash64("row")).alias("row")
+        same = kept.filter(~nothing).groupBy(*KEY).agg(first)
+        kept = kept.filter(nothing).unionByName(same)
     return kept.select("row.*")
 
 
