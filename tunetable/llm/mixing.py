@@ -33,8 +33,9 @@ SEED = 42
 #: Slots per run of ranks, and binary digits of a van der Corput point.
 RUN = 1 << 16
 DIGITS = 48
-#: Cells of [0, 1) in which slots look for their source.
+#: Cells of [0, 1) in which slots look for their source: at least so many, and so many per source.
 CELLS = 1 << 12
+CELLS_PER_SOURCE = 4
 
 KEY = ["k_id", "k_tie"]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,7 +102,8 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
     """(s, rank, slot): which source each slot of the mix draws from, and the number of slots."""
     blocks = F.ceil(F.col("words") / block).cast("long")
     shares = targets.filter("words > 0").select("s", blocks.alias("blocks"))
-    total = shares.agg(F.sum("blocks")).first()[0] or 0
+    sums = shares.agg(F.sum("blocks").alias("blocks"), F.count("*").alias("sources")).first()
+    total, cells = sums["blocks"] or 0, max(CELLS, CELLS_PER_SOURCE * sums["sources"])
     shares = _ranked(shares.select("s", "blocks"), [F.col("s").asc()], "r").drop("r")
     run = F.floor(F.col("s") / RUN)
     ends = shares.groupBy(run.alias("g")).agg(F.sum("blocks").alias("n"))
@@ -115,8 +117,8 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
     parts = shares.select("s", low.alias("low"), high.alias("high"))
     cell = F.explode(
         F.sequence(
-            F.floor(F.col("low") * CELLS),
-            F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1).cast("long")),
+            F.floor(F.col("low") * cells),
+            F.least(F.floor(F.col("high") * cells), F.lit(cells - 1).cast("long")),
         )
     )
     parts = checked(parts.select("s", "low", "high", cell.alias("cell")), "shares")
@@ -124,7 +126,7 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
     digits = F.reverse(F.lpad(F.bin("id"), DIGITS, "0"))
     point = F.conv(digits, 2, 10).cast("double") / float(1 << DIGITS)
     slots = spark.range(total).select(F.col("id").alias("slot"), point.alias("x"))
-    slots = slots.withColumn("cell", F.floor(F.col("x") * CELLS)).join(parts, "cell")
+    slots = slots.withColumn("cell", F.floor(F.col("x") * cells)).join(parts, "cell")
     slots = slots.filter("x >= low and x < high").select("s", "slot")
     slots = written(slots.withColumn("run", F.floor(F.col("slot") / RUN)), "slots")
     counts = slots.groupBy("s", "run").agg(F.count("*").alias("n"))
@@ -212,9 +214,8 @@ def mix(
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document its size, its source's size and target, and the words that the mix takes of it."""
-    out = mixed_rows(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    """Per document its size, its source's size and target, the words taken of it and the slots that draw them."""
+    return mixed_rows(table(spark, sf_dir, "documents"))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
@@ -231,7 +232,8 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", taken, *slots)
 
 
-#: The same in SQL: the closed form of the targets, and the overlap of each document with the taken words.
+#: The same in SQL: the closed form of the targets, the van der Corput schedule, and the overlap of each
+#: document with the blocks that slots draw.
 SQL = r"""
 with doc as (
   select doc_id, source,
@@ -255,16 +257,43 @@ level as (
       then (budget - stopped)::double / free end), 0) as level
   from filled),
 target as (
-  select source, source_size, least((2 * source_size)::double, level * weight) as target
+  select source, s, source_size, least((2 * source_size)::double, level * weight) as target
   from weighed, level),
 placed as (
-  select d.doc_id, d.size, t.source_size, t.target, floor(t.target)::bigint as words,
+  select d.doc_id, d.size, t.s, t.source_size, t.target, floor(t.target)::bigint as words,
     coalesce(sum(d.size) over (
       partition by d.source order by md5('42:' || coalesce(d.doc_id::varchar, '')), d.doc_id
       rows between unbounded preceding and 1 preceding), 0) as begin_at
-  from doc d join target t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  (greatest(0, least(begin_at + size, words) - begin_at)
-   + greatest(0, least(source_size + begin_at + size, words) - source_size - begin_at))::bigint as taken
-from placed
+  from doc d join target t on d.source is not distinct from t.source),
+share as (
+  select s, ceil(floor(target) / 1024)::bigint as blocks,
+    coalesce(sum(ceil(floor(target) / 1024)) over (order by s rows between unbounded preceding and 1 preceding), 0)
+      as before,
+    (sum(ceil(floor(target) / 1024)) over ())::bigint as total
+  from target where target >= 1),
+point as (
+  select slot, list_sum(list_transform(range(48), lambda k: ((slot >> k::integer) & 1) / pow(2.0, k + 1))) as x
+  from (select unnest(range((select max(total) from share))) as slot)),
+owned as (
+  select s, slot, row_number() over (partition by s order by slot) - 1 as rank
+  from point asof join (select s, before / total::double as low from share) p on x >= low),
+late as (
+  select s, rank, (select max(total) from share) + row_number() over (order by rank, s) - 1 as slot
+  from (select s, unnest(range(blocks)) as rank from share) b
+  where not exists (from owned o where o.s = b.s and o.rank = b.rank)),
+drawn as (select s, rank, slot from owned union all select s, rank, slot from late),
+span as (
+  select doc_id, s, begin_at + pass * source_size as a,
+    least(begin_at + pass * source_size + size, words) as b
+  from placed, (values (0), (1)) v(pass) where size > 0),
+piece as (
+  select doc_id, s, a, b, unnest(range((a // 1024)::bigint, ((b - 1) // 1024)::bigint + 1)) as rank
+  from span where b > a),
+got as (
+  select doc_id, sum(least(b, (rank + 1) * 1024) - greatest(a, rank * 1024)) as taken,
+    min(slot) as first_slot, count(distinct slot) as n_slots
+  from piece join drawn using (s, rank) group by doc_id)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken,
+  first_slot::bigint as first_slot, coalesce(n_slots, 0)::bigint as n_slots
+from placed left join got using (doc_id)
 """
