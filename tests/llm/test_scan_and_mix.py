@@ -75,6 +75,42 @@ def test_shunting_yard_matches_truth_tables():
         assert license_scan.evaluate(bad) is None, bad
 
 
+TAGGED = [
+    ("SPDX-License-Identifier: banana", "spdx:unknown", None, 0.0),
+    ("SPDX-License-Identifier: mitre-x", "spdx:unknown", None, 0.0),
+    ("SPDX-License-Identifier: MIT # see LICENSE", "spdx:mit", True, 1.0),
+    ("# SPDX-License-Identifier: MIT. More prose", "spdx:mit", True, 1.0),
+    ("<!-- SPDX-License-Identifier: MIT-0 -->", "spdx:mit-0", True, 1.0),
+    ("SPDX-License-Identifier: MIT/Apache-2.0", "spdx:apache-2.0,spdx:mit", True, 1.0),
+    ("SPDX-License-Identifier: MIT, GPL-3.0-only", "spdx:gpl-3.0-only,spdx:mit", False, 1.0),
+    ("SPDX-License-Identifier: MIT, see LICENSE", "spdx:mit", True, 1.0),
+    ("SPDX-License-Identifier: MIT OR # later", "spdx:malformed", None, 0.0),
+    ("SPDX-License-Identifier: (MIT", "spdx:malformed", None, 0.0),
+    ("SPDX-License-Identifier:", "spdx:malformed", None, 0.0),
+    ("License-Expression: LGPL-2.1+ OR BSD-2-Clause", "spdx:bsd-2-clause,spdx:lgpl-2.1+", True, 1.0),
+    ("SPDX-License-Identifier: LicenseRef-Own AND MIT", "spdx:licenseref-own,spdx:mit", False, 1.0),
+    ("SPDX-License-Identifier: MIT AND banana", "spdx:mit,spdx:unknown", False, 1.0),
+    ("SPDX-License-Identifier: GPL-2.0 WITH banana", "spdx:unknown", None, 0.0),
+    ("SPDX-License-Identifier: CC-BY-SA-4.0\nSPDX-License-Identifier: CC-BY-4.0", "spdx:cc-by-4.0,spdx:cc-by-sa-4.0", False, 1.0),
+]
+
+
+@pytest.mark.parametrize("text, labels, permissive, score", TAGGED)
+def test_tags_name_known_identifiers(text, labels, permissive, score):
+    row = license_scan.scan(text.encode(), license_scan._automaton())
+    tagged = ",".join(x for x in row[5].split(",") if x.startswith("spdx:"))
+    assert (tagged, row[8]) == (labels, permissive)
+    assert row[6] >= score and (row[6] == 1.0) == (score == 1.0)
+    assert row[7] == text.lower().count("license-identifier") + text.lower().count("license-expression")
+
+
+def test_notices_hold_words_only():
+    for phrase in [*license_scan.BASE, *license_scan.NOTICES, *license_scan.TAGS]:
+        assert TOKEN.findall(phrase) == phrase.split(" ")
+    assert license_scan.PERMISSIVE <= license_scan.KNOWN
+    assert not any(x.startswith(("gpl", "cc-by-nc", "cc-by-nd", "cc-by-sa")) for x in license_scan.PERMISSIVE)
+
+
 def filled(sizes, weights=(5, 2, 1)):
     """Targets by handing the excess out again until no source is above its limit."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode())

@@ -4,6 +4,11 @@ Words are the runs outside `[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-cas
 runs over the words joined by single spaces, so a phrase is found wherever its words stand
 consecutively, also where places overlap. Where it meets an identifier tag, the expression after the
 tag is parsed with operators `or` < `and` < `with` and parentheses, and evaluated.
+
+An expression ends at the first token that cannot continue it (`MIT # see LICENSE` is `mit`); if what
+stands before is not whole (`MIT or`), it is `spdx:malformed`. Between identifiers that are known, `/` reads as `or` and
+`,` as `and`. Known are the identifiers of FAMILIES and SINGLE, each also with a trailing `+`, custom
+`licenseref-` names, and a known identifier `with` one of EXCEPTIONS; any other name becomes `spdx:unknown`.
 """
 
 from __future__ import annotations
@@ -27,25 +32,95 @@ BASE = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Further notices, labelled only.
+#: Further notices, labelled only.
 NOTICES = {
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
     "mozilla public license": "mpl",
     "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "microsoft public license": "ms-pl",
+    "artistic license": "artistic",
+    "academic free license": "afl",
+    "open software license": "osl",
+    "boost software license": "bsl",
+    "python software foundation license": "psf",
+    "sil open font license": "ofl",
+    "server side public license": "sspl",
+    "business source license": "busl",
     "bsd license": "bsd",
+    "redistribution and use in source and binary forms": "bsd",
+    "permission is hereby granted free of charge": "mit",
+    "permission to use copy modify and or distribute this software": "isc",
+    "this is free and unencumbered software": "unlicense",
     "isc license": "isc",
+    "zlib license": "zlib",
     "cc0": "cc0",
+    "creative commons zero": "cc0",
+    "creative commons attribution": "cc-by",
     "cc by nc": "cc-by-nc",
     "cc by nd": "cc-by-nd",
     "cc by sa": "cc-by-sa",
+    "open database license": "odbl",
     "public domain": "public-domain",
     "all rights reserved": "all-rights-reserved",
 }
-TAG = "spdx license identifier"
-#: Identifiers (up to their version) that allow use with attribution only.
-PERMISSIVE = ("0bsd", "apache", "bsd", "cc-by", "cc0", "isc", "mit", "unlicense", "zlib")
-NOT_PERMISSIVE = ("cc-by-nc", "cc-by-nd", "cc-by-sa")
+#: Words of the tags that an expression follows.
+TAGS = ("spdx license identifier", "license expression")
+#: Identifiers that exist in several versions, and the versions.
+FAMILIES = {
+    "afl": "1.1 1.2 2.0 2.1 3.0",
+    "agpl": "1.0 1.0-only 1.0-or-later 3.0 3.0-only 3.0-or-later",
+    "apache": "1.0 1.1 2.0",
+    "apsl": "1.0 1.1 1.2 2.0",
+    "artistic": "1.0 2.0",
+    "bsd": "1-clause 2-clause 3-clause 4-clause",
+    "bsl": "1.0",
+    "busl": "1.1",
+    "cc-by": "1.0 2.0 2.5 3.0 4.0",
+    "cc-by-nc": "1.0 2.0 2.5 3.0 4.0",
+    "cc-by-nc-nd": "1.0 2.0 2.5 3.0 4.0",
+    "cc-by-nc-sa": "1.0 2.0 2.5 3.0 4.0",
+    "cc-by-nd": "1.0 2.0 2.5 3.0 4.0",
+    "cc-by-sa": "1.0 2.0 2.5 3.0 4.0",
+    "cc0": "1.0",
+    "cddl": "1.0 1.1",
+    "cecill": "1.0 2.0 2.1 b c",
+    "epl": "1.0 2.0",
+    "eupl": "1.0 1.1 1.2",
+    "gfdl": "1.1 1.1-only 1.1-or-later 1.2 1.2-only 1.2-or-later 1.3 1.3-only 1.3-or-later",
+    "gpl": "1.0 1.0-only 1.0-or-later 2.0 2.0-only 2.0-or-later 3.0 3.0-only 3.0-or-later",
+    "lgpl": "2.0 2.0-only 2.0-or-later 2.1 2.1-only 2.1-or-later 3.0 3.0-only 3.0-or-later",
+    "mpl": "1.0 1.1 2.0",
+    "mulanpsl": "1.0 2.0",
+    "odbl": "1.0",
+    "ofl": "1.0 1.1",
+    "osl": "1.0 1.1 2.0 2.1 3.0",
+    "psf": "2.0",
+    "python": "2.0",
+    "sspl": "1.0",
+    "upl": "1.0",
+    "zpl": "1.1 2.0 2.1",
+}
+#: Identifiers without a version.
+SINGLE = "0bsd curl isc libpng mit mit-0 ms-pl ms-rl ncsa openssl php-3.01 postgresql ruby unlicense vim w3c wtfpl x11 zlib"
+#: Exceptions that may stand after `with`.
+EXCEPTIONS = frozenset(
+    "autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 classpath-exception-2.0 "
+    "font-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 linux-syscall-note llvm-exception "
+    "openssl-exception u-boot-exception-2.0 wxwindows-exception-3.1".split()
+)
+#: Families and single identifiers that allow use with attribution only.
+PERMISSIVE_FAMILIES = ("apache", "bsd", "bsl", "cc-by", "cc0", "mulanpsl", "psf", "python", "upl", "zpl")
+PERMISSIVE_SINGLE = "0bsd curl isc libpng mit mit-0 ncsa php-3.01 postgresql unlicense wtfpl x11 zlib"
+
+KNOWN = frozenset(f"{f}-{v}" for f, all_of in FAMILIES.items() for v in all_of.split()) | frozenset(SINGLE.split())
+PERMISSIVE = frozenset(f"{f}-{v}" for f in PERMISSIVE_FAMILIES for v in FAMILIES[f].split()) | frozenset(
+    PERMISSIVE_SINGLE.split()
+)
 
 RESULT = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
@@ -56,8 +131,9 @@ _WORDS = bytes(
     int(LOWER[c]) if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= LOWER[c] <= 0x7A else 0x20
     for c in range(256)
 )
-_EXPRESSION = re.compile(rb"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)")
-_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
+_EXPRESSION = re.compile(rb"(?:spdx-license-identifier|license-expression)[ \t]*:[ \t]*([^\r\n]*)")
+_TOKEN = re.compile(r"[ \t]*([()/,]|[a-z0-9]+(?:[.:-][a-z0-9]+)*\+?)")
+_SEPARATORS = {"/": "or", ",": "and"}
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -96,24 +172,56 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
-def _is_permissive(identifier: str) -> bool:
-    return identifier.startswith(PERMISSIVE) and not identifier.startswith(NOT_PERMISSIVE)
+def is_known(name: str) -> bool:
+    """Whether a name that `evaluate` returns is a known identifier, alone or with a known exception."""
+    identifier, _, exception = name.partition(" with ")
+    known = identifier.removesuffix("+") in KNOWN or identifier.startswith(("licenseref-", "documentref-"))
+    return known and (not exception or exception in EXCEPTIONS)
+
+
+def leading_tokens(line: str) -> list[str]:
+    """The tokens of a tag's line up to the first that cannot continue its expression."""
+    out: list[str] = []
+    depth, operand, at = 0, False, 0
+    while found := _TOKEN.match(line, at):
+        token, at = found[1], found.end()
+        if token in _SEPARATORS:
+            after = _TOKEN.match(line, at)
+            if not (operand and out[-1] != ")" and is_known(out[-1]) and after and is_known(after[1])):
+                break
+            token = _SEPARATORS[token]
+        follows = operand if token == ")" or token in _RANK else not operand
+        if not follows or (token == ")" and not depth):
+            break
+        depth += (token == "(") - (token == ")")
+        operand = token == ")" or (token != "(" and token not in _RANK)
+        out.append(token)
+    return out
 
 
 def evaluate(expression: str) -> tuple[list[str], bool] | None:
-    """(identifiers, whether some allowed choice is permissive); None if malformed.
+    """(identifiers, whether some allowed choice is permissive); None unless all of it is one expression."""
+    return _value(to_postfix(re.findall(r"[()]|[^\s()]+", expression.lower())))
+
+
+def evaluate_leading(line: str) -> tuple[list[str], bool] | None:
+    """The same for the expression that a tag's line begins with; None if that is not whole."""
+    return _value(to_postfix(leading_tokens(line.lower())))
+
+
+def _value(postfix: list[str] | None) -> tuple[list[str], bool] | None:
+    """Identifiers and verdict of an expression.
 
     `or` needs one permissive side, `and` both. `with` adds an exception to one identifier and does not
     make it permissive.
     """
-    postfix = to_postfix(_TOKEN.findall(expression.lower()))
     if postfix is None:
         return None
     names: list[str] = []
     stack: list[tuple[str | None, bool]] = []
     for token in postfix:
         if token not in _RANK:
-            stack.append((token, _is_permissive(token)))
+            stack.append((token, token.removesuffix("+") in PERMISSIVE))
             continue
         (right, free), (left, allowed) = stack.pop(), stack.pop()
         if token == "with":
@@ -134,7 +242,7 @@ def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for phrase, label in BASE.items():
         found.add_word(f" {phrase} ", (len(phrase) + 2, label, True))
-    for phrase, label in {**NOTICES, TAG: ""}.items():
+    for phrase, label in {**NOTICES, **dict.fromkeys(TAGS, "")}.items():
         found.add_word(f" {phrase} ", (len(phrase) + 2, label, False))
     found.make_automaton()
     return found
@@ -160,9 +268,12 @@ def scan(text: bytes, automaton: ahocorasick.Automaton) -> tuple:
     tags, verdicts = 0, []
     for found in _EXPRESSION.finditer(text.lower()) if tagged else ():
         tags += 1
-        value = evaluate(found[1].decode("latin-1").split("*/")[0].split("--")[0])
-        labels.update(f"spdx:{x}" for x in value[0]) if value else labels.add("spdx:malformed")
-        if value:
+        value = evaluate_leading(found[1].decode("latin-1"))
+        if value is None:
+            labels.add("spdx:malformed")
+            continue
+        labels.update(f"spdx:{x}" if is_known(x) else "spdx:unknown" for x in value[0])
+        if any(map(is_known, value[0])):
             verdicts.append(value[1])
     score = 1.0 if verdicts else 1.0 - 0.5 ** (places + notices)
     return (
@@ -182,7 +293,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`, with the columns of RESULT.
 
     A null text is empty: no words, empty labels, score 0. `permissive` is null without a well-formed
-    tag; with several tags all must be permissive.
+    tag that names a known licence; with several such tags all must be permissive, and an unknown name is not.
     """
     ship_package(docs.sparkSession)
 
