@@ -260,3 +260,26 @@ def test_versions_of_a_growing_log(spark):
     assert snapshots.read_version(spark, folder).count() == 15
     with pytest.raises(ValueError, match="no such version"):
         snapshots.read_version(spark, folder, 77)
+
+
+def test_blank_lines_count_when_asked_for(spark, tmp_path):
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.txt").write_text("x\n\n \ny\n")
+    (tmp_path / "lines" / "b.txt").write_text("\nz")
+    rows = positions.with_position(positions.text_rows(spark, str(tmp_path / "lines"), blank=True))
+    got = sorted((r["position"], r["value"]) for r in rows.collect())
+    assert got == [(0, "x"), (1, ""), (2, " "), (3, "y"), (4, ""), (5, "z")]
+    rows = positions.with_position(positions.text_rows(spark, str(tmp_path / "lines")))
+    assert sorted((r["position"], r["value"]) for r in rows.collect()) == [(0, "x"), (1, "y"), (2, "z")]
+
+
+def test_constants_that_the_sql_shares_with_the_library():
+    from tunetable.functions.text import WHITESPACE
+    from tunetable.operators.bootstrap import REPLICATES
+    from tunetable.operators.report import REVIEW_HEADER
+    from tunetable.sources.inline import REVIEW_PROMPTS, SAMPLE_ANSWERS
+
+    assert all(c.isspace() for c in WHITESPACE)
+    assert set(WHITESPACE) == {chr(c) for c in range(0x110000) if chr(c).isspace()}
+    assert REPLICATES == 1000 and REVIEW_HEADER.startswith("# Human Evaluation Benchmark\n\n")
+    assert len(REVIEW_PROMPTS) == len(SAMPLE_ANSWERS) == 3

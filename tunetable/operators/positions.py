@@ -11,15 +11,17 @@ from tunetable.session import written
 SPLIT = ("_file", "_block")
 
 
-def text_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(``_file``, ``_block``, ``_at``, ``value``): the lines of text files that are not blank, stored.
+def text_rows(spark: SparkSession, path: str | list[str], blank: bool = False) -> DataFrame:
+    """(``_file``, ``_block``, ``_at``, ``value``): the lines of text files, blank ones only if asked for, stored.
 
     ``_block`` is the byte where the line's input split begins and ``_at`` counts on within it, so
     (``_file``, ``_block``, ``_at``) is the order of the files by name and of their lines. A split is read by one
     task in order, so nothing is sorted or shuffled.
     """
     meta = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "_file"), ("file_block_start", "_block"))]
-    lines = spark.read.text(path).select(*meta, "value").filter(F.col("value").rlike(r"\S"))
+    lines = spark.read.text(path).select(*meta, "value")
+    if not blank:
+        lines = lines.filter(F.col("value").rlike(r"\S"))
     return written(lines.select(*SPLIT, F.monotonically_increasing_id().alias("_at"), "value"), "lines")
 
 

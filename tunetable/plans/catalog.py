@@ -764,6 +764,19 @@ def q_review_file(spark, sf):
     return lines.groupBy("line").agg(F.count("*").alias("n"))
 
 
+@query
+def q_review_places(spark, sf):
+    """Every line of the written review document with its number; the sample problems follow those of the tables."""
+    problems = inputs.pairs(spark, sf).select(
+        "sample_id", F.col("instruction").alias("prompt"), F.col("output").alias("generated_code")
+    )
+    samples = inline.review_problems(spark).withColumn("sample_id", F.concat(F.lit("sample:"), "prompt"))
+    blocks = report.review_report(problems.unionByName(samples), "sample_id")
+    path = writers.write_review(blocks, scratch_path(spark, "review"))
+    lines = positions.with_position(positions.text_rows(spark, path, blank=True))
+    return lines.select((F.col("position") + 1).alias("line_no"), F.col("value").alias("line"))
+
+
 @query
 def q_jsonl_roundtrip(spark, sf):
     rows = sampling.split_stable(_formatted_docs(spark, sf), "doc_id").drop("doc_id")

@@ -8,7 +8,7 @@ from tunetable.operators.bootstrap import PER_DIGEST, REPLICATES, poisson_thresh
 from tunetable.operators.report import REVIEW_HEADER, REVIEW_RUBRIC
 from tunetable.plans.inputs import REWORDED
 from tunetable.plans.stems import STEMMED_TOKENS
-from tunetable.sources.inline import EXAMPLE_PROMPTS
+from tunetable.sources.inline import EXAMPLE_PROMPTS, REVIEW_PROMPTS, SAMPLE_ANSWERS
 
 
 def text(s: str) -> str:
@@ -317,6 +317,8 @@ PREP_SAMPLED = f"""{PAIRS}, sampled as (
 DAY = "strftime(date_trunc('day', ts), '%Y-%m-%d')"
 PROMPTS = ", ".join(f"({text(label)}, {text(p)})" for label, p in EXAMPLE_PROMPTS)
 
+SAMPLES = ", ".join(f"({text(p)}, {text(a)})" for p, a in zip(REVIEW_PROMPTS, SAMPLE_ANSWERS))
+
 HEADER = text(REVIEW_HEADER)
 RUBRIC = text(REVIEW_RUBRIC)
 
@@ -621,6 +623,21 @@ select sample_id, number, concat(case when number = 1 then {HEADER} else '' end,
 from n),
 l as (select unnest(string_split(substr(block, 1, length(block) - 1), chr(10))) as line from report)
 select line, count(*) as n from l group by line""",
+    "q_review_places": f"""with {PAIRS}, all_pairs as (
+  select sample_id, instruction, output from pairs
+  union all select concat('sample:', prompt), prompt, answer from (values {SAMPLES}) v(prompt, answer)),
+n as (
+  select instruction, output, row_number() over (order by sample_id) as number from all_pairs),
+report as (
+  select number, concat(case when number = 1 then {HEADER} else '' end,
+    '## Problem ', number, {text(chr(10) + "**Prompt:**" + chr(10) + "```text" + chr(10))}, instruction,
+    {text(chr(10) + "```" + chr(10) * 2 + "**Generated Code:**" + chr(10) + "```python" + chr(10))}, output,
+    {text(chr(10) + "```" + chr(10) * 2)}, {RUBRIC}) as block
+  from n),
+l as (
+  select number, string_split(substr(block, 1, length(block) - 1), chr(10)) as lines from report),
+u as (select number, unnest(lines) as line, generate_subscripts(lines, 1) as i from l)
+select row_number() over (order by number, i) as line_no, line from u""",
     "q_jsonl_roundtrip": f"""with {INSTRUCTION_DOCS}, {formatted("instruction_docs", "doc_id")}
 select instruction, input, output, text, {stable_split("doc_id")} as split from formatted""",
     "q_union_available": f"""with {PREDICTIONS}
