@@ -244,6 +244,35 @@ def test_the_last_start_of_a_stream_counts(spark):
     df = spark.createDataFrame(rows, "s int, attempt int, seq long, token string, done boolean")
     got = frames.fold_streams(frames.latest_attempts(df, ("s",), "attempt"), ("s",)).collect()
     assert {(r["s"], r["text"], r["token_count"], r["done"]) for r in got} == {(1, "xy", 2, True), (2, "q", 1, False)}
+    assert frames.fold_streams(df, ("s",), attempt="attempt").collect() == got
+
+
+def test_a_frame_ends_where_its_value_ends(spark):
+    lines = [
+        'data: {"token": "a"}] x', 'data: {"token": "b"}, null', 'data: {"token": "c"',
+        'data: {"token": "d", "token": "e"}', 'data: {"token": "f", "more": {"done": true, "n": [1, {}]}}',
+        'data: {"token": {"a": 1}}', 'data: {"token": [1]}', 'data: {"token": null, "done": 1e0}',
+        "data: {'token': 'g'}", 'data: {"token": Infinity}', 'data: {"token": -3}', 'data:  {"token": "h"} ',
+        'data: {"token": "i\\u00e9\\n"}', 'data: {"token": "j", "done": [] }', 'data: "token"', 'data: [{"token": "k"}]',
+        'data: {"token": 1e3}', None,
+    ]
+    df = spark.createDataFrame(list(enumerate(lines)), "seq long, line string")
+    got = [(r["seq"], r["token"], r["done"]) for r in frames.parse_lines(df).orderBy("seq").collect()]
+    assert got == [
+        (3, "e", False), (4, "f", False), (5, '{"a":1}', False), (6, "[1]", False), (7, None, True),
+        (10, "-3", False), (11, "h", False), (12, "i\u00e9\n", False), (13, None, True), (16, "1000", False),
+    ]
+    kept = {r["seq"]: (r["token"], r["done"]) for r in frames.parse_lines(df, keep_others=True).collect()}
+    assert kept == {
+        **{n: (None, False) for n in range(len(lines))}, **{seq: (token, done) for seq, token, done in got}
+    }
+
+
+def test_frames_are_parsed_once_and_read_once(spark):
+    df = spark.createDataFrame([(1, 0, 0, 'data: {"token": "a"}')], "s int, attempt int, seq long, line string")
+    folded = frames.fold_streams(frames.parse_lines(df), ("s",), attempt="attempt")
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("LogicalRDD") == 1
 
 
 def test_one_parse_for_frequent_errors(spark):

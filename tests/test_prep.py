@@ -202,3 +202,14 @@ def test_funnel(spark, numbered):
     row = prep.funnel(flagged, F.col("doc_id") < 1000, F.col("doc_id") % 2 == 0, F.col("split")).first()
     assert (row["n_raw"], row["n_sampled"], row["n_kept"]) == (2000, 1000, 500)
     assert row["n_train"] + row["n_eval"] == 500
+
+
+def test_repeated_turns_give_one_pair(spark):
+    rows = [
+        (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "y"), (1, 1, "assistant", "x"),
+        (2, 0, "user", None), (2, 1, "assistant", "z"), (3, 0, "user", "alone"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {r["sample_id"]: (r["instruction"], r["input"], r["output"]) for r in prep.turn_pairs(df).collect()}
+    assert got == {"1:0": ("a", "", "x"), "2:0": (None, "", "z")}
+    assert prep.turn_pairs(df).count() == 2

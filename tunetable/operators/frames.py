@@ -44,26 +44,34 @@ def encode_frames(texts: DataFrame, stream: tuple[str, ...], text: str = "text")
     return framed.select(*stream, F.col("seq").cast("long").alias("seq"), line.alias("line"))
 
 
-def _truthy(value: Column) -> Column:
+# The body is read inside an array with a null after it, so that anything after its end is seen.
+FRAMES = "array<struct<token variant, done variant>>"
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _truthy(value: str, kind: str) -> Column:
     """Whether a JSON value counts as true: not null, false, 0 or an empty text."""
-    kind = F.schema_of_variant(value)
-    number = F.try_variant_get(value, "$", "double")
+    kind = F.col(kind)
+    read = {t: F.try_variant_get(value, "$", t) for t in ("string", "boolean", "double")}
     return F.coalesce(
-        F.when(value.isNull() | (kind == "VOID"), False)
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
+        F.when(kind.isNull() | (kind == "VOID"), False)
+        .when(kind == "STRING", read["string"] != "")
+        .when(kind == "BOOLEAN", read["boolean"])
         .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), True)
-        .otherwise(number != 0),
+        .otherwise(read["double"] != 0),
         F.lit(False),
     )
 
 
-def _shown(value: Column) -> Column:
+def _shown(value: str, kind: str) -> Column:
     """A JSON value as the text that is appended; whole numbers have no fraction."""
-    text, number = (F.try_variant_get(value, "$", kind) for kind in ("string", "double"))
+    text, number = (F.try_variant_get(value, "$", t) for t in ("string", "double"))
     whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-    as_it_is = F.schema_of_variant(value).isin("STRING", "BOOLEAN")
-    return F.when(~as_it_is & whole, F.floor(number).cast("string")).otherwise(text)
+    return (
+        F.when(F.col(kind).isin("STRING", "BOOLEAN"), text)
+        .when(whole, F.floor(number).cast("string"))
+        .otherwise(text)
+    )
 
 
 def parse_lines(lines: DataFrame, line: str = "line", keep_others: bool = False) -> DataFrame:
@@ -71,36 +79,32 @@ def parse_lines(lines: DataFrame, line: str = "line", keep_others: bool = False)
 
     With ``keep_others`` they stay, without a token and not done.
 
-    The body is parsed as the only element of an array, so that anything after its end is an error
-    too, and keeps its JSON types: 0, false, null and "" are neither a token nor an end. ``explode``
-    makes the parsed value a plain column: a line is parsed once however often it is used further on.
+    Only the two fields are read, and keep their JSON types: 0, false, null and "" are neither a token
+    nor an end. ``explode`` makes the read values and their kinds plain columns: a line is parsed
+    once, and a kind is found once, however often they are used further on.
     """
     others = [c for c in lines.columns if c != line]
-    body = F.concat(F.lit("["), F.substr(line, F.lit(len(DATA_PREFIX) + 1)), F.lit("]"))
-    elements = F.try_parse_json(body).try_cast("array<variant>")
+    body = F.concat(F.lit("["), F.substr(line, F.lit(len(DATA_PREFIX) + 1)), F.lit(",null]"))
+    read = F.from_json(body, FRAMES, STRICT)
     is_frame = F.col(line).startswith(DATA_PREFIX)
     if keep_others:
-        framed, elements = lines, F.when(is_frame, elements)
+        framed, read = lines, F.when(is_frame, read)
     else:
         framed = lines.filter(is_frame)
-    parsed = framed.select(*others, F.explode(F.array(elements)).alias("_f"))
+    parsed = framed.select(*others, F.explode(F.array(read)).alias("_f"))
+    first = F.get("_f", F.lit(0))
+    whole = (F.size("_f") == 2) & first.isNotNull() & F.get("_f", F.lit(1)).isNull()
     if keep_others:
-        parsed = parsed.withColumn("_f", F.when(F.size("_f") == 1, F.col("_f")))
+        first = F.when(whole, first)
     else:
-        parsed = parsed.filter(F.size("_f") == 1)
-    parsed = parsed.select(
-        *others,
-        *[
-            F.try_variant_get(F.get("_f", F.lit(0)), f"$.{c}", "variant").alias(f"_{c}")
-            for c in ("token", "done")
-        ],
-    )
-    token = F.when(~F.col("done") & _truthy(F.col("_token")), _shown(F.col("_token")))
-    out = (
-        parsed.withColumn("done", _truthy(F.col("_done")))
-        .withColumn("token", token)
-        .drop("_token", "_done")
+        parsed = parsed.filter(whole)
+    fields = [first[c].alias(f"_{c}") for c in ("token", "done")]
+    kinds = [F.schema_of_variant(first[c]).alias(f"_{c}_kind") for c in ("token", "done")]
+    parsed = parsed.select(*others, F.inline(F.array(F.struct(*fields, *kinds))))
+    token = F.when(
+        ~F.col("done") & _truthy("_token", "_token_kind"), _shown("_token", "_token_kind")
     )
+    out = parsed.withColumn("done", _truthy("_done", "_done_kind")).withColumn("token", token)
     if not keep_others:
         out = out.filter(F.col("done") | F.col("token").isNotNull())
     return out.select(*others, "token", "done")
@@ -129,15 +133,22 @@ def latest_attempts(frames: DataFrame, stream: tuple[str, ...], attempt: str) ->
 
 
 def fold_streams(
-    frames: DataFrame, stream: tuple[str, ...], ts: str | None = None, started: str | None = None
+    frames: DataFrame,
+    stream: tuple[str, ...],
+    ts: str | None = None,
+    started: str | None = None,
+    attempt: str | None = None,
 ) -> DataFrame:
     """One row per stream: reassembled ``text``, ``token_count``, ``done`` and, with times, speed.
 
     Blocks of consecutive frames are folded first, each up to its first done frame; a stream is its
     blocks up to the first one that is done. No task sees more than one block of a long stream
-    before its tokens are joined. ``started`` is the request time of the stream.
+    before its tokens are joined. ``started`` is the request time of the stream. Of several starts,
+    numbered by ``attempt``, the last one counts (as in ``latest_attempts``); it is chosen among the
+    folded blocks, so the frames are read once.
     """
     timed = ts is not None
+    starts = [] if attempt is None else [F.col(attempt).alias("attempt")]
     carried = [F.col(ts).alias("ts"), F.col(started).alias("started")] if timed else []
 
     def times(array: str) -> list[Column]:
@@ -155,12 +166,13 @@ def fold_streams(
 
     frame = F.struct("seq", "token", "done", *carried)
     blocks = (
-        frames.groupBy(*stream, F.floor(F.col("seq") / BLOCK).alias("block"))
+        frames.groupBy(*stream, *starts, F.floor(F.col("seq") / BLOCK).alias("block"))
         .agg(F.sort_array(F.collect_list(frame)).alias("f"))
         .withColumn("done", first_done("f") > 0)
         .withColumn("f", up_to("f", first_done("f") - 1))
         .select(
             *stream,
+            *(["attempt"] if starts else []),
             "block",
             F.array_join("f.token", "").alias("text"),
             F.size("f").alias("n"),
@@ -169,9 +181,14 @@ def fold_streams(
         )
     )
     folded = [c for c in blocks.columns if c not in stream]
+    last_start = F.col("b")
+    if starts:
+        latest = F.array_max("b.attempt")
+        last_start = F.filter("b", lambda block: block["attempt"].eqNullSafe(latest))
     whole = (
         blocks.groupBy(*stream)
         .agg(F.sort_array(F.collect_list(F.struct(*folded))).alias("b"))
+        .withColumn("b", last_start)
         .withColumn("done", first_done("b") > 0)
         .withColumn("b", up_to("b", first_done("b")))
         .select(

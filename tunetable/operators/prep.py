@@ -23,11 +23,13 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
 
     Questions and answers are joined first, on (conv_id, turn), so a conversation of any length
     spreads over all tasks. The system texts, one row per conversation, are repeated over a few salts,
-    so that the second join spreads as well. Several answers to one turn are reduced to the
-    smallest text, which keeps ``sample_id`` unique.
+    so that the second join spreads as well. Several questions of one turn, or answers to it, are
+    reduced to the smallest text, which keeps ``sample_id`` unique; the join needs that placement anyway.
     """
-    users = conversations.filter("role = 'user'").select(
-        "conv_id", "turn", F.col("text").alias("instruction")
+    users = (
+        conversations.filter("role = 'user'")
+        .groupBy("conv_id", "turn")
+        .agg(F.min("text").alias("instruction"))
     )
     systems = (
         conversations.filter("role = 'system'")

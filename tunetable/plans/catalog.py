@@ -580,7 +580,7 @@ def q_stream_fold(spark, sf):
     lines = inputs.noisy_frame_lines(spark, sf).withColumn("attempt", F.lit(1))
     first = inputs.frame_lines(spark, sf).filter("seq < 3").withColumn("attempt", F.lit(0))
     parsed = frames.parse_lines(lines.unionByName(first))
-    return frames.fold_streams(frames.latest_attempts(parsed, STREAM, "attempt"), STREAM)
+    return frames.fold_streams(parsed, STREAM, attempt="attempt")
 
 
 @query
