@@ -143,3 +143,33 @@ def test_wrappers_of_any_depth_change_nothing(depth):
     inner = f"<div><p>{A}</p><p>{B}</p></div><div class=offer><div>Buy now</div><div>Cheap</div></div>"
     got = extract("<body>" + "<div>" * depth + inner + "</div>" * depth + "</body>")
     assert got.split("\n") == WORDS
+
+
+FORMS = [
+    "<form><p>Get our weekly letter, for free, by mail.</p><label>Mail</label><input><button>Go</button></form>",
+    "<form class=entry><h3>Ask us</h3><ul><li>One</li><li>Two</li></ul><textarea>Say</textarea></form>",
+    "<form><fieldset><legend>Vote</legend><table><tr><td>Yes<td>No</table></fieldset></form>",
+    f"<form><p>{'Terms apply to all who send this, and to their heirs. ' * 8}</p></form>",
+]
+
+
+@pytest.mark.parametrize("mark", ["div", "article", "main"])
+@pytest.mark.parametrize("form", FORMS)
+def test_a_form_goes_with_its_labels(mark, form):
+    got = extract(page(mark, f"<h1>Title</h1><p>{A}</p><p>{B}</p>{form}<p>{A}</p>"))
+    assert got.split("\n") == ["Title", *WORDS, A.strip()]
+
+
+def test_a_form_around_the_marked_article_stays_beside_longer_talk():
+    talk = f"<div class=comments>{'<p>' + B + A + '</p>'}{'<p>' + B + A + '</p>'}</div>"
+    got = extract(f"<body><form><article><p>{A}</p><p>{B}</p></article></form>{talk}</body>")
+    assert got.split("\n") == WORDS
+
+
+def test_formulas_are_text_without_their_source():
+    formula = (
+        "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow>"
+        "<annotation encoding='application/x-tex'>x = {2}</annotation></semantics></math>"
+    )
+    got = extract(page("article", f"<p>{A}</p><p>Where {formula} holds, the sum is finite. {B}</p>"))
+    assert got.split("\n") == [A.strip(), f"Where x=2 holds, the sum is finite. {B}".strip()]

@@ -9,10 +9,13 @@ chosen paths are the article, so a short paragraph is kept with the long ones be
 items, table cells and captions are short by nature and stay where their neighbours on the path
 tree are chosen.
 
-Elements that are never article text (scripts, form controls, navigation, asides, footers) take no part.
+Elements that are never article text (scripts, form controls, navigation, asides, footers) take no part;
+formulas do, without their source notation.
 A class, id or role that names a menu, notice, advert, comment section or the like lowers the ratio
-of what is inside, less so if the name has other words too, and a form lowers it likewise. It does not
+of what is inside, less so if the name has other words too. It does not
 if the element holds most of the page's text, and no more inside a `main` or the article with most text.
+A form lowers it like a name, wherever it stands, but hardly if it is around most of the page's text or around
+the marked article, as on pages that are one form.
 Where the page marks its article (`article`, `main`, role=main), paths inside it weigh more; the mark
 alone neither keeps nor drops a path.
 """
@@ -38,8 +41,8 @@ THRESHOLD = 0.35
 LINKED = 0.6
 #: Factor on the fused ratio of paths inside the marked article.
 MARKED = 2.0
-#: Factor on the fused ratio of paths inside elements that are named as another part of the page, and
-#: inside forms and elements whose name has such a word beside others.
+#: Factor on the fused ratio of paths inside forms and elements that are named as another part of the page, and
+#: inside forms around the page and elements whose name has such a word beside others.
 NAMED, MIXED = 0.05, 0.7
 
 RESULT = "page_id long, url string, text string, n_chars long"
@@ -69,7 +72,8 @@ IMPLIED = {
 }
 NEVER = frozenset(
     "script style noscript template nav footer aside button select dialog menu head title "
-    "textarea iframe svg math object audio video canvas noembed noframes xmp datalist search".split()
+    "textarea iframe svg object audio video canvas noembed noframes xmp datalist search "
+    "annotation annotation-xml".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 CELLS = frozenset("td th tr tbody thead tfoot table".split())
@@ -163,6 +167,7 @@ class Zone:
     factor: float = 1.0
     mark: str = ""
     talk: bool = False
+    form: bool = False
     #: Characters of unlinked text inside.
     size: int = 0
 
@@ -223,7 +228,7 @@ def _element(
         zones.append(Zone(zone, mark=mark))
         zone = len(zones) - 1
     if factor < 1 and not never:
-        zones.append(Zone(zone, factor, talk=talk))
+        zones.append(Zone(zone, factor, talk=talk, form=name == "form"))
         zone = len(zones) - 1
     path = parent.path if parent else page
     if name in BLOCK:
@@ -364,8 +369,11 @@ def zone_factors(blocks: list[Block], zones: list[Zone]) -> list[float]:
         most = 2 * zone.size >= zones[0].size and not zone.talk
         # the article that the page marks is not elsewhere
         most = most and not outer[at] and not trusted[zone.parent] and marked[at] == marked[0]
+        factor = zone.factor
+        if zone.form and 2 * zone.size < zones[0].size and not marked[at]:
+            factor = NAMED
         if not trusted[at]:
-            factors[at] = min(factors[zone.parent], 1.0 if most else zone.factor)
+            factors[at] = min(factors[zone.parent], 1.0 if most else factor)
     return factors
 
 
