@@ -1,9 +1,9 @@
 """Which positions of which rows carry a key that other positions carry too, without shuffling rows.
 
 Each map task packs its (key, row, position) entries into one binary value per bucket of keys, so
-that a shuffled entry costs 8 to 12 bytes. Keys that repeat inside a map task are settled there: their
-positions are passed on as found and one representative stands for them in the bucket. A key that a
-third of all rows carry therefore sends a few entries per task, and no bucket grows with it.
+that a shuffled entry costs 8 to 12 bytes. Keys that repeat inside a slice of a task's rows (2 MB of text)
+are settled there: their positions are passed on as found and one representative stands for them in the
+bucket. A key that a third of all rows carry therefore sends one entry per slice to its bucket.
 """
 
 from __future__ import annotations
