@@ -258,3 +258,20 @@ def test_review_report(spark):
     assert out[0]["block"].startswith("# Human Evaluation Benchmark\n\nReview")
     assert out[1]["block"].startswith("## Problem 2\n**Prompt:**\n```text\np2\n```\n\n")
     assert out[2]["block"].count("- [ ]") == 4
+
+
+def test_grams_never_become_rows(pairs):
+    """What leaves a pair is a few numbers: no gram is generated, sorted or aggregated as a row."""
+    for df in (report.text_scores(pairs), rouge.rouge_n(pairs), bleu.bleu_counts(pairs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "gram#" not in plan
+
+
+@settings(max_examples=200)
+@given(words, words)
+def test_overlap_of_a_pair(a, b):
+    want = []
+    for n in (1, 2, 3, 4):
+        x, y = grams(a, n), grams(b, n)
+        want += [(x & y).total(), x.total(), y.total()]
+    assert rouge.overlap(" ".join(a), " ".join(b), (1, 2, 3, 4)) == want

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunetable.functions.text import mt13a_tokens, or_empty
-from tunetable.operators.rouge import KEYS, Grams, gram_matches, placed
+from tunetable.operators.rouge import KEYS, Grams, gram_matches
 
 ORDERS = (1, 2, 3, 4)
 
@@ -17,10 +17,9 @@ SCHEME = Grams("mt", "mt_pred", "mt_ref", ORDERS)
 
 
 def mt_columns() -> list[Column]:
-    return [
-        mt13a_tokens(or_empty("prediction")).alias("mt_pred"),
-        mt13a_tokens(or_empty("reference")).alias("mt_ref"),
-    ]
+    """The tokens of both sides, joined by spaces; no token holds one."""
+    sides = (("prediction", "mt_pred"), ("reference", "mt_ref"))
+    return [F.array_join(mt13a_tokens(or_empty(c)), " ").alias(name) for c, name in sides]
 
 
 def corpus_sums() -> list[Column]:
@@ -33,11 +32,10 @@ def bleu_counts(
     pairs: DataFrame,
     keys: tuple[str, ...] = KEYS,
     by: tuple[str, ...] = ("model",),
-    colocated: bool = False,
 ) -> DataFrame:
-    """Corpus sums per group: ``match_n``/``pred_n`` for each order and both lengths."""
-    tokens = (pairs if colocated else placed(pairs, keys)).select(*keys, *mt_columns())
-    return gram_matches(tokens, keys, (SCHEME,)).groupBy(*by).agg(*corpus_sums())
+    """Corpus sums per group: ``match_n``/``pred_n`` for each order and both lengths; only they are shuffled."""
+    texts = pairs.select(*keys, *mt_columns())
+    return gram_matches(texts, keys, (SCHEME,)).groupBy(*by).agg(*corpus_sums())
 
 
 def _precision(n: int) -> Column:

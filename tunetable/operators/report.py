@@ -23,7 +23,6 @@ from tunetable.operators.rouge import (
     rouge_n_score,
     rouge_scheme,
     with_lcs,
-    with_tokens,
 )
 from tunetable.operators.sampling import row_index_ordered
 
@@ -50,15 +49,15 @@ def text_scores(
 ) -> DataFrame:
     """ROUGE-1/2/L, BLEU, mean length and sample count of every model in one plan.
 
-    The pairs cross the network once, after the Python steps (stems, subsequence length). Both
-    tokenisations are matched in one pass where a pair is, and one aggregation per model finishes
-    every metric. ``keys`` tell where a pair is placed; pairs with equal keys count one by one.
+    Both tokenisations, the matches and the subsequence length are found where a pair is. Only the numbers of a
+    pair cross the network, placed by ``keys``, and one aggregation per model finishes every metric. Pairs with
+    equal keys count one by one.
     """
-    texts = with_lcs(normalized(pairs, (*keys, "prediction", "reference"), use_stemmer))
-    tokens = with_tokens(placed(texts, keys)).select(
-        *keys, "pred", "ref", "lcs", word_count(or_empty("prediction")).alias("n_words"), *mt_columns()
-    )
-    pair = gram_matches(tokens, keys, (rouge_scheme(), BLEU_SCHEME), carry=("n_words", "lcs"))
+    texts = normalized(pairs, (*keys, "prediction", "reference"), use_stemmer)
+    n_words = word_count(or_empty("prediction")).alias("n_words")
+    texts = with_lcs(texts.select(*keys, "pred", "ref", n_words, *mt_columns()))
+    schemes = (rouge_scheme(), BLEU_SCHEME)
+    pair = placed(gram_matches(texts, keys, schemes, carry=("n_words", "lcs")), keys)
     lcs_score = f_measure(F.col("lcs"), F.col("rouge_pred_1"), F.col("rouge_ref_1"))
     sums = pair.groupBy("model").agg(
         F.avg(rouge_n_score(1)).alias("rouge1"),

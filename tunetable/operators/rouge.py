@@ -1,11 +1,13 @@
 """ROUGE-1/2/L per prediction and per model.
 
-Grams of a pair are counted where the pair is: the pairs are partitioned by their key once and both
-aggregations (per gram, per pair) reuse that partitioning, so single grams never cross the network.
+Grams are counted and matched row by row, where a pair is: a gram never becomes a row, so nothing is sorted, spilled
+or shuffled for it. What leaves a pair is three numbers per order.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -14,14 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunetable.functions.stemmer import stem_text
-from tunetable.functions.text import alnum_tokens, joined_tokens, ngrams, or_empty
+from tunetable.functions.text import alnum_tokens, joined_tokens, or_empty
 
 KEYS = ("model", "sample_id")
 
 
 @dataclass(frozen=True)
 class Grams:
-    """Token columns of a pair whose n-grams are matched; ``name`` prefixes the result columns."""
+    """Columns of space-joined tokens of a pair whose n-grams are matched; ``name`` prefixes the result columns."""
 
     name: str
     pred: str
@@ -29,61 +31,55 @@ class Grams:
     orders: tuple[int, ...]
 
 
-def placed(pairs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """One key's row in one partition.
+def placed(scores: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """One key's rows in one partition, for what is joined or grouped by key afterwards.
 
-    Both gram aggregations then need no shuffle. Python functions hide the partitioning of their
-    input from the planner, so they have to run before. The number of partitions is left to
-    adaptive execution.
+    Only the numbers of a pair are moved, so place them after the Python functions that read the texts. The
+    number of partitions is left to adaptive execution.
     """
-    return pairs.repartition(*keys)
+    return scores.repartition(*keys)
+
+
+def overlap(pred: str, ref: str, orders: tuple[int, ...]) -> list[int]:
+    """Per order the clipped multiset matches and the n-grams of each side; tokens are split at spaces."""
+    a, b = (t.split(" ") if t else [] for t in (pred, ref))
+    out = []
+    for n in orders:
+        x, y = (Counter(zip(*(t[k:] for k in range(n)))) for t in (a, b))
+        match = sum(min(c, y[gram]) for gram, c in x.items() if gram in y)
+        out += [match, max(len(a) - n + 1, 0), max(len(b) - n + 1, 0)]
+    return out
+
+
+def _overlaps(orders: tuple[int, ...]) -> Callable[[str, str], Column]:
+    names = [f"{kind}_{n}" for n in orders for kind in ("match", "pred", "ref")]
+
+    @F.pandas_udf(", ".join(f"{name} long" for name in names))
+    def counts(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        rows = [overlap(p, r, orders) for p, r in zip(pred, ref)]
+        return pd.DataFrame(rows, columns=names, dtype="int64")
+
+    return counts
 
 
 def gram_matches(
-    tokens: DataFrame, keys: tuple[str, ...], schemes: tuple[Grams, ...], carry: tuple[str, ...] = ()
+    texts: DataFrame, keys: tuple[str, ...], schemes: tuple[Grams, ...], carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Keys and, per scheme and order, ``<name>_match_n``, ``<name>_pred_n``, ``<name>_ref_n``.
 
     Matches are clipped multiset matches. All schemes and orders come out of one pass; ``carry``
-    names further columns of the pair to keep. Rows with equal keys are pairs of their own: each row is
-    numbered where it lies, and nothing is moved before the sums are complete.
+    names further columns of the pair to keep. Every row is a pair of its own, also with equal keys.
     """
-    tokens = tokens.withColumn("_row", F.monotonically_increasing_id())
-    labels = [(g.name, n) for g in schemes for n in g.orders]
-    sides = F.array(
-        *[
-            F.struct(
-                F.lit(labels.index((g.name, n))).alias("label"),
-                F.lit(is_pred).alias("is_pred"),
-                ngrams(F.col(g.pred if is_pred else g.ref), n).alias("grams"),
-            )
-            for g in schemes
-            for n in g.orders
-            for is_pred in (True, False)
-        ]
+    counted = texts.select(
+        *keys, *carry, *[_overlaps(g.orders)(g.pred, g.ref).alias(f"_{g.name}") for g in schemes]
     )
-    group = [*keys, *carry, "_row"]
-    present = F.col("gram").isNotNull()
-    counted = (
-        tokens.select(*group, F.inline(sides))
-        .select(*group, "label", "is_pred", F.explode_outer("grams").alias("gram"))
-        .groupBy(*group, "label", "gram")
-        .agg(
-            F.count_if(present & F.col("is_pred")).alias("in_pred"),
-            F.count_if(present & ~F.col("is_pred")).alias("in_ref"),
-        )
-    )
-    per_label = counted.groupBy(*group, "label").agg(
-        F.sum(F.least("in_pred", "in_ref")).alias("match"),
-        F.sum("in_pred").alias("pred"),
-        F.sum("in_ref").alias("ref"),
-    )
-    sums = [
-        F.sum(F.when(F.col("label") == i, F.col(kind)).otherwise(F.lit(0))).alias(f"{name}_{kind}_{n}")
-        for i, (name, n) in enumerate(labels)
+    fields = [
+        F.col(f"_{g.name}.{kind}_{n}").alias(f"{g.name}_{kind}_{n}")
+        for g in schemes
+        for n in g.orders
         for kind in ("match", "pred", "ref")
     ]
-    return per_label.groupBy(*group).agg(*sums).drop("_row")
+    return counted.select(*keys, *carry, *fields)
 
 
 def f_measure(match: Column, n_pred: Column, n_ref: Column) -> Column:
@@ -130,10 +126,6 @@ def with_lcs(texts: DataFrame) -> DataFrame:
     return texts.withColumn("lcs", _lcs("pred", "ref"))
 
 
-def with_tokens(texts: DataFrame) -> DataFrame:
-    return texts.withColumns({c: joined_tokens(F.col(c)) for c in ("pred", "ref")})
-
-
 def rouge_scheme(orders: tuple[int, ...] = (1, 2)) -> Grams:
     return Grams("rouge", "pred", "ref", orders)
 
@@ -149,15 +141,13 @@ def rouge_n(
     use_stemmer: bool = False,
     colocated: bool = False,
 ) -> DataFrame:
-    """Keys with ``rouge<n>`` for each order.
+    """Keys with ``rouge<n>`` for each order; the scores of a key lie in one partition.
 
-    Pass ``colocated`` if the input is already partitioned by (part of) the keys.
+    Pass ``colocated`` to leave them where their pairs are.
     """
-    texts = normalized(pairs, keys, use_stemmer)
-    tokens = with_tokens(texts if colocated else placed(texts, keys))
-    return gram_matches(tokens, keys, (rouge_scheme(orders),)).select(
-        *keys, *[rouge_n_score(n).alias(f"rouge{n}") for n in orders]
-    )
+    counts = gram_matches(normalized(pairs, keys, use_stemmer), keys, (rouge_scheme(orders),))
+    scores = counts.select(*keys, *[rouge_n_score(n).alias(f"rouge{n}") for n in orders])
+    return scores if colocated else placed(scores, keys)
 
 
 def rouge_l(pairs: DataFrame, keys: tuple[str, ...] = KEYS, use_stemmer: bool = False) -> DataFrame:
