@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,21 +225,91 @@ def still_running(streams: DataFrame, by: tuple[str, ...]) -> DataFrame:
     )
 
 
+def _differs(column: pa.Array) -> np.ndarray:
+    """Whether a value is another one than that before it; nulls are equal."""
+    now, before = column[1:], column[:-1]
+    other = pc.fill_null(pc.not_equal(now, before), False)
+    one_null = pc.xor(now.is_null(), before.is_null())
+    return pc.or_(other, one_null).to_numpy(zero_copy_only=False)
+
+
+def _runs(chunks: DataFrame, stream: tuple[str, ...], seq: str, data: str) -> DataFrame:
+    """(stream, ``o``, ``data``, ``ends``): chunks that follow each other where they lie as one row.
+
+    ``o`` is the number of the first chunk, ``ends`` where each chunk ends in the bytes of ``data``. A run lies in
+    one block. Chunks are not moved for it, so a shuffle of runs carries little more than the text.
+    """
+    rows = chunks.select(*stream, F.col(seq).cast("long").alias("o"), F.coalesce(data, F.lit("")).alias("data"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.ones(n, bool)
+            number = batch["o"]
+            step = pc.subtract(number[1:], number[:-1])
+            at_edge = pc.fill_null(pc.equal(pc.bit_wise_and(number[1:], BLOCK - 1), 0), True)
+            new[1:] = pc.fill_null(pc.not_equal(step, 1), True).to_numpy(zero_copy_only=False)
+            new[1:] |= at_edge.to_numpy(zero_copy_only=False)
+            for c in stream:
+                new[1:] |= _differs(batch[c])
+            text = batch["data"].cast(pa.large_string())
+            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + n + 1]
+            first = np.flatnonzero(new)
+            cuts = np.append(first, n)
+            start = np.repeat(offsets[first], np.diff(cuts))
+            ends = pa.array((offsets[1:] - start).astype(np.int32))
+            bounds = pa.py_buffer(np.ascontiguousarray(offsets[cuts]))
+            pieces = pa.Array.from_buffers(pa.large_string(), len(first), [None, bounds, text.buffers()[2]])
+            kept = [batch[c].take(pa.array(first)) for c in (*stream, "o")]
+            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), ends)
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pieces.cast(pa.string()), lists], [*stream, "o", "data", "ends"]
+            )
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*stream, "o", "data"))
+    return rows.mapInArrow(joined, f"{kinds}, ends array<int>")
+
+
+def _text_of_runs(runs: str) -> Column:
+    """The text of sorted runs; runs that overlap, as numbers came twice, are sorted chunk by chunk."""
+
+    def chunks(run: Column) -> Column:
+        raw = run["data"].cast("binary")
+
+        def chunk(end: Column, i: Column) -> Column:
+            start = F.when(i > 0, F.get(run["ends"], i - 1)).otherwise(F.lit(0))
+            return F.struct((run["o"] + i).alias("o"), F.substring(raw, start + 1, end - start).cast("string").alias("data"))
+
+        return F.transform(run["ends"], chunk)
+
+    overlaps = F.exists(
+        F.arrays_zip(F.slice(runs, 1, F.size(runs) - 1).alias("a"), F.slice(runs, 2, F.size(runs)).alias("b")),
+        lambda pair: F.coalesce(pair["a"]["o"] + F.size(pair["a"]["ends"]) > pair["b"]["o"], F.lit(False)),
+    )
+    one_by_one = F.sort_array(F.flatten(F.transform(runs, chunks)))
+    return F.when(overlaps, F.array_join(F.transform(one_by_one, lambda c: c["data"]), "")).otherwise(
+        F.array_join(F.col(runs)["data"], "")
+    )
+
+
 def chunks_to_lines(
     chunks: DataFrame, stream: tuple[str, ...], seq: str = "chunk_seq", data: str = "data"
 ) -> DataFrame:
     """Complete lines (``seq``, ``line``) of streams that were cut into arbitrary chunks.
 
-    Blocks of chunks are joined to one text each. A line inside a block is complete; pieces at the
+    Chunks that follow each other in a task are joined there, and then blocks of chunks to one text each. A line inside a block is complete; pieces at the
     edges of blocks are joined by line number, the number of newlines before them. A last line
     without its newline is not complete and is left out. The blocks are stored, so that the chunks are
     read and assembled once for the offsets and the pieces.
     """
-    piece = F.struct(F.col(seq).alias("o"), F.col(data).alias("data"))
+    runs = F.sort_array(F.collect_list(F.struct("o", "data", "ends"))).alias("p")
     blocks = (
-        chunks.groupBy(*stream, F.floor(F.col(seq) / BLOCK).alias("block"))
-        .agg(F.sort_array(F.collect_list(piece)).alias("p"))
-        .select(*stream, "block", F.split(F.array_join("p.data", ""), "\n", -1).alias("pieces"))
+        _runs(chunks, stream, seq, data)
+        .groupBy(*stream, F.floor(F.col("o") / BLOCK).alias("block"))
+        .agg(runs)
+        .select(*stream, "block", F.split(_text_of_runs("p"), "\n", -1).alias("pieces"))
         .withColumn("n", F.size("pieces") - 1)
     )
     blocks = written(blocks, "chunk-blocks")
