@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tunetable.operators.usage import GENERATE_LIMIT, WINDOW, window_counts
+from tunetable.streaming.buckets import bucket, key_name, key_of
 from tunetable.streaming.runs import each_batch, overwrite_batch
 
 LATENESS = "10 minutes"
@@ -52,52 +54,60 @@ def first_hit_windows(
     """Admission with windows that start at a key's first hit after the previous window ended.
 
     Blocked requests do not move the window. State per key is the window start and its hit count; it
-    is removed once the watermark has passed the end of the window. A micro-batch is sorted per
-    key, so its size (``max_files`` of the source) bounds the memory.
+    is removed once the watermark has passed the end of the window. Keys are dealt to buckets whose state is
+    one list of windows. A micro-batch is sorted per bucket, so its size (``max_files`` of the source) bounds
+    the memory.
 
     Requests that lie more than ``lateness`` behind the newest one of the micro-batches before are
     discarded and get no row; raise it if requests come later. State is kept that much longer.
     """
     length = seconds * 1_000_000
-    schema = (
-        f"`{key}` {requests.schema[key].dataType.simpleString()}, event_id long, "
-        "window_start long, rank int, admitted boolean"
-    )
+    kind = requests.schema[key].dataType.simpleString()
+    schema = "name string, event_id long, window_start long, rank int, admitted boolean"
 
     def admit(
         k: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        start, hits = state.get if state.exists else (None, 0)
-        if state.hasTimedOut:
+        passed = state.getCurrentWatermarkMs()
+        windows = {n: (s, h) for n, s, h in json.loads(state.get[0])} if state.exists else {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches), ignore_index=True).sort_values(["us", "event_id"])
+            starts, ranks = [], []
+            for name, us in zip(rows["name"].tolist(), rows["us"].tolist()):
+                start, hits = windows.get(name, (None, 0))
+                if start is None or us >= start + length:
+                    start, hits = us, 0
+                hits += 1
+                windows[name] = start, hits
+                starts.append(start)
+                ranks.append(hits)
+        # a window is over for good once no request that it could hold is let through
+        left = [(n, s, h) for n, (s, h) in windows.items() if (s + length) // 1000 + 1 >= passed]
+        if left:
+            state.update((json.dumps(left),))
+            ends = (min(s for _, s, _ in left) + length) // 1000 + 1
+            state.setTimeoutTimestamp(max(ends, passed + 1))
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["us", "event_id"])
-        starts, ranks = [], []
-        for us in rows["us"]:
-            if start is None or us >= start + length:
-                start, hits = us, 0
-            hits += 1
-            starts.append(start)
-            ranks.append(hits)
-        state.update((int(start), hits))
-        ends = int(start + length) // 1000 + 1
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {
-                key: rows[key].to_numpy(),
-                "event_id": rows["event_id"].to_numpy(),
-                "window_start": starts,
-                "rank": ranks,
-                "admitted": [r <= limit for r in ranks],
-            }
-        )
+        if not state.hasTimedOut:
+            yield pd.DataFrame(
+                {
+                    "name": rows["name"].to_numpy(),
+                    "event_id": rows["event_id"].to_numpy(),
+                    "window_start": starts,
+                    "rank": ranks,
+                    "admitted": [r <= limit for r in ranks],
+                }
+            )
 
     micros = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
-    return (
+    out = (
         requests.withWatermark("ts", lateness)
-        .select(key, "event_id", "ts", micros)
-        .groupBy(F.col(key))
+        .select(key_name(key).alias("name"), "event_id", "ts", micros)
+        .withColumn("bucket", bucket())
+        .groupBy(F.col("bucket"))
         .applyInPandasWithState(
-            admit, schema, "start long, hits int", "append", GroupStateTimeout.EventTimeTimeout
+            admit, schema, "windows string", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
+    return out.select(key_of("name", kind).alias(key), "event_id", "window_start", "rank", "admitted")

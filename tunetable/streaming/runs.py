@@ -11,6 +11,10 @@ from pyspark.sql.types import StructType
 
 from tunetable.session import scratch_path
 
+#: Rows per file of a batch, and the rows that a file of the smallest batch has at least.
+SLICE_ROWS = 1 << 20
+LEAST_ROWS = 1 << 10
+
 
 def file_stream(
     spark: SparkSession,
@@ -29,22 +33,25 @@ def file_stream(
     return reader.load(folder)
 
 
-def slices(
-    df: DataFrame, order: str, label: str, count: int = 3, parts: int = 2
-) -> tuple[str, int]:
-    """Writes a table as ``count`` batches of ``parts`` files, in the order of a numeric column.
+def slices(df: DataFrame, order: str, label: str, count: int = 3) -> tuple[str, int]:
+    """Writes a table as ``count`` batches of files, in the order of a numeric column.
 
     Returns the folder and the files of a batch: a stream that takes so many files at a time sees
-    the batches one after another.
+    the batches one after another. Files hold about SLICE_ROWS rows, so that writing and reading spread over more
+    tasks as the table grows; every batch has as many, and no file is empty unless a batch has next to no rows.
     """
     spark = df.sparkSession
     out = scratch_path(spark, label)
-    ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
     step = ((ends["high"] or 0) - (ends["low"] or 0)) // count + 1
-    number = F.floor((F.col(order) - F.lit(ends["low"] or 0)) / step)
+    number = F.coalesce(F.floor((F.col(order) - F.lit(ends["low"] or 0)) / step), F.lit(0))
+    parts = -(-ends["n"] // (count * SLICE_ROWS))
+    if parts > 2:
+        rows = [r["count"] for r in df.groupBy(number.alias("_slice")).count().collect()]
+        parts = min(parts, min(rows) // LEAST_ROWS if len(rows) == count else 2)
+    parts = max(2, parts)
     for i in range(count):
-        part = df.filter(number == i) if i else df.filter((number == i) | number.isNull())
-        part.repartition(parts).write.mode("append").parquet(out)
+        df.filter(number == i).repartition(parts).write.mode("append").parquet(out)
     return out, parts
 
 

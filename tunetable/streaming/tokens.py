@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -11,45 +12,67 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tunetable.operators.frames import parse_lines
+from tunetable.streaming.buckets import bucket, key_name, key_of
 
-STATE_SCHEMA = "text string, token_count long, finished boolean, attempt long"
+STATE_SCHEMA = "streams string"
 IDLE = 3600  # seconds of event time after which an unfinished stream is given up
 
 
-def _fold(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None
-) -> Iterator[tuple]:
-    """Adds the batch's tokens to the state; emits the stream when it is done or given up.
+def _fold(rows: list[tuple], known: list) -> tuple[list, list[tuple]]:
+    """(state, what is emitted) of one stream after a batch's rows (attempt, seq, token, done, ms).
 
-    After the done frame the state only remembers that the stream is finished, so that later frames
-    are ignored. A higher attempt starts the stream anew, and frames of lower ones are ignored.
+    The state is (text, count, finished, attempt). After the done frame it only remembers that the stream is
+    finished, so that later frames are ignored. A higher attempt starts the stream anew, and frames of lower
+    ones are ignored.
     """
-    text, count, finished, attempt = state.get if state.exists else ("", 0, False, 0)
-    if state.hasTimedOut:
-        state.remove()
-        if not finished:
-            yield (*key, text, count, False)
-        return
-    pieces = [text]
-    columns = ("attempt", "seq", "token", "done", "ms")
-    rows = [f for b in batches for f in zip(*(b[c] for c in columns))]
-    rows.sort(key=itemgetter(0, 1))
-    for start, _, token, done, _ in rows:
+    text, count, finished, attempt = known
+    pieces, shown = [text], []
+    for start, _, token, done, _ in sorted(rows, key=itemgetter(0, 1)):
         if start > attempt:
             pieces, count, finished, attempt = [], 0, False, int(start)
         if finished or start < attempt:
             continue
         if done:
             finished = True
-            yield (*key, "".join(pieces), count, True)
+            shown.append(("".join(pieces), count, True))
             pieces = []
         else:
             pieces.append(token)
             count += 1
-    state.update(("".join(pieces), count, finished, attempt))
+    return ["".join(pieces), count, finished, attempt], shown
+
+
+def _fold_bucket(
+    batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None
+) -> list[tuple]:
+    """Adds a bucket's rows to its streams; (name, text, count, done) of those that are done or given up."""
+    streams = json.loads(state.get[0]) if state.exists else {}
+    watermark = None if idle_ms is None else state.getCurrentWatermarkMs()
+    shown, arrived = [], {}
+    columns = ("attempt", "seq", "token", "done", "ms")
+    if not state.hasTimedOut:
+        for b in batches:
+            for name, *frame in zip(b["name"], *(b[c] for c in columns)):
+                arrived.setdefault(name, []).append(tuple(frame))
+    for name, rows in arrived.items():
+        *known, _ = streams.get(name, ("", 0, False, 0, None))
+        after, ended = _fold(rows, known)
+        shown += [(name, *end) for end in ended]
+        due = None if idle_ms is None else max(int(max(ms for *_, ms in rows)), watermark) + idle_ms
+        streams[name] = [*after, due]
     if idle_ms is not None:
-        latest = int(max(ms for *_, ms in rows))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
+        over = [n for n, s in streams.items() if s[4] < watermark and n not in arrived]
+        for name in over:
+            text, count, finished, *_ = streams.pop(name)
+            if not finished:
+                shown.append((name, text, count, False))
+    if streams:
+        state.update((json.dumps(streams),))
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(max(min(s[4] for s in streams.values()), watermark + 1))
+    elif state.exists:
+        state.remove()
+    return shown
 
 
 def fold_stream(
@@ -76,19 +99,18 @@ def fold_stream(
         frames = frames.withWatermark(ts, f"{idle} seconds")
         millis = F.unix_millis(ts)
     start = F.lit(0) if attempt is None else F.col(attempt)
-    carried = [stream, start.cast("long").alias("attempt"), "seq", "token", "done", millis.alias("ms")]
-    frames = frames.select(*carried, *([] if ts is None else [ts]))
     key_type = frames.schema[stream].dataType.simpleString()
-    schema = f"`{stream}` {key_type}, text string, token_count long, done boolean"
-    names = [stream, "text", "token_count", "done"]
-
+    carried = [key_name(stream).alias("name"), start.cast("long").alias("attempt"), "seq", "token", "done", millis.alias("ms")]
+    frames = frames.select(*carried, *([] if ts is None else [ts]))
     idle_ms = None if ts is None else 1000 * idle
 
     def fold(key, batches, state):
-        for row in _fold(key, batches, state, idle_ms):
-            yield pd.DataFrame([row], columns=names)
+        shown = _fold_bucket(batches, state, idle_ms)
+        if shown:
+            yield pd.DataFrame(shown, columns=["name", "text", "token_count", "done"])
 
     timeout = GroupStateTimeout.NoTimeout if ts is None else GroupStateTimeout.EventTimeTimeout
-    return frames.groupBy(F.col(stream)).applyInPandasWithState(
-        fold, schema, STATE_SCHEMA, "append", timeout
+    out = frames.withColumn("bucket", bucket()).groupBy(F.col("bucket")).applyInPandasWithState(
+        fold, "name string, text string, token_count long, done boolean", STATE_SCHEMA, "append", timeout
     )
+    return out.select(key_of("name", key_type).alias(stream), "text", "token_count", "done")
