@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tunetable.llm.base import checked, table
+from tunetable.llm.base import checked, table, with_text
 from tunetable.llm.tokens import LOWER, SPACE, text_slices
 from tunetable.session import ship_package
 
@@ -236,18 +236,21 @@ def training_sample(docs: DataFrame) -> dict[str, list[bytes]]:
     return texts
 
 
-def predict(texts: DataFrame, model: Model | None, key: str = "row") -> DataFrame:
-    """(key, lang_pred, score, cost) of rows (key, body).
+def predict(
+    texts: DataFrame, model: Model | None, key: str = "row", with_body: bool = False
+) -> DataFrame:
+    """(key, [body,] lang_pred, score, cost) of rows (key, body).
 
     The score is the winner's share of 2 ** -bits, the cost its bits per byte. A null text, one without a
     letter, or a missing model gives `und`, score 0 and no cost. Equal code lengths go to the smaller
     language.
     """
-    letters = F.col("body").cast("string").rlike(r"\p{L}")
-    rows = texts.select(key, F.when(letters, F.col("body")).alias("body"))
+    letters = F.coalesce(F.col("body").cast("string").rlike(r"\p{L}"), F.lit(False))
+    rows = texts.select(key, "body", letters.alias("letters"))
+    kept = (key, "body") if with_body else (key,)
     if model is None:
         none = F.lit(None).cast("double").alias("cost")
-        return rows.select(key, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), none)
+        return rows.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), none)
     sent = texts.sparkSession.sparkContext.broadcast(model)
     names = [*model.languages, UNKNOWN]
 
@@ -266,20 +269,20 @@ def predict(texts: DataFrame, model: Model | None, key: str = "row") -> DataFram
             best = np.concatenate(best) if best else np.zeros(0, np.int64)
             share = np.concatenate(share) if share else np.zeros(0)
             cost = np.concatenate(cost) if cost else np.zeros(0)
-            blank = batch["body"].is_null().to_numpy(zero_copy_only=False)
+            blank = ~batch["letters"].to_numpy(zero_copy_only=False)
             best[blank], share[blank] = len(names) - 1, 0.0
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch[key],
+                    *(batch[c] for c in kept),
                     pa.array(names).take(pa.array(best)),
                     pa.array(share),
                     pa.array(cost, mask=blank),
                 ],
-                [key, "lang_pred", "score", "cost"],
+                [*kept, "lang_pred", "score", "cost"],
             )
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(score, f"`{key}` {kind}, lang_pred string, score double, cost double")
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(score, f"{fields}, lang_pred string, score double, cost double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -304,17 +307,21 @@ def in_a_learned_language(docs: DataFrame) -> DataFrame:
     model = fit(training_sample(docs))
     if model is None:
         return docs
-    known = _identified(docs.filter(held_out() & F.col("lang").isNotNull()), model)
-    known = known.filter(F.col("lang_pred") == F.col("row.lang"))
+    labelled = docs.filter(held_out() & F.col("lang").isNotNull())
+    known = predict(labelled.select("lang", F.col("text").alias("body")), model, "lang")
+    known = known.filter(F.col("lang_pred") == F.col("lang"))
     usual = known.groupBy("lang_pred").agg(F.percentile_approx("cost", 0.5, 10000).alias("usual"))
     limits = {row["lang_pred"]: DEARER * row["usual"] for row in usual.collect()}
     limit = F.lit(None).cast("double")
     for name, most in limits.items():
         limit = F.when(F.col("lang_pred") == name, most).otherwise(limit)
-    excess = (F.col("cost") - limit) * F.octet_length("row.text")
-    found = _identified(docs, model)
+    excess = (F.col("cost") - limit) * F.octet_length("body")
+    # the text goes to the workers and back once, beside the other columns
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    found = predict(docs.select(others, F.col("text").alias("body")), model, with_body=True)
     kept = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)
-    return found.filter(kept & F.coalesce(excess < SLACK, F.lit(True))).select("row.*")
+    kept_rows = found.filter(kept & F.coalesce(excess < SLACK, F.lit(True)))
+    return with_text(kept_rows.select("row", F.col("body").alias("text")), docs)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

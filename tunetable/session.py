@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
 
 
 def local_session(cores: int | str = "*", app: str = "tunetable") -> SparkSession:
@@ -31,8 +33,18 @@ def local_session(cores: int | str = "*", app: str = "tunetable") -> SparkSessio
 _shipped: set[str] = set()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Whole texts go to the Python workers BATCH_ROWS at a time, unless the session says otherwise.
+
+    A batch is held several times over, in the executor and in its worker, beside what former batches left.
+    """
+    if spark.conf.get(BATCH_ROWS_KEY, None) is None:
+        spark.conf.set(BATCH_ROWS_KEY, str(BATCH_ROWS))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers of all executors, once per application."""
+    bound_batches(spark)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
